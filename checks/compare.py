@@ -27,6 +27,7 @@ def session(cores: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -90,7 +91,7 @@ def main() -> int:
         try:
             problem = differences(name, spark, connection, folder)
         except Exception as exc:
-            problem = f"{type(exc).__name__}: {str(exc)[:1500]}"
+            problem = f"{type(exc).__name__}: {str(exc)[:700]}"
         bad += problem is not None
         kind = "ok" if name in ORACLE else "rows"
         print(f"{name:24s} {time.time() - start:6.2f}s {'DIFF ' + problem if problem else kind}",

@@ -44,7 +44,7 @@ def fit_kmeans(
     """Per k, the best of several k-means runs by within-cluster cost. Pass a cached column
     features; independent runs may be submitted side by side."""
 
-    @inheritable_thread_target
+    @inheritable_thread_target(features.sparkSession)
     def fit(run: tuple[int, int]) -> KMeansModel:
         k, offset = run
         return KMeans(

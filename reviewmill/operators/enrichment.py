@@ -155,14 +155,14 @@ def resolve_quotes(wanted: DataFrame, keys: list[str], reviews: DataFrame) -> Da
     Ids that are no integers or have no review are skipped; repeated ids stay repeated. Every key
     is kept, with an empty list where nothing was found.
     """
-    ids = wanted.select(*keys, F.posexplode("quote_ids").alias("pos", "_id")).withColumn(
+    ids = wanted.select(*keys, F.posexplode("quote_ids").alias("_pos", "_id")).withColumn(
         "review_id", F.expr("try_cast(trim(_id) AS BIGINT)")
     )
     found = (
         ids.drop("_id")
         .join(reviews.select("review_id", "text"), "review_id")
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "review_id", "text"))).alias("_found"))
+        .agg(F.array_sort(F.collect_list(F.struct("_pos", "review_id", "text"))).alias("_found"))
         .select(
             *keys,
             F.transform(
