@@ -47,6 +47,7 @@ K_MAX = 10
 SILHOUETTE_SAMPLE_SIZE = 1500
 KMEANS_RESTARTS = 10
 KMEANS_MAX_ITER = 300
+KMEANS_TOLERANCE = 1e-4
 SEED = 42
 MIN_CLUSTER_SIZE = 20
 OTHER_CLUSTER_ID = -1

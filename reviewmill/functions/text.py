@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 from reviewmill import constants as C
 
 _SPACE = r"\s\x1c-\x1f\x85\p{Z}"
+# A search only asks whether a match exists: one character before the dot is enough (a run there
+# would cost quadratic time in long words), and the word boundary after the suffix is spelled out.
+_URL_SEARCH = "(?iu)" + C.URL_PATTERN.replace("[a-z0-9-]+", "[a-z0-9-]").replace(
+    r"\b", r"(?![\p{L}\p{N}_])"
+)
 _NOISE = rf"[^\p{{L}}\p{{N}}_{_SPACE}{C.HANGUL_CHARS}{C.PLAIN_PUNCTUATION}]+"
 
 
@@ -65,7 +70,7 @@ def embeddable(text: Column) -> Column:
 
 
 def has_url(text: Column) -> Column:
-    return F.coalesce(text.rlike("(?iU)" + C.URL_PATTERN), F.lit(False))
+    return F.coalesce(text.rlike(_URL_SEARCH), F.lit(False))
 
 
 def one_line(text: Column) -> Column:

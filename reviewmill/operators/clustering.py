@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill import constants as C
 from reviewmill.functions import vectors as V
@@ -17,16 +21,27 @@ from reviewmill.operators.scale import materialize, pin, uniform_sample
 from reviewmill.operators.selection import representatives
 
 
-def pca_projection(vectors: DataFrame, dim: int = C.PCA_DIM) -> DataFrame:
-    """review_id, reduced (array<double>): projection on the leading principal components.
+def fit_pca(vectors: DataFrame, dim: int = C.PCA_DIM) -> PCAModel:
+    """Model from embedding to reduced, with min(dim, rows - 1, width) components."""
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    k = max(1, min(dim, n - 1, width))
+    return PCA(k=k, inputCol="_dense", outputCol="_reduced").fit(_dense(vectors))
+
+
+def _dense(vectors: DataFrame) -> DataFrame:
+    return vectors.withColumn("_dense", array_to_vector("embedding"))
 
-    The projection is not centred; a common shift changes neither distances nor clusters.
-    """
-    dense = vectors.select("review_id", array_to_vector("embedding").alias("dense"))
-    n = vectors.count()
-    width = vectors.select(F.size("embedding")).first()[0]
-    model = PCA(k=max(1, min(dim, n - 1, width)), inputCol="dense", outputCol="reduced").fit(dense)
-    return model.transform(dense).select("review_id", vector_to_array("reduced").alias("reduced"))
+
+def project(model: PCAModel, vectors: DataFrame) -> DataFrame:
+    """review_id, reduced (array<double>). The projection is not centred: a common shift changes
+    neither distances nor clusters."""
+    return model.transform(_dense(vectors.select("review_id", "embedding"))).select(
+        "review_id", vector_to_array("_reduced").alias("reduced")
+    )
+
+
+def pca_projection(vectors: DataFrame, dim: int = C.PCA_DIM) -> DataFrame:
+    return project(fit_pca(vectors, dim), vectors)
 
 
 def _features(reduced: DataFrame) -> DataFrame:
@@ -35,29 +50,27 @@ def _features(reduced: DataFrame) -> DataFrame:
 
 def fit_kmeans(
     features: DataFrame,
-    ks: list[int],
+    k: int,
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = 1,
-) -> dict[int, KMeansModel]:
-    """Per k, the best of several k-means runs by within-cluster cost. Pass a cached column
-    features; independent runs may be submitted side by side."""
+    parallelism: int = 4,
+) -> KMeansModel:
+    """Best of several k-means runs by within-cluster cost. Pass a cached column features; a few
+    runs are submitted side by side, so that the tail of one does not leave executors idle."""
+    variance = features.agg(Summarizer.variance(F.col("features"))).first()[0].toArray().mean()
+    # Stop when all centers together moved less than a 10^-4 part of the data's mean variance.
+    tol = (C.KMEANS_TOLERANCE * max(variance, 1e-12) / k) ** 0.5
 
     @inheritable_thread_target(features.sparkSession)
-    def fit(run: tuple[int, int]) -> KMeansModel:
-        k, offset = run
+    def fit(offset: int) -> KMeansModel:
         return KMeans(
-            k=k, seed=seed + offset, maxIter=max_iter, predictionCol="cluster_id"
+            k=k, seed=seed + offset, maxIter=max_iter, tol=tol, predictionCol="cluster_id"
         ).fit(features)
 
-    runs = [(k, offset) for k in ks for offset in range(restarts)]
     with ThreadPoolExecutor(parallelism) as pool:
-        models = list(zip(runs, pool.map(fit, runs)))
-    return {
-        k: min((m for (of, _), m in models if of == k), key=lambda m: m.summary.trainingCost)
-        for k in ks
-    }
+        models = list(pool.map(fit, range(restarts)))
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def kmeans_assign(
@@ -66,43 +79,91 @@ def kmeans_assign(
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = 1,
+    parallelism: int = 4,
 ) -> DataFrame:
     """review_id, cluster_id; clusters are numbered by their smallest review_id."""
     features = _features(reduced).persist()
     try:
-        model = fit_kmeans(features, [k], seed, restarts, max_iter, parallelism)[k]
+        model = fit_kmeans(features, k, seed, restarts, max_iter, parallelism)
         labelled = materialize(model.transform(features).select("review_id", "cluster_id"))
     finally:
         features.unpersist()
-    return _renumber(labelled)
-
-
-def _renumber(labelled: DataFrame) -> DataFrame:
-    firsts = labelled.groupBy("cluster_id").agg(F.min("review_id").alias("first")).collect()
-    order = [r["cluster_id"] for r in sorted(firsts, key=lambda r: r["first"])]
-    pairs = [F.lit(x) for new, old in enumerate(order) for x in (old, new)]
-    return labelled.withColumn("cluster_id", F.create_map(*pairs)[F.col("cluster_id")])
+    return labelled.withColumn("cluster_id", _numbering(labelled)[F.col("cluster_id")])
+
+
+def _numbering(labelled: DataFrame, min_size: int = 0) -> Column:
+    """Map from k-means label to cluster number: by smallest review_id, small ones to "other"."""
+    found = labelled.groupBy("cluster_id").agg(
+        F.min("review_id").alias("first"), F.count(F.lit(1)).alias("size")
+    ).collect()
+    found.sort(key=lambda r: r["first"])
+    pairs = [
+        (r["cluster_id"], new if r["size"] >= min_size else C.OTHER_CLUSTER_ID)
+        for new, r in enumerate(found)
+    ]
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+
+def _mean_silhouettes(sample: DataFrame, vector: str, held: dict, labelings: list) -> list[float]:
+    """Mean silhouette per labeling of a bounded sample; -1 where it has fewer than two labels."""
+    usable = [labels for labels in labelings if len(set(labels)) > 1]
+    if not usable:
+        return [-1.0] * len(labelings)
+    values = sample.select(
+        V.silhouette_to_sample(
+            F.col("review_id"), F.col(vector), held["review_id"], held[vector], usable
+        ).alias("s")
+    )
+    means = iter(values.agg(*[F.avg(F.col("s")[i]) for i in range(len(usable))]).first())
+    return [next(means) if len(set(labels)) > 1 else -1.0 for labels in labelings]
 
 
-def sample_silhouette(labelled: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: mean Euclidean silhouette of a bounded sample (review_id, cluster_id, vector).
+def sample_silhouette(labelled: DataFrame, vector: str = "embedding") -> float:
+    """Mean Euclidean silhouette of a bounded sample (review_id, cluster_id, vector).
 
-    The sample goes to every task as one matrix, so no pairs of rows are ever materialised; with
-    fewer than two clusters the value is -1.
+    The sample goes to every task as one matrix, so no pairs of rows are ever materialised.
     """
-    sample = labelled.select("review_id", F.col("cluster_id").cast("int"), vector)
+    sample = labelled.select("review_id", "cluster_id", vector)
     held = sample.toArrow().to_pydict()
-    if len(set(held["cluster_id"])) < 2:
-        value = F.max(F.lit(-1.0))
-    else:
-        value = F.avg(
-            V.silhouette_to_sample(
-                F.col("review_id"), F.col(vector), F.col("cluster_id"),
-                (held["review_id"], held[vector], held["cluster_id"]),
-            )
-        )
-    return sample.agg(value.alias("silhouette"))
+    return _mean_silhouettes(sample, vector, held, [held["cluster_id"]])[0]
+
+
+def _fit_to_sample(matrix: np.ndarray, max_iter: int):
+    """Batch function for rows (k, seed): k-means on a sample every task holds whole."""
+    mean_variance = matrix.var(axis=0).mean()
+    tolerance = C.KMEANS_TOLERANCE
+
+    def distances(centers):
+        cross = matrix @ centers.T
+        return np.maximum((matrix**2).sum(axis=1)[:, None] - 2 * cross + (centers**2).sum(axis=1), 0)
+
+    def fit(k: int, seed: int):
+        rng = np.random.default_rng(seed)
+        centers = matrix[[rng.integers(len(matrix))]]
+        while len(centers) < k:  # next center: a row drawn by its squared distance
+            far = distances(centers).min(axis=1)
+            weights = far / far.sum() if far.sum() > 0 else None
+            centers = np.vstack([centers, matrix[rng.choice(len(matrix), p=weights)]])
+        for _ in range(max_iter):
+            labels = distances(centers).argmin(axis=1)
+            member = np.eye(k)[labels]
+            size = member.sum(axis=0)[:, None]
+            moved = np.where(size > 0, member.T @ matrix / np.maximum(size, 1), centers)
+            shift, centers = ((moved - centers) ** 2).sum(), moved
+            if shift <= tolerance * mean_variance:
+                break
+        d = distances(centers)
+        return d.argmin(axis=1), d.min(axis=1).sum()
+
+    def run(batches):
+        for batch in batches:
+            fits = [fit(k, seed) for k, seed in zip(batch["k"], batch["seed"])]
+            yield pd.DataFrame({
+                "k": batch["k"], "seed": batch["seed"],
+                "cost": [cost for _, cost in fits], "labels": [labels for labels, _ in fits],
+            })
+
+    return run
 
 
 @dataclass
@@ -120,35 +181,35 @@ def select_k(
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = 8,
 ) -> KChoice:
     """Search k on a bounded sample; the highest silhouette wins, the smaller k on a tie.
 
-    The sample is pinned in one sorted partition, which makes the search repeatable. Its many
-    small fits run side by side as independent Spark jobs.
+    A search over a small sample is many tiny fits: the (k, seed) candidates are the rows of a
+    frame, spread over the cluster, and each task fits its own ones on the same sample.
     """
-    sample = pin(uniform_sample(reduced, sample_size, seed), sample_size)
-    features = _features(sample).coalesce(1).sortWithinPartitions("review_id").persist()
-    features.count()
-    try:
-        models = fit_kmeans(
-            features, list(range(k_min, k_max + 1)), seed, restarts, max_iter, parallelism
-        )
-
-        def score(k: int) -> float:
-            labelled = models[k].transform(features).select(
-                "review_id", "cluster_id", vector_to_array("features").alias("reduced")
-            )
-            return sample_silhouette(labelled, "reduced").first()["silhouette"]
-
-        scores = {k: score(k) for k in models}
-    finally:
-        features.unpersist()
-    best_k, best = k_min, -1.0
+    spark = reduced.sparkSession
+    sample = pin(uniform_sample(reduced.select("review_id", "reduced"), sample_size, seed),
+                 sample_size)
+    held = sample.toArrow().sort_by("review_id").to_pydict()
+    if len(held["review_id"]) <= k_min:
+        return KChoice(k_min, -1.0, {})
+    ks = [k for k in range(k_min, k_max + 1) if k <= len(held["review_id"])]
+    candidates = [(k, seed + offset) for k in ks for offset in range(restarts)]
+    tasks = spark.createDataFrame(candidates, "k int, seed int").repartition(len(candidates))
+    fits = tasks.mapInPandas(
+        _fit_to_sample(np.array(held["reduced"], dtype=np.float64), max_iter),
+        "k int, seed int, cost double, labels array<int>",
+    ).collect()
+    best = {k: min((f for f in fits if f["k"] == k), key=lambda f: (f["cost"], f["seed"]))
+            for k in ks}
+    scores = dict(zip(ks, _mean_silhouettes(
+        sample, "reduced", held, [best[k]["labels"] for k in ks]
+    )))
+    best_k, top = k_min, -1.0
     for k, value in scores.items():
-        if value > best:
-            best_k, best = k, value
-    return KChoice(best_k, best, scores)
+        if value > top:
+            best_k, top = k, value
+    return KChoice(best_k, top, scores)
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
@@ -171,17 +232,17 @@ def merge_tiny(
 
 @dataclass
 class Clustering:
-    """assignments (review_id, cluster_id), clusters (cluster_id, size, representatives ordered
-    by rank, in long form), stats (one row)."""
+    """members: the input rows with their cluster_id; representatives: cluster_id, review_id,
+    rank; clusters: cluster_id, size, representatives in order; stats: one row."""
 
-    assignments: DataFrame
-    clusters: DataFrame
+    members: DataFrame
     representatives: DataFrame
+    clusters: DataFrame
     stats: DataFrame
 
 
 def cluster_reviews(
-    vectors: DataFrame,
+    rows: DataFrame,
     k_min: int = C.K_MIN,
     k_max: int = C.K_MAX,
     pca_dim: int = C.PCA_DIM,
@@ -189,30 +250,48 @@ def cluster_reviews(
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
     seed: int = C.SEED,
+    keep: Callable[[DataFrame], DataFrame] = materialize,
 ) -> Clustering:
-    """PCA, choice of k, k-means on all rows, small-cluster merge, representatives."""
-    spark = vectors.sparkSession
-    reduced = materialize(pca_projection(vectors, pca_dim))
+    """PCA, choice of k, k-means on all rows, small-cluster merge, representatives.
+
+    rows: review_id, embedding and whatever else should stay beside them. The models are applied
+    to the rows where they are; the wide vectors are never shuffled or joined. keep stores the
+    assigned rows, which the later passes read.
+    """
+    pca = fit_pca(rows, pca_dim)
+    reduced = materialize(project(pca, rows))
     choice = select_k(reduced, k_min, k_max, seed=seed, restarts=restarts, max_iter=max_iter)
-    raw = kmeans_assign(reduced, choice.k, seed, restarts, max_iter)
-    assignments = materialize(merge_tiny(raw, min_size))
-    sizes = pin(cluster_sizes(assignments))
-    picks = representatives(vectors.join(assignments, "review_id"))
+    features = _features(reduced).persist()
+    try:
+        model = fit_kmeans(features, choice.k, seed, restarts, max_iter)
+        numbers = _numbering(model.transform(features), min_size)
+    finally:
+        features.unpersist()
+    model.setFeaturesCol("_reduced")
+    members = keep(
+        model.transform(pca.transform(_dense(rows)))
+        .withColumn("cluster_id", numbers[F.col("cluster_id")])
+        .drop("_dense", "_reduced")
+    )
+    return summarize(members, choice, pca.getK())
+
+
+def summarize(members: DataFrame, choice: KChoice, pca_dim: int) -> Clustering:
+    sizes = pin(cluster_sizes(members))
+    picks = pin(representatives(members))
     clusters = (
         picks.groupBy("cluster_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "review_id"))).alias("_picks"))
         .join(sizes, "cluster_id")
         .select("cluster_id", "size", F.col("_picks.review_id").alias("representatives"))
     )
-    width = reduced.select(F.size("reduced")).first()[0]
+    other = F.col("cluster_id") == C.OTHER_CLUSTER_ID
     stats = sizes.agg(
         F.lit(choice.k).alias("k"),
         F.lit(float(choice.silhouette)).alias("sample_silhouette"),
         F.map_from_entries(F.collect_list(F.struct("cluster_id", "size"))).alias("cluster_sizes"),
-        F.coalesce(
-            F.sum(F.when(F.col("cluster_id") == C.OTHER_CLUSTER_ID, F.col("size"))), F.lit(0)
-        ).cast("bigint").alias("other_count"),
-        F.lit(width).alias("pca_dim"),
-        F.count_if(F.col("cluster_id") != C.OTHER_CLUSTER_ID).alias("surviving_clusters"),
+        F.coalesce(F.sum(F.when(other, F.col("size"))), F.lit(0)).alias("other_count"),
+        F.lit(pca_dim).alias("pca_dim"),
+        F.count_if(~other).alias("surviving_clusters"),
     )
-    return Clustering(assignments, clusters, picks, stats)
+    return Clustering(members, picks, clusters, stats)

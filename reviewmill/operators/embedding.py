@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from reviewmill import constants as C
 from reviewmill.functions import text as X
@@ -20,37 +20,40 @@ def embed_reviews(
     embed_fn: Callable[[list[str]], tuple[np.ndarray, int]],
     batch_size: int = C.EMBED_BATCH,
 ) -> DataFrame:
-    """review_id, embedding, call_tokens, opens_call. embed_fn(texts) returns (matrix, tokens
-    used) and is called with at most batch_size texts at a time, inside the tasks.
+    """The reviews with embedding, call_tokens and opens_call added, still in the same rows.
 
-    The first row of each call is marked and carries its tokens, so plain sums over rows are right.
+    embed_fn(texts) returns (matrix, tokens used) and is called in the tasks with at most
+    batch_size texts at a time; blank text is sent as one space. The first row of each call is
+    marked and carries its tokens, so plain sums over rows are right. A lost task calls again for
+    its part: store the result once and read it from there.
     """
-    source = reviews.select("review_id", X.embeddable(F.col("text")).alias("text"))
+    source = reviews.withColumn("_sent", X.embeddable(F.col("text")))
+    kept = reviews.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, batch_size):
                 part = batch.slice(start, batch_size)
-                matrix, tokens = embed_fn(part.column("text").to_pylist())
+                matrix, tokens = embed_fn(part.column("_sent").to_pylist())
                 matrix = np.asarray(matrix, dtype=np.float32)
                 n, width = matrix.shape
                 if n != part.num_rows:
                     raise ValueError(f"asked for {part.num_rows} vectors, got {n}")
                 offsets = np.arange(0, (n + 1) * width, width, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("review_id"),
+                    [part.column(c) for c in kept]
+                    + [
                         pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel())),
                         pa.array([int(tokens)] + [0] * (n - 1), pa.int64()),
                         pa.array([True] + [False] * (n - 1)),
                     ],
-                    names=["review_id", "embedding", "call_tokens", "opens_call"],
+                    names=[*kept, "embedding", "call_tokens", "opens_call"],
                 )
 
-    return source.mapInArrow(
-        run,
-        "review_id bigint, embedding array<float>, call_tokens bigint, opens_call boolean",
-    )
+    schema = T.StructType(list(reviews.schema.fields))
+    schema.add("embedding", T.ArrayType(T.FloatType()))
+    schema.add("call_tokens", T.LongType()).add("opens_call", T.BooleanType())
+    return source.mapInArrow(run, schema)
 
 
 def embedding_usage(embedded: DataFrame, step: str, model: str) -> DataFrame:
@@ -74,7 +77,13 @@ def fit_offline_embedder(reviews: DataFrame, width: int = 256):
 
 
 def embed_offline(model, reviews: DataFrame) -> DataFrame:
-    source = reviews.select("review_id", X.embeddable(F.col("text")).alias("text"))
-    return model.transform(source).select(
-        "review_id", vector_to_array("dense", "float32").alias("embedding")
+    """The reviews with embedding added."""
+    kept = reviews.withColumnRenamed("text", "_text").withColumn(
+        "text", X.embeddable(F.col("_text"))
+    )
+    return (
+        model.transform(kept)
+        .withColumn("embedding", vector_to_array("dense", "float32"))
+        .drop("text", "words", "tf", "tfidf", "dense")
+        .withColumnRenamed("_text", "text")
     )

@@ -50,6 +50,15 @@ def pin(df: DataFrame, max_rows: int = PIN_ROWS) -> DataFrame:
     return df.sparkSession.createDataFrame(head, schema=df.schema)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan of fewer partitions than cores, as from one small file, a share for each core.
+
+    Inputs of cluster size already have more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 # --- ranking ------------------------------------------------------------------------
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill import constants as C
 from reviewmill.functions import text as X, vectors as V
@@ -48,6 +48,13 @@ def spam_scores(reviews: DataFrame, vectors: DataFrame, prototypes) -> DataFrame
     return sims.drop("embedding").join(marked, "review_id")
 
 
+def score_rows(rows: DataFrame, prototypes) -> DataFrame:
+    """The same scores for rows that hold text and embedding side by side: no join at all."""
+    return prototype_similarities(rows, prototypes).withColumn(
+        "has_url", X.has_url(F.col("text"))
+    )
+
+
 def positive_threshold(
     scores: DataFrame,
     target_ratio: float = C.TARGET_SPAM_RATIO,
@@ -58,15 +65,19 @@ def positive_threshold(
     return max(1.0 if found is None else found, floor)
 
 
+def is_spam(threshold: float, min_gap: float = C.MIN_SIMILARITY_GAP) -> Column:
+    """The decision on scored rows, from unrounded values: near to spam, or a URL."""
+    near = (F.col("sim_pos") >= threshold) & (F.col("sim_pos") - F.col("sim_neg") >= min_gap)
+    return near | F.col("has_url")
+
+
 def flag(scores: DataFrame, threshold: float, min_gap: float = C.MIN_SIMILARITY_GAP) -> DataFrame:
-    """Decide on unrounded values, then round what is shown. Stateless for a given threshold."""
-    gap = F.col("sim_pos") - F.col("sim_neg")
-    by_similarity = (F.col("sim_pos") >= threshold) & (gap >= min_gap)
-    shown = gap + F.when(F.col("has_url"), C.URL_SCORE_BOOST).otherwise(0.0)
+    """Flags with the scores rounded for display. Stateless for a given threshold."""
+    boost = F.when(F.col("has_url"), C.URL_SCORE_BOOST).otherwise(0.0)
     return scores.select(
         "review_id",
-        (by_similarity | F.col("has_url")).alias("is_spam"),
-        F.round(shown, 4).alias("spam_score"),
+        is_spam(threshold, min_gap).alias("is_spam"),
+        F.round(F.col("sim_pos") - F.col("sim_neg") + boost, 4).alias("spam_score"),
         F.round("sim_pos", 4).alias("sim_pos"),
         F.round("sim_neg", 4).alias("sim_neg"),
         "has_url",

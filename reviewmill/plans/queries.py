@@ -248,9 +248,8 @@ def silhouette_exact(spark: SparkSession, folder: str) -> DataFrame:
     sample = uniform_sample(
         Tables(spark, folder).vectors, C.SILHOUETTE_SAMPLE_SIZE, C.SEED
     )
-    return clustering.sample_silhouette(pin(sample)).withColumn(
-        "silhouette", F.round("silhouette", 6)
-    )
+    value = clustering.sample_silhouette(pin(sample))
+    return spark.range(1).select(F.round(F.lit(value), 6).alias("silhouette"))
 
 
 def uniform_sample_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -301,7 +300,9 @@ def letter_histogram(texts: list[str]) -> tuple[np.ndarray, int]:
 
 
 def embed_text(spark: SparkSession, folder: str) -> DataFrame:
-    embedded = embedding.embed_reviews(Tables(spark, folder).reviews, letter_histogram)
+    embedded = embedding.embed_reviews(
+        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram
+    )
     return embedded.select("review_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
         "value", F.col("value").cast("double")
     )
@@ -309,7 +310,9 @@ def embed_text(spark: SparkSession, folder: str) -> DataFrame:
 
 def embed_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and price of embedding every review."""
-    embedded = embedding.embed_reviews(Tables(spark, folder).reviews, letter_histogram)
+    embedded = embedding.embed_reviews(
+        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram
+    )
     calls = embedding.embedding_usage(embedded, "embedding", "text-embedding-3-small")
     return ledger.call_cost(calls).agg(
         F.sum("tokens_in").alias("tokens_in"), F.round(F.sum("cost"), 6).alias("cost")

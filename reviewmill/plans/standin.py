@@ -11,7 +11,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.operators.scale import pin
+from reviewmill.operators.scale import pin, spread
 
 POSITIVE_LABELS = 5
 PROTOTYPE_LABELS = 8
@@ -27,7 +27,10 @@ class Tables:
     @property
     def reviews(self) -> DataFrame:
         """review_id, text, lang, recommended (NULL without a label), playtime_hours, posted_at."""
-        return self.read("documents").join(
+        documents = spread(
+            self.read("documents").select("doc_id", "text", "lang", "n_chars"), "doc_id"
+        )
+        return documents.join(
             self.read("labels").select("doc_id", "quality"), "doc_id", "left"
         ).select(
             F.col("doc_id").alias("review_id"),
