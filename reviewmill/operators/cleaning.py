@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from reviewmill import constants as C
 from reviewmill.functions import text as X
@@ -31,13 +31,23 @@ def clean(reviews: DataFrame) -> DataFrame:
     return drop_blank(repair(reviews).drop("original_text", "was_repaired"))
 
 
-def clean_stats(reviews: DataFrame) -> DataFrame:
-    """One row: rows in, rows kept, rows repaired."""
-    return repair(reviews).agg(
+def _stats() -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("input_count"),
         F.count_if(~X.is_blank(F.col("text"))).alias("output_count"),
         F.count_if("was_repaired").alias("encoding_repaired"),
-    )
+    ]
+
+
+def clean_stats(reviews: DataFrame) -> DataFrame:
+    """One row: rows in, rows kept, rows repaired."""
+    return repair(reviews).agg(*_stats())
+
+
+def clean_observed(reviews: DataFrame, observation: Observation) -> DataFrame:
+    """The cleaned review table; writing it also fills the observation with the clean stats."""
+    counted = repair(reviews).observe(observation, *_stats())
+    return drop_blank(counted.drop("original_text", "was_repaired"))
 
 
 def language_distribution(reviews: DataFrame) -> DataFrame:

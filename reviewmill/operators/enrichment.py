@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewmill import constants as C
 from reviewmill.functions import text as X
 from reviewmill.functions.labels import recommend_flag
+from reviewmill.operators.scale import pin
 from reviewmill.schema import ISSUE_REPLY, TOPIC_REPLY
 
 TOPIC_INSTRUCTIONS = (
@@ -155,11 +156,11 @@ def resolve_quotes(wanted: DataFrame, keys: list[str], reviews: DataFrame) -> Da
     Ids that are no integers or have no review are skipped; repeated ids stay repeated. Every key
     is kept, with an empty list where nothing was found.
     """
-    ids = wanted.select(*keys, F.posexplode("quote_ids").alias("_pos", "_id")).withColumn(
-        "review_id", F.expr("try_cast(trim(_id) AS BIGINT)")
+    ids = wanted.select(*keys, F.posexplode("quote_ids").alias("_pos", "_id")).select(
+        *keys, "_pos", F.expr("try_cast(trim(_id) AS BIGINT)").alias("review_id")
     )
     found = (
-        ids.drop("_id")
+        pin(ids)  # of known size, so that few ids do not make Spark shuffle all texts
         .join(reviews.select("review_id", "text"), "review_id")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "review_id", "text"))).alias("_found"))
@@ -266,6 +267,7 @@ def negative_records(
     """Negative records: counts (cluster_id, negative_review_count) and topic names per cluster,
     with the issues (as from parse_issues) nested in order."""
     keys = ["cluster_id", "pos"]
+    issues = pin(issues)
     quoted = issues.drop("quote_ids").join(resolve_quotes(issues, keys, reviews), keys)
     nested = quoted.groupBy("cluster_id").agg(
         F.array_sort(

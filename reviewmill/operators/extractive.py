@@ -31,38 +31,40 @@ def terms_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM_PATTERN), F.lit(0))
 
 
-def class_terms(
-    texts: DataFrame, keys: list[str], stop_words: Iterable[str] = ()
-) -> DataFrame:
-    """keys, term, tf, weight with weight = tf * ln(1 + mean tokens per class / term count).
+def review_term_counts(members: DataFrame, stop_words: Iterable[str] = ()) -> DataFrame:
+    """cluster_id, negative, term, tf, stored: the one pass over the texts that both the topics
+    and the complaints are made from. Counting happens before any row moves.
 
-    texts: keys and text. Counting happens before any row moves; the counts are kept once, as
-    both the mean and the weights need them.
+    members: cluster_id, text, recommended.
     """
-    exploded = texts.select(*keys, F.explode(terms_of(F.col("text"))).alias("term"))
+    exploded = members.select(
+        "cluster_id",
+        is_negative(F.col("recommended")).alias("negative"),
+        F.explode(terms_of(F.col("text"))).alias("term"),
+    )
     words = list(stop_words)
     if words:
-        stop = texts.sparkSession.createDataFrame([(w,) for w in words], "term string")
+        stop = members.sparkSession.createDataFrame([(w,) for w in words], "term string")
         exploded = exploded.join(F.broadcast(stop), "term", "left_anti")  # a fixed word list
-    counts = materialize(
-        exploded.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return materialize(
+        exploded.groupBy("cluster_id", "negative", "term").agg(F.count(F.lit(1)).alias("tf"))
     )
-    mean_tokens = counts.agg(
-        F.sum("tf") / F.count_distinct(F.struct(*keys))
-    ).first()[0]
-    total = F.sum("tf").over(Window.partitionBy("term"))
-    weight = F.col("tf") * F.ln(F.lit(1.0) + F.lit(float(mean_tokens or 0.0)) / total)
-    return counts.select(*keys, "term", "tf", weight.alias("weight"))
 
 
-def cluster_keywords(
-    members: DataFrame, n: int = 10, stop_words: Iterable[str] = ()
-) -> DataFrame:
-    """cluster_id, rank, term, tf, weight: the n heaviest terms of each cluster.
+def class_weights(counts: DataFrame, label: Column) -> DataFrame:
+    """label, term, tf, weight with weight = tf * ln(1 + mean tokens per class / term count)."""
+    merged = counts.groupBy(label.alias("label"), "term").agg(F.sum("tf").alias("tf"))
+    # NULL is a class of its own; there are as many rows here as classes
+    per_class = counts.groupBy(label.alias("label")).agg(F.sum("tf").alias("n"))
+    mean_tokens = per_class.agg(F.avg("n")).first()[0] or 0.0
+    total = F.sum("tf").over(Window.partitionBy("term"))
+    weight = F.col("tf") * F.ln(F.lit(1.0) + F.lit(float(mean_tokens)) / total)
+    return merged.select("label", "term", "tf", weight.alias("weight"))
 
-    members: cluster_id and text.
-    """
-    weighted = class_terms(members, ["cluster_id"], stop_words)
+
+def cluster_keywords(counts: DataFrame, n: int = 10) -> DataFrame:
+    """cluster_id, rank, term, tf, weight: the n heaviest terms of each cluster."""
+    weighted = class_weights(counts, F.col("cluster_id")).withColumnRenamed("label", "cluster_id")
     return top_n_per_group(weighted, ["cluster_id"], [F.desc("weight"), F.asc("term")], n)
 
 
@@ -82,20 +84,17 @@ def cluster_sentiment(members: DataFrame) -> DataFrame:
 
 
 def extractive_topics(
-    members: DataFrame,
-    picks: DataFrame,
-    sizes: DataFrame,
-    n_terms: int = 10,
-    stop_words: Iterable[str] = (),
+    members: DataFrame, counts: DataFrame, picks: DataFrame, sizes: DataFrame, n_terms: int = 10
 ) -> DataFrame:
-    """Topic records. members: review_id, cluster_id, text, recommended; picks: cluster_id,
-    review_id, rank (representatives); sizes: cluster_id, size.
+    """Topic records. members: review_id, cluster_id, text, recommended; counts: their
+    review_term_counts; picks: cluster_id, review_id, rank (representatives); sizes: cluster_id,
+    size.
 
     The topic is the three heaviest terms; Hangul terms fill keywords_ko, the others keywords_en;
     the summary and the quotes are the three nearest representatives.
     """
     keywords = (
-        cluster_keywords(members.select("cluster_id", "text"), n_terms, stop_words)
+        cluster_keywords(counts, n_terms)
         .groupBy("cluster_id")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_terms"))
         .select("cluster_id", F.col("_terms.term").alias("terms"))
@@ -147,28 +146,26 @@ def negative_counts(members: DataFrame) -> DataFrame:
 
 def extractive_issues(
     members: DataFrame,
+    term_counts: DataFrame,
     min_negatives: int = C.MIN_NEGATIVES,
     max_issues: int = MAX_ISSUES,
-    stop_words: Iterable[str] = (),
 ) -> DataFrame:
     """Issue rows in the shape of parsed replies: cluster_id, pos, title, title_en, description,
     description_en, severity, frequency, quote_ids.
 
-    members: review_id, cluster_id, text, recommended, embedding. Classes are the negatives of
-    each cluster, and all other reviews as one. The heaviest terms of a class are its issues; their
-    frequency is the number of negatives that contain the term.
+    members: review_id, cluster_id, text, recommended, embedding; term_counts: their
+    review_term_counts. Classes are the negatives of each cluster, and all other reviews as one.
+    The heaviest terms of a class are its issues; their frequency is the number of negatives that
+    contain the term. Vectors and texts stay in their rows throughout.
     """
     counts = pin(
-        negative_counts(members).where(F.col("negative_review_count") >= min_negatives)
+        negative_counts(members.select("cluster_id", "recommended"))
+        .where(F.col("negative_review_count") >= min_negatives)
         .select("cluster_id", "negative_review_count")
     )
-    marked = members.select(
-        "review_id", "cluster_id", "text", is_negative(F.col("recommended")).alias("_negative")
-    )
-    classes = marked.select(
-        F.when(F.col("_negative"), F.col("cluster_id")).alias("cluster_id"), "text"
-    )
-    weighted = class_terms(classes, ["cluster_id"], stop_words)
+    weighted = class_weights(
+        term_counts, F.when(F.col("negative"), F.col("cluster_id"))
+    ).withColumnRenamed("label", "cluster_id")
     terms = top_n_per_group(
         weighted.join(counts.select("cluster_id"), "cluster_id", "left_semi"),
         ["cluster_id"], [F.desc("weight"), F.asc("term")], max_issues,
@@ -180,32 +177,33 @@ def extractive_issues(
             F.row_number().over(Window.orderBy("cluster_id", "rank")).alias("issue_id"),
         )
     )
-    negatives = marked.where("_negative").select(
-        "review_id", "cluster_id",
-        F.lower("text").rlike(BLOCKER_PATTERN).alias("blocks"),
-        F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"),
+    wanted = pin(
+        issues.groupBy("cluster_id").agg(
+            F.collect_list(F.struct("issue_id", "term")).alias("wanted")
+        )
     )
-    mentions = materialize(
-        negatives.join(issues, ["cluster_id", "term"])
-        .select("issue_id", "review_id", "blocks")
+    negatives = members.where(is_negative(F.col("recommended"))).join(wanted, "cluster_id")
+    mentions = (
+        negatives.withColumn("_terms", terms_of(F.col("text")))
+        .withColumn(
+            "issue_id",
+            F.explode(
+                F.filter("wanted", lambda w: F.array_contains("_terms", w.term)).issue_id
+            ),
+        )
+        .withColumn("blocks", F.lower("text").rlike(BLOCKER_PATTERN))
     )
     facts = mentions.groupBy("issue_id").agg(
         F.count(F.lit(1)).alias("frequency"), F.max("blocks").alias("blocks")
     )
-    centroids = cluster_centroids(
-        members.where(is_negative(F.col("recommended")))
-        .join(counts.select("cluster_id"), "cluster_id", "left_semi")
-        .select("cluster_id", "embedding")
-    )
+    centroids = cluster_centroids(negatives.select("cluster_id", "embedding"))
     issue_centroids = pin(
         issues.join(centroids, "cluster_id")
         .select(F.col("issue_id").alias("cluster_id"), "centroid")
     )
     quotes = (
         nearest_per_cluster(
-            members.select("review_id", "embedding").join(
-                mentions.select("review_id", F.col("issue_id").alias("cluster_id")), "review_id"
-            ),
+            mentions.select("review_id", F.col("issue_id").alias("cluster_id"), "embedding"),
             3,
             issue_centroids,
         )

@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import astuple, dataclass
 from datetime import datetime, timezone
+from functools import cache
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, Row, functions as F
 
 from reviewmill import constants as C
 from reviewmill.operators import (
@@ -65,9 +66,13 @@ def analyze(
     parameters: Parameters = Parameters(),
     force: bool = False,
     run_id: str | None = None,
+    input_id: str | None = None,
 ) -> stages.StageStore:
     """Run every stage that is not stored yet, then write report and tickets.
 
+    input_id identifies the input, for example a file_fingerprint; without one the rows are hashed,
+    which reads the input once more.
+
     Returns the store; load_results gives its tables, and <root>/ledger holds the costs of all
     runs.
     """
@@ -75,11 +80,14 @@ def analyze(
     p = parameters
     now = datetime.now(timezone.utc)
     run_id = run_id or now.strftime("%Y%m%dT%H%M%S%f")
-    reviews = require_unique_ids(select_required(reviews))
+    reviews = select_required(reviews)
     models = (outside.embed_fn is not None, outside.embed_model,
               outside.client_fn is not None, outside.client_model)
-    fingerprint = stages.table_fingerprint(reviews, astuple(p), models)
-    store = stages.StageStore(spark, root, fingerprint)
+    if input_id is None:
+        folder = stages.table_fingerprint(reviews, astuple(p), models)
+    else:
+        folder = stages.combined_fingerprint(input_id, astuple(p), models)
+    store = stages.StageStore(spark, root, folder)
     ledger_path = f"{root.rstrip('/')}/ledger"
 
     def pay(calls: DataFrame) -> None:
@@ -92,8 +100,16 @@ def analyze(
         )
 
     # 1. clean
-    clean = store.stage(stages.CLEAN, lambda: cleaning.clean(reviews), force)
-    clean_stats = store.stage(stages.CLEAN_STATS, lambda: cleaning.clean_stats(reviews), force)
+    if force or not store.done(stages.CLEAN_STATS):
+        counted = Observation("clean")
+        clean = store.write(
+            stages.CLEAN, cleaning.clean_observed(reviews, counted), require_unique_ids
+        )
+        row = spark.createDataFrame([Row(**counted.get)])
+        clean_stats = store.write(stages.CLEAN_STATS, row)
+    else:
+        store.reused += [stages.CLEAN, stages.CLEAN_STATS]
+        clean, clean_stats = store.read(stages.CLEAN), store.read(stages.CLEAN_STATS)
 
     # 2. embed and score; the threshold is one number over all rows
     def scored() -> DataFrame:
@@ -161,6 +177,14 @@ def analyze(
     ).select("cluster_id", "review_id", (F.col("_pos") + 1).alias("rank"))
     texts = members.select("review_id", "text", "lang", "recommended")
 
+    @cache
+    def term_counts() -> DataFrame:
+        return store.stage(
+            stages.TERM_COUNTS,
+            lambda: extractive.review_term_counts(members, extractive.default_stop_words()),
+            force,
+        )
+
     # 4. topics
     def ask(prompts: DataFrame, stage: str, step: str) -> DataFrame:
         fresh = force or not store.done(stage)
@@ -175,9 +199,7 @@ def analyze(
 
     def topics_table() -> DataFrame:
         if outside.client_fn is None:
-            return extractive.extractive_topics(
-                members, picks, clusters, stop_words=extractive.default_stop_words()
-            )
+            return extractive.extractive_topics(members, term_counts(), picks, clusters)
         prompts = enrichment.topic_prompts(picks, texts)
         calls = ask(prompts, stages.TOPIC_CALLS, "cluster_naming")
         return enrichment.parse_topics(calls, clusters, texts)
@@ -189,9 +211,7 @@ def analyze(
 
     def negatives_table() -> DataFrame:
         if outside.client_fn is None:
-            issues = extractive.extractive_issues(
-                members, p.min_negatives, stop_words=extractive.default_stop_words()
-            )
+            issues = extractive.extractive_issues(members, term_counts(), p.min_negatives)
         else:
             enough = counts.where(F.col("negative_review_count") >= p.min_negatives)
             complaining = members.where(~F.col("recommended")).join(

@@ -176,13 +176,7 @@ def active_cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
     flags, _ = spam.detect_spam(reviews, tables.vectors, tables.prototypes)
     # the flags table covers the cleaned reviews, so the texts need not be read again
     kept = flags.where(~F.col("is_spam")).select("review_id")
-    answers = tables.read("labels").select(
-        F.col("doc_id").alias("review_id"), (F.col("quality") == 1).alias("recommended")
-    )
-    members = kept.join(tables.vectors.select("review_id", "cluster_id"), "review_id").join(
-        answers, "review_id", "left"
-    )
-    return extractive.negative_counts(members).withColumn(
+    return extractive.negative_counts(kept.join(tables.answered, "review_id")).withColumn(
         "negative_ratio", F.round("negative_ratio", 6)
     )
 
@@ -429,23 +423,18 @@ def quote_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    tables = Tables(spark, folder)
-    answers = tables.read("labels").select(
-        F.col("doc_id").alias("review_id"), (F.col("quality") == 1).alias("recommended")
-    )
-    members = tables.vectors.select("review_id", "cluster_id").join(answers, "review_id", "left")
-    return extractive.cluster_sentiment(members).withColumn(
+    return extractive.cluster_sentiment(Tables(spark, folder).answered).withColumn(
         "recommended_share", F.round("recommended_share", 6)
     )
 
 
 def cluster_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    members = Tables(spark, folder).members.select("cluster_id", "text")
-    return extractive.cluster_keywords(members).withColumn("weight", F.round("weight", 4))
+    counts = Tables(spark, folder).term_counts
+    return extractive.cluster_keywords(counts).withColumn("weight", F.round("weight", 4))
 
 
 def _issues(tables: Tables) -> DataFrame:
-    return extractive.extractive_issues(tables.members, FEW_NEGATIVES)
+    return extractive.extractive_issues(tables.members, tables.term_counts, FEW_NEGATIVES)
 
 
 def negative_issues(spark: SparkSession, folder: str) -> DataFrame:
@@ -453,12 +442,7 @@ def negative_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def negative_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    tables = Tables(spark, folder)
-    answers = tables.read("labels").select(
-        F.col("doc_id").alias("review_id"), (F.col("quality") == 1).alias("recommended")
-    )
-    members = tables.vectors.select("review_id", "cluster_id").join(answers, "review_id", "left")
-    return extractive.negative_counts(members).withColumn(
+    return extractive.negative_counts(Tables(spark, folder).answered).withColumn(
         "negative_ratio", F.round("negative_ratio", 6)
     )
 
@@ -491,7 +475,7 @@ def _topics(tables: Tables) -> DataFrame:
     members = tables.members
     sizes = pin(clustering.cluster_sizes(tables.vectors))
     picks = selection.nearest_per_cluster(tables.vectors, 5)
-    return extractive.extractive_topics(members, picks, sizes)
+    return extractive.extractive_topics(members, tables.term_counts, picks, sizes)
 
 
 def _names(tables: Tables) -> DataFrame:
@@ -500,21 +484,14 @@ def _names(tables: Tables) -> DataFrame:
 
 
 def _negatives(tables: Tables) -> DataFrame:
-    counts = extractive.negative_counts(
-        tables.vectors.select("review_id", "cluster_id").join(
-            tables.read("labels").select(
-                F.col("doc_id").alias("review_id"), (F.col("quality") == 1).alias("recommended")
-            ),
-            "review_id", "left",
-        )
-    )
+    counts = extractive.negative_counts(tables.answered)
     return enrichment.negative_records(counts, _names(tables), _issues(tables), tables.reviews)
 
 
 def topic_ranking(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return views.topic_ranking(
-        _topics(tables), negative_ratio(spark, folder), "negative_ratio", ["positive", "mixed"]
+        _topics(tables), extractive.negative_counts(tables.answered), "negative_ratio", ["positive", "mixed"]
     ).withColumn("negative_ratio", F.round("negative_ratio", 6))
 
 
@@ -554,7 +531,7 @@ def _kpis(tables: Tables) -> DataFrame:
         clustering.cluster_sizes(tables.vectors).agg(
             F.count(F.lit(1)).alias("k"), F.lit(0.0).alias("sample_silhouette")
         ),
-        negative_ratio(tables.spark, tables.folder),
+        extractive.negative_counts(tables.answered),
         ledger.total_cost(ledger.call_cost(_calls(tables))),
     )
 

@@ -21,10 +21,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
+        self._read: dict[str, DataFrame] = {}
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._read[name]
 
-    @property
+    @cached_property
     def reviews(self) -> DataFrame:
         """review_id, text, lang, recommended (NULL without a label), playtime_hours, posted_at."""
         documents = spread(
@@ -48,11 +52,31 @@ class Tables:
             F.col("vec_id").alias("review_id"), "embedding", F.col("label").alias("cluster_id")
         )
 
+    @property
+    def answers(self) -> DataFrame:
+        """review_id, recommended of the labelled reviews; no text is read for it."""
+        return self.read("labels").select(
+            F.col("doc_id").alias("review_id"), (F.col("quality") == 1).alias("recommended")
+        )
+
     @property
     def members(self) -> DataFrame:
         """Reviews that have a vector, with vector and given cluster."""
         return self.reviews.join(self.vectors, "review_id")
 
+    @property
+    def answered(self) -> DataFrame:
+        """review_id, cluster_id, recommended of the same reviews."""
+        return self.vectors.select("review_id", "cluster_id").join(
+            self.answers, "review_id", "left"
+        )
+
+    @cached_property
+    def term_counts(self) -> DataFrame:
+        from reviewmill.operators.extractive import review_term_counts
+
+        return review_term_counts(self.members)
+
     @property
     def prototype_rows(self) -> DataFrame:
         """pid, polarity, text, embedding: the vector with the lowest id of each of eight labels."""

@@ -13,7 +13,7 @@ FINGERPRINT_CHARS = 12
 CLEAN, CLEAN_STATS = "01_clean", "01_clean_stats"
 SCORED, SPAM_STATS = "02_scored", "02_spam_stats"
 MEMBERS, CLUSTERS, CLUSTER_STATS = "03_members", "03_clusters", "03_cluster_stats"
-TOPIC_CALLS, TOPICS = "04_topic_calls", "04_topics"
+TERM_COUNTS, TOPIC_CALLS, TOPICS = "04_term_counts", "04_topic_calls", "04_topics"
 ISSUE_CALLS, NEGATIVES = "05_issue_calls", "05_negatives"
 KPIS = "06_kpis"
 RESULTS = [CLEAN, CLEAN_STATS, SCORED, SPAM_STATS, MEMBERS, CLUSTERS, CLUSTER_STATS, TOPICS,
@@ -36,8 +36,11 @@ def table_fingerprint(df: DataFrame, *parameters) -> str:
     parts = df.agg(
         F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)")), F.bit_xor(F.hash(h))
     ).first()
-    text = repr((sorted(df.columns), tuple(map(str, parts)), parameters))
-    return hashlib.sha1(text.encode()).hexdigest()[:FINGERPRINT_CHARS]
+    return combined_fingerprint(sorted(df.columns), tuple(map(str, parts)), parameters)
+
+
+def combined_fingerprint(*parts) -> str:
+    return hashlib.sha1(repr(parts).encode()).hexdigest()[:FINGERPRINT_CHARS]
 
 
 class StageStore:
@@ -63,8 +66,13 @@ class StageStore:
     def read(self, stage: str) -> DataFrame:
         return self.spark.read.parquet(self.path(stage))
 
-    def write(self, stage: str, df: DataFrame) -> DataFrame:
+    def write(
+        self, stage: str, df: DataFrame, check: Callable[[DataFrame], object] | None = None
+    ) -> DataFrame:
+        """Store a table. A check that raises leaves the stage not done."""
         df.write.mode("overwrite").parquet(self.path(stage))
+        if check is not None:
+            check(self.read(stage))
         marker = self.spark.range(1).select(F.lit(stage).alias("value"))
         marker.coalesce(1).write.mode("overwrite").text(f"{self.folder}/{stage}.done")
         return self.read(stage)

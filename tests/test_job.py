@@ -108,7 +108,8 @@ def test_keywords_skip_stop_words_and_break_ties_by_term(spark):
     df = spark.createDataFrame(rows, "cluster_id int, text string")
     words = extractive.default_stop_words(["english"])
     assert "the" in words
-    got = extractive.cluster_keywords(df, 3, words).orderBy("cluster_id", "rank").collect()
+    counts = extractive.review_term_counts(df.withColumn("recommended", F.lit(True)), words)
+    got = extractive.cluster_keywords(counts, 3).orderBy("cluster_id", "rank").collect()
     assert [r["term"] for r in got] == ["story", "plot", "zebra", "bug", "alpha", "crash"]
     mean = (5 + 4) / 2
     assert got[0]["weight"] == pytest.approx(3 * np.log(1 + mean / 3))
