@@ -118,12 +118,18 @@ def _mean_silhouettes(sample: DataFrame, vector: str, held: dict, labelings: lis
     return [next(means) if len(set(labels)) > 1 else -1.0 for labels in labelings]
 
 
-def sample_silhouette(labelled: DataFrame, vector: str = "embedding") -> float:
-    """Mean Euclidean silhouette of a bounded sample (review_id, cluster_id, vector).
+def sample_silhouette(
+    labelled: DataFrame,
+    vector: str = "embedding",
+    sample_size: int = C.SILHOUETTE_SAMPLE_SIZE,
+    seed: int = C.SEED,
+) -> float:
+    """Mean Euclidean silhouette of a uniform sample of (review_id, cluster_id, vector).
 
     The sample goes to every task as one matrix, so no pairs of rows are ever materialised.
     """
-    sample = labelled.select("review_id", "cluster_id", vector)
+    rows = labelled.select("review_id", "cluster_id", vector)
+    sample = pin(uniform_sample(rows, sample_size, seed), sample_size)
     held = sample.toArrow().to_pydict()
     return _mean_silhouettes(sample, vector, held, [held["cluster_id"]])[0]
 

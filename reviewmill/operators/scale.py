@@ -29,6 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Asks the file system that the path belongs to; starts no job."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back: cuts the lineage, survives the loss
     of executors, and gives later jobs a columnar table of known size."""

@@ -210,14 +210,13 @@ def mmr_per_cluster(
     if centroids is None:
         centroids = pin(cluster_centroids(members))
     clusters = _load_clusters(centroids, max_clusters)
+    keys = ["cluster_id", "review_id"]
+    candidates = members.join(pin(exclude.select(keys)), keys, "left_anti")
     if clusters is None:
-        return _mmr_by_join(members, centroids, exclude, n, lam)
-    for row in exclude.select("cluster_id", "review_id").toArrow().to_pylist():
-        if row["cluster_id"] in clusters:
-            clusters[row["cluster_id"]].taken.append(row["review_id"])
+        return _mmr_by_join(candidates, centroids, n, lam)
     picks = []
     for round_no in range(1, n + 1):
-        found = _ranked(members, clusters, 1, lam).toArrow().to_pylist()
+        found = _ranked(candidates, clusters, 1, lam).toArrow().to_pylist()
         for row in found:
             cluster = clusters[row["cluster_id"]]
             cluster.taken.append(row["review_id"])
@@ -313,19 +312,11 @@ def _ranked_by_join(members: DataFrame, state: DataFrame, n: int, lam: float | N
     return top_n_per_group(scored, ["cluster_id"], [F.desc("score"), F.asc("review_id")], n)
 
 
-def _mmr_by_join(
-    members: DataFrame, centroids: DataFrame, exclude: DataFrame, n: int, lam: float
-) -> DataFrame:
-    excluded = exclude.groupBy("cluster_id").agg(F.collect_set("review_id").alias("_out"))
-    state = materialize(
-        _join_state(centroids)
-        .join(excluded, "cluster_id", "left")
-        .withColumn("taken", F.coalesce("_out", "taken"))
-        .drop("_out")
-    )
+def _mmr_by_join(candidates: DataFrame, centroids: DataFrame, n: int, lam: float) -> DataFrame:
+    state = _join_state(centroids)
     picks = None
     for round_no in range(1, n + 1):
-        found = materialize(_ranked_by_join(members, state, 1, lam))
+        found = materialize(_ranked_by_join(candidates, state, 1, lam))
         picked = found.select("cluster_id", "review_id", F.lit(round_no).alias("rank"))
         picks = picked if picks is None else picks.unionByName(picked)
         state = materialize(

@@ -12,7 +12,7 @@ from reviewmill.operators import (
     cleaning, clustering, embedding, enrichment, evaluation, export, extractive, ledger,
     selection, spam, views,
 )
-from reviewmill.operators.scale import materialize, pin, uniform_sample
+from reviewmill.operators.scale import materialize, pin, shared_dir, uniform_sample
 from reviewmill.plans.standin import Tables
 
 # The folders hold few labelled reviews with vectors, so the complaint queries lower these bounds.
@@ -239,10 +239,7 @@ def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def silhouette_exact(spark: SparkSession, folder: str) -> DataFrame:
-    sample = uniform_sample(
-        Tables(spark, folder).vectors, C.SILHOUETTE_SAMPLE_SIZE, C.SEED
-    )
-    value = clustering.sample_silhouette(pin(sample))
+    value = clustering.sample_silhouette(Tables(spark, folder).vectors)
     return spark.range(1).select(F.round(F.lit(value), 6).alias("silhouette"))
 
 
@@ -282,6 +279,19 @@ def clustering_job(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.cluster_reviews(vectors, restarts=3).clusters
 
 
+def whole_analysis(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages on all reviews with the offline models; returns the topics that came out."""
+    from reviewmill.plans.analysis import Parameters, analyze
+    from reviewmill.sources import stages
+
+    root = f"{shared_dir(spark)}/reviewmill-analysis"
+    store = analyze(Tables(spark, folder).reviews, root, parameters=Parameters(restarts=3),
+                    force=True)
+    topics = stages.load_results(store)[stages.TOPICS]
+    return topics.select("cluster_id", "size", "topic", "sentiment",
+                         F.size("representative_quotes").alias("quotes"))
+
+
 def letter_histogram(texts: list[str]) -> tuple[np.ndarray, int]:
     """A stand-in for an outside model: counts of the 26 letters; tokens = characters."""
     import numpy as np
@@ -585,7 +595,7 @@ ALL = [
     cluster_centroids, nearest_centroid, nearest_per_cluster, mmr_per_cluster, representatives,
     negative_sample, tiny_cluster_merge, cluster_sizes, silhouette_exact, uniform_sample_ids,
     paraphrase_agreement,
-    pca_projection, kmeans_assign, select_k, clustering_job, embed_text, embed_usage,
+    pca_projection, kmeans_assign, select_k, clustering_job, whole_analysis, embed_text, embed_usage,
     topic_prompt, issue_prompt, response_parse, issue_parse, quote_resolution, cluster_sentiment,
     cluster_keywords, negative_issues, negative_ratio,
     explorer_filter, explorer_page, page_count, topic_ranking, issue_ranking, total_issues,

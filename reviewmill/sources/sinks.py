@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewmill.operators.export import ticket_fields, ticket_payload
+from reviewmill.operators.scale import path_exists
 
 
 def write_report(sections: DataFrame, path: str) -> None:
@@ -48,7 +48,6 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
         "run_id string, seq bigint, step string, model string, tokens_in bigint, "
         "tokens_out bigint, cost double, timestamp timestamp"
     )
-    try:
+    if path_exists(spark, path):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)

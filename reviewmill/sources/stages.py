@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from reviewmill.operators.scale import path_exists
+
 FINGERPRINT_CHARS = 12
 
 CLEAN, CLEAN_STATS = "01_clean", "01_clean_stats"
@@ -58,10 +59,7 @@ class StageStore:
         return f"{self.folder}/{stage}"
 
     def done(self, stage: str) -> bool:
-        try:
-            return self.spark.read.text(f"{self.folder}/{stage}.done").count() > 0
-        except AnalysisException:
-            return False
+        return path_exists(self.spark, f"{self.folder}/{stage}.done/_SUCCESS")
 
     def read(self, stage: str) -> DataFrame:
         return self.spark.read.parquet(self.path(stage))

@@ -6,31 +6,27 @@ from tests.plans import plan_of
 from reviewmill.operators import selection
 
 
-def cosine(a, b):
-    a = a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-12)
-    b = b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-12)
-    return a @ b.T
+def cosine(u, v):
+    return float(np.dot(u, v) / np.sqrt(np.dot(u, u) * np.dot(v, v)))
 
 
 def brute_force(members, n_near, n_mmr, lam=0.6):
-    """Per cluster: ids of the nearest and of the greedy diverse picks, from full matrices."""
-    picks = {}
-    frame = members.toPandas().sort_values("review_id")
-    for cid, part in frame.groupby("cluster_id"):
-        ids = part["review_id"].to_numpy()
-        x = np.stack(part["embedding"]).astype(np.float64)
-        rel = cosine(x, x.mean(axis=0, keepdims=True))[:, 0]
-        pair = cosine(x, x)
-        near = sorted(range(len(x)), key=lambda i: (-rel[i], ids[i]))[:n_near]
-        left, chosen = [i for i in range(len(x)) if i not in near], []
-        while left and len(chosen) < n_mmr:
-            value = {i: lam * rel[i] - (1 - lam) * (max(pair[i, j] for j in chosen) if chosen else 0)
-                     for i in left}
-            best = max(left, key=lambda i: (value[i], -ids[i]))
-            chosen.append(best)
-            left.remove(best)
-        picks[cid] = [int(ids[i]) for i in near + chosen]
-    return picks
+    """Per cluster, ids in pick order: every step ranks all remaining rows anew."""
+    result = {}
+    for cid, part in members.toPandas().groupby("cluster_id"):
+        vec = {r.review_id: np.array(r.embedding, dtype=float) for r in part.itertuples()}
+        center = sum(vec.values()) / len(vec)
+        rel = {i: cosine(v, center) for i, v in vec.items()}
+        picked = sorted(vec, key=lambda i: (-rel[i], i))[:n_near]
+        diverse = []
+        for _ in range(min(n_mmr, len(vec) - len(picked))):
+            def value(i):
+                crowding = max((cosine(vec[i], vec[j]) for j in diverse), default=0.0)
+                return lam * rel[i] - (1 - lam) * crowding
+
+            diverse.append(min(set(vec) - set(picked) - set(diverse), key=lambda i: (-value(i), i)))
+        result[cid] = picked + diverse
+    return result
 
 
 def by_cluster(df):
@@ -84,7 +80,7 @@ def test_nearest_centroid_in_blocks(members, block):
     ).toPandas().sort_values("review_id")
     c = centroids.toPandas().sort_values("cluster_id")
     x = np.stack(members.toPandas().sort_values("review_id")["embedding"]).astype(float)
-    expected = cosine(x, np.stack(c["centroid"]))
+    expected = np.array([[cosine(v, m) for m in c["centroid"]] for v in x])
     assert placed["cluster_id"].tolist() == c["cluster_id"].to_numpy()[expected.argmax(1)].tolist()
     assert np.allclose(placed["similarity"], expected.max(axis=1))
 
