@@ -507,6 +507,10 @@ FROM (SELECT CASE WHEN count(*) < {TINY} THEN -1 ELSE label END AS cluster_id, c
         """SELECT CASE WHEN (SELECT count(DISTINCT cluster_id) FROM sample) < 2 THEN -1.0::DOUBLE
   ELSE (SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) FROM sides) END AS silhouette""",
     ),
+    "pca_distance": with_(
+        [VECTORS, "whole AS (SELECT 0 AS cluster_id, emb FROM vectors)", centroids("whole")],
+        "SELECT review_id, round(list_distance(emb, c), 4) AS distance FROM vectors, centroids",
+    ),
     "uniform_sample_ids": f"""SELECT doc_id AS review_id FROM documents
 ORDER BY md5('{C.SEED}:' || doc_id), doc_id LIMIT 100""",
     "paraphrase_agreement": with_(

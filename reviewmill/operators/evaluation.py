@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.functions import text as X
+from reviewmill.operators.embedding import embed_reviews
 from reviewmill.operators.selection import nearest_centroid
 
 
+def place_reviews(reviews: DataFrame, embed_fn, centroids: DataFrame) -> DataFrame:
+    """Embed new texts and give each its nearest cluster: the input with cluster_id, similarity."""
+    embedded = embed_reviews(reviews, embed_fn).drop("call_tokens", "opens_call")
+    return nearest_centroid(embedded, centroids).drop("embedding")
+
+
 def paraphrase_agreement(probes: DataFrame, centroids: DataFrame) -> DataFrame:
     """probe_group, probes, clusters, agrees: do all probes of a group share their nearest cluster?
 

@@ -39,7 +39,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back: cuts the lineage, survives the loss
     of executors, and gives later jobs a columnar table of known size."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reviewmill/{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId  # one folder to drop when it has ended
+    path = f"{shared_dir(spark)}/reviewmill/{application}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from reviewmill import constants as C
 from reviewmill.functions import labels as L
 from reviewmill.functions import text as X
+from reviewmill.functions import vectors as V
 from reviewmill.operators import (
     cleaning, clustering, embedding, enrichment, evaluation, export, extractive, ledger,
     selection, spam, views,
@@ -150,7 +151,9 @@ def spam_override(spark: SparkSession, folder: str) -> DataFrame:
 
 def active_reviews(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    members = tables.members.select("review_id", "lang", "recommended", "cluster_id")
+    members = tables.reviews.select("review_id", "lang", "recommended").join(
+        tables.vectors.select("review_id", "cluster_id"), "review_id"
+    )
     return spam.active_reviews(members, _flags(tables)[0])
 
 
@@ -262,6 +265,17 @@ def pca_projection(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.pca_projection(Tables(spark, folder).vectors)
 
 
+def pca_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """Distance of every vector from the mean, measured after a projection that keeps all
+    components: a rotation must not change it."""
+    reduced = materialize(clustering.pca_projection(Tables(spark, folder).vectors, 64))
+    center = selection.cluster_centroids(
+        reduced.select(F.lit(0).alias("cluster_id"), F.col("reduced").alias("embedding"))
+    ).first()["centroid"]
+    gap = F.zip_with("reduced", F.lit(center), lambda x, c: x - c)
+    return reduced.select("review_id", F.round(V.norm(gap), 4).alias("distance"))
+
+
 def kmeans_assign(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.kmeans_assign(pca_projection(spark, folder), C.K_MIN, restarts=3)
 
@@ -482,10 +496,9 @@ def page_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _topics(tables: Tables) -> DataFrame:
-    members = tables.members
     sizes = pin(clustering.cluster_sizes(tables.vectors))
     picks = selection.nearest_per_cluster(tables.vectors, 5)
-    return extractive.extractive_topics(members, tables.term_counts, picks, sizes)
+    return extractive.extractive_topics(tables.members, tables.term_counts, picks, sizes)
 
 
 def _names(tables: Tables) -> DataFrame:
@@ -595,7 +608,7 @@ ALL = [
     cluster_centroids, nearest_centroid, nearest_per_cluster, mmr_per_cluster, representatives,
     negative_sample, tiny_cluster_merge, cluster_sizes, silhouette_exact, uniform_sample_ids,
     paraphrase_agreement,
-    pca_projection, kmeans_assign, select_k, clustering_job, whole_analysis, embed_text, embed_usage,
+    pca_projection, pca_distance, kmeans_assign, select_k, clustering_job, whole_analysis, embed_text, embed_usage,
     topic_prompt, issue_prompt, response_parse, issue_parse, quote_resolution, cluster_sentiment,
     cluster_keywords, negative_issues, negative_ratio,
     explorer_filter, explorer_page, page_count, topic_ranking, issue_ranking, total_issues,

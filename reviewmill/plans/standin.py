@@ -11,7 +11,7 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.operators.scale import pin, spread
+from reviewmill.operators.scale import materialize, pin, spread
 
 POSITIVE_LABELS = 5
 PROTOTYPE_LABELS = 8
@@ -59,10 +59,11 @@ class Tables:
             F.col("doc_id").alias("review_id"), (F.col("quality") == 1).alias("recommended")
         )
 
-    @property
+    @cached_property
     def members(self) -> DataFrame:
-        """Reviews that have a vector, with vector and given cluster."""
-        return self.reviews.join(self.vectors, "review_id")
+        """Reviews that have a vector, with vector and given cluster: joined once and stored as
+        whole rows, which the passes over texts and vectors then read column by column."""
+        return materialize(self.reviews.join(self.vectors, "review_id"))
 
     @property
     def answered(self) -> DataFrame:

@@ -94,6 +94,19 @@ def test_embedding_calls_are_batched(spark):
     assert done.count() == 600 and done.columns[:2] == ["review_id", "text"]
 
 
+def test_new_texts_find_their_cluster(spark):
+    def at(text):
+        return [float(v) for v in hashed_words([text])[0][0]]
+
+    centroids = spark.createDataFrame(
+        [(4, at("bug crash")), (2, at("story plot"))], "cluster_id int, centroid array<double>")
+    probes = spark.createDataFrame(
+        [(1, "plot"), (2, "crash crash bug"), (3, "story story")], "review_id bigint, text string")
+    placed = evaluation.place_reviews(probes, hashed_words, centroids)
+    assert placed.columns == ["review_id", "text", "cluster_id", "similarity"]
+    assert {r["review_id"]: r["cluster_id"] for r in placed.collect()} == {1: 2, 2: 4, 3: 2}
+
+
 def test_offline_embedding_has_unit_length(spark):
     texts = spark.createDataFrame(
         [(1, "good game"), (2, "bad bugs"), (3, " ")], "review_id bigint, text string")
