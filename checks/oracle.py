@@ -198,11 +198,11 @@ RATIO = """ratio AS (
 # topic records: words, sentiment, three nearest reviews
 TOPICS = [
     *class_terms("members"), KEYWORDS, SENTIMENT, RATIO,
-    centroids("vectors"),
+    centroids("members"),
     """top3 AS (
   SELECT * FROM (SELECT v.cluster_id, v.review_id, row_number() OVER (PARTITION BY v.cluster_id
       ORDER BY list_cosine_similarity(v.emb, c.c) DESC, v.review_id) AS rank
-    FROM vectors v JOIN centroids c ON v.cluster_id = c.cluster_id) WHERE rank <= 3)""",
+    FROM members v JOIN centroids c ON v.cluster_id = c.cluster_id) WHERE rank <= 3)""",
     f"""quotes AS (
   SELECT t.cluster_id,
          string_agg('- ' || {clip('r.text', 200)}, chr(10) ORDER BY t.rank) AS summary,
@@ -211,7 +211,7 @@ TOPICS = [
   FROM top3 t JOIN reviews r ON r.review_id = t.review_id GROUP BY t.cluster_id)""",
     """topics AS (
   SELECT z.cluster_id, z.n AS size, w.topic, s.sentiment, w.ko, w.en, q.summary, q.quoted
-  FROM (SELECT cluster_id, count(*) AS n FROM vectors GROUP BY cluster_id) z
+  FROM (SELECT cluster_id, count(*) AS n FROM members GROUP BY cluster_id) z
   JOIN (SELECT cluster_id,
                string_agg(term, ' ' ORDER BY rank) FILTER (WHERE rank <= 3) AS topic,
                coalesce(string_agg(term, ' · ' ORDER BY rank)

@@ -496,9 +496,10 @@ def page_count(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _topics(tables: Tables) -> DataFrame:
-    sizes = pin(clustering.cluster_sizes(tables.vectors))
-    picks = selection.nearest_per_cluster(tables.vectors, 5)
-    return extractive.extractive_topics(tables.members, tables.term_counts, picks, sizes)
+    members = tables.members
+    sizes = pin(clustering.cluster_sizes(members))
+    picks = selection.nearest_per_cluster(members, 5)
+    return extractive.extractive_topics(members, tables.term_counts, picks, sizes)
 
 
 def _names(tables: Tables) -> DataFrame:

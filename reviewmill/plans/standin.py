@@ -67,9 +67,12 @@ class Tables:
 
     @property
     def answered(self) -> DataFrame:
-        """review_id, cluster_id, recommended of the same reviews."""
-        return self.vectors.select("review_id", "cluster_id").join(
-            self.answers, "review_id", "left"
+        """review_id, cluster_id, recommended of the same reviews; of the texts only ids are read."""
+        ids = self.read("documents").select(F.col("doc_id").alias("review_id"))
+        return (
+            self.vectors.select("review_id", "cluster_id")
+            .join(ids, "review_id")
+            .join(self.answers, "review_id", "left")
         )
 
     @cached_property
