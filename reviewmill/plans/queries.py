@@ -306,20 +306,25 @@ def whole_analysis(spark: SparkSession, folder: str) -> DataFrame:
                          F.size("representative_quotes").alias("quotes"))
 
 
-def letter_histogram(texts: list[str]) -> tuple[np.ndarray, int]:
-    """A stand-in for an outside model: counts of the 26 letters; tokens = characters."""
-    import numpy as np
+def letter_histogram():
+    """A stand-in for an outside model: counts of the 26 letters; tokens = characters.
 
-    out = np.zeros((len(texts), 26), dtype=np.float32)
-    for row, text in zip(out, texts):
-        counts = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
-        row[:] = counts[65:91] + counts[97:123]
-    return out, sum(map(len, texts))
+    An inner function travels to the tasks by value, so workers need not find this module.
+    """
+
+    def embed(texts: list[str]) -> tuple[np.ndarray, int]:
+        out = np.zeros((len(texts), 26), dtype=np.float32)
+        for row, text in zip(out, texts):
+            counts = np.bincount(np.frombuffer(text.encode(), dtype=np.uint8), minlength=256)
+            row[:] = counts[65:91] + counts[97:123]
+        return out, sum(map(len, texts))
+
+    return embed
 
 
 def embed_text(spark: SparkSession, folder: str) -> DataFrame:
     embedded = embedding.embed_reviews(
-        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram
+        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram()
     )
     return embedded.select("review_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
         "value", F.col("value").cast("double")
@@ -329,7 +334,7 @@ def embed_text(spark: SparkSession, folder: str) -> DataFrame:
 def embed_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and price of embedding every review."""
     embedded = embedding.embed_reviews(
-        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram
+        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram()
     )
     calls = embedding.embedding_usage(embedded, "embedding", "text-embedding-3-small")
     return ledger.call_cost(calls).agg(
