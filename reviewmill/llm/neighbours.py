@@ -94,6 +94,20 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def plus_square(total: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """total + x * x rounded once, as a fused multiply-add does: both rounding errors are found and added back."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        square = x * x
+        split = 134217729.0 * x
+        high = split - (split - x)
+        low = x - high
+        lost = (high * high - square) + 2 * high * low + low * low
+        added = total + square
+        back = added - total
+        lost = lost + ((total - (added - back)) + (square - back))
+    return added + np.where(np.isfinite(lost), lost, 0.0)
+
+
 class _Tile:
     def __init__(self, k: int):
         self.k = k
@@ -105,7 +119,7 @@ class _Tile:
                 query, other = self._survivors(asked, among)
                 score = np.zeros(len(query))
                 for x, y in zip(asked[1].T, among[1].T, strict=True):
-                    score += (x[query] - y[other]) ** 2
+                    score = plus_square(score, x[query] - y[other])
                 yield self._best(asked[0][query], among[0][other], np.sqrt(score))
 
     @staticmethod

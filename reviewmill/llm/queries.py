@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import bpe, chat, language, mixing, neighbours, simhash, warc
+from reviewmill.llm import bpe, chat, language, mixing, neighbours, pagetext, passages, simhash, warc
 from reviewmill.llm.oracle import CLOSING_TEXT
 
 VOCABULARY_FILE = "word_bpe_49k.json"
@@ -51,6 +51,18 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixture.taken().select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The passages of every document that repeat one of an earlier document, with the documents they repeat."""
+    return passages.spans(passages.repeated_passages(_table(spark, folder, "documents")))
+
+
+def op5_pagetext(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return pagetext.extract(_table(spark, folder, "pages")).select(
+        F.col("key").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def vocabulary() -> bpe.Vocabulary:
     return bpe.Vocabulary(public_tokenizers.path(VOCABULARY_FILE))
 
@@ -105,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
     "op3_mixing": op3_mixing,
+    "op4_passages": op4_passages,
+    "op5_pagetext": op5_pagetext,
     "op6_bpe": op6_bpe,
     "op7_neighbours": op7_neighbours,
     "op8_warc": op8_warc,
