@@ -55,4 +55,28 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM escaped GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op7_neighbours": _NEIGHBOURS, "op8_warc": _WARC, "op9_chat": _CHAT}
+_SEARCH = """
+WITH words AS (
+    SELECT doc_id, unnest(list_filter(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS word
+    FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), tf AS (
+    SELECT doc_id, word, count(*)::DOUBLE AS tf FROM words GROUP BY ALL
+), length AS (
+    SELECT doc_id, sum(tf) AS n FROM tf GROUP BY ALL
+), whole AS (
+    SELECT count(*)::DOUBLE AS docs, sum(n) / count(*) AS mean FROM length
+), idf AS (
+    SELECT word, ln(1 + (any_value(docs) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, whole GROUP BY word
+), scored AS (
+    SELECT q.doc_id AS query_id, d.doc_id,
+           fsum(idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score
+    FROM tf q JOIN idf USING (word) JOIN tf d USING (word) JOIN length ON length.doc_id = d.doc_id, whole
+    WHERE q.doc_id % 20 = 0 GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored
+)
+SELECT query_id, rank::INTEGER AS rank, doc_id, round(score, 6) AS score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE: dict[str, str] = {"op7_neighbours": _NEIGHBOURS, "op8_warc": _WARC, "op9_chat": _CHAT, "op10_search": _SEARCH}

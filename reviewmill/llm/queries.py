@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import bpe, chat, language, mixing, neighbours, pagetext, passages, simhash, warc
+from reviewmill.llm import bpe, chat, language, mixing, neighbours, pagetext, passages, search, simhash, warc
 from reviewmill.llm.oracle import CLOSING_TEXT
 
 VOCABULARY_FILE = "word_bpe_49k.json"
 QUERY_STEP = 100
 NEIGHBOURS = 10
+SEARCH_STEP, SEARCH_RESULTS = 20, 10
 FOLDS, HELD_OUT_FOLD = 4, 2
 
 
@@ -113,6 +114,13 @@ def op9_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 best documents for the whole text of every twentieth document."""
+    docs = _table(spark, folder, "documents")
+    found = search.top_k(docs, F.col("doc_id") % SEARCH_STEP == 0, SEARCH_RESULTS)
+    return found.withColumn("score", F.round("score", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -123,4 +131,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_neighbours": op7_neighbours,
     "op8_warc": op8_warc,
     "op9_chat": op9_chat,
+    "op10_search": op10_search,
 }
