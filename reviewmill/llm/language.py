@@ -140,12 +140,20 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     `und` with score 0, and so is every text when nothing was learned. Long texts are parsed in pieces of fixed size,
     so a prediction depends on its text alone.
     """
+    return _identified(docs, F.col(key), model, text).withColumnRenamed("carried", "key")
+
+
+def identified_rows(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """(carried, lang_pred, score): whole rows of `docs` as a struct, so columns of any name pass, with what `identify` says."""
+    return _identified(docs, F.struct(*[F.col(c) for c in docs.columns]), model, text)
+
+
+def _identified(docs: DataFrame, carried: Column, model: LanguageModel, text: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(
-        F.col(key).alias("key"), F.when(has_letter, F.col(text)).alias("text")
-    ).mapInArrow(_Identified(shared), f"key {kind}, lang_pred string, score double")
+    chosen = docs.select(carried.alias("carried"), F.when(has_letter, F.col(text)).alias("text"))
+    kind = chosen.schema["carried"].dataType.simpleString()
+    return chosen.mapInArrow(_Identified(shared), f"carried {kind}, lang_pred string, score double")
 
 
 class _Identified:
@@ -162,7 +170,7 @@ class _Identified:
                 names, scores = self._predict(model, table, weights, part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                    ["key", "lang_pred", "score"],
+                    ["carried", "lang_pred", "score"],
                 )
 
     @staticmethod

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,6 +157,47 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return Mixture(sources, placed, stored(slots, "slots"), block_words)
 
 
+def mixed_texts(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of `docs` that the mix takes words of, with the words taken as their text.
+
+    A document that an epoch takes whole keeps its text as it is; of others the words taken follow in order, parted by one
+    space; epochs are joined by a space. Rows that repeat a key are told apart by source, size and then at random among equals.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_chosen_words(t.as_py(), p.as_py()) for t, p in zip(batch.column(1), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
+
+    parts = mixture.contents().groupBy("source_no", "first_word").agg(
+        F.array_sort(F.collect_list(F.struct("epoch", "begin", "words"))).alias("parts")
+    )
+    taken = mixture.placed.where("size > 0").join(parts, ["source_no", "first_word"]).join(
+        mixture.sources.select("source_no", F.col("source").alias("_source")), "source_no"
+    )
+    number = F.row_number().over(Window.partitionBy("_key", "_source", "_size").orderBy("_order"))
+    taken = taken.select(F.col("key").alias("_key"), "_source", F.col("size").alias("_size"), F.col("first_word").alias("_order"), "parts")
+    taken = taken.withColumn("_number", number)
+    whole = docs.select(
+        F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(key).alias("_key"), F.col(source).alias("_source"),
+        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), F.xxhash64(text).alias("_order"),
+    ).withColumn("_number", number)
+    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("_key", "_source", "_size", "_number")]
+    joined = whole.alias("d").join(taken.alias("t"), same).select("d.row", f"d.row.{text}", "t.parts")
+    kind = joined.schema["row"].dataType.simpleString()
+    return joined.mapInArrow(rows, f"row {kind}, text string").select(
+        *[(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    )
+
+
+def _chosen_words(text: str, parts: list[dict]) -> str:
+    words = re.findall(WORD, text)
+    epochs: dict[int, list[str]] = {}
+    for part in parts:
+        epochs.setdefault(part["epoch"], []).extend(words[part["begin"]: part["begin"] + part["words"]])
+    return " ".join(text if len(own) == len(words) else " ".join(own) for own in epochs.values())
+
+
 class _Draws:
     """The draws of the shards; holds a few numbers a source."""
 
