@@ -37,7 +37,8 @@ def decided(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
 
     Of equal payloads of `least` bytes or more, the smallest key is the response; rows with a larger or null key revisit
     it. Rows that repeat that key, and payloads that have null keys alone, are responses. A null payload is empty.
-    Digests are counted before the join, so only payloads that repeat meet, however often one repeats.
+    Digests are counted before the join, so only payloads that repeat meet, however often one repeats; their table is
+    written, so Spark knows its size when it picks the join, and pages need not move where few payloads repeat.
     """
     text = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
@@ -48,7 +49,7 @@ def decided(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
         digests.where(F.col("bytes") >= least).groupBy("digest")
         .agg(F.count("*").alias("n"), F.min("page_id").alias("first")).where("n > 1").select("digest", "first")
     )
-    return rows.join(first, "digest", "left").select(
+    return rows.join(stored(first, "repeated-payloads"), "digest", "left").select(
         "page_id", "url", "payload", "digest",
         F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
     )
@@ -176,37 +177,38 @@ def _inflated(file) -> Iterator[bytes]:
 
 def members(parts: Iterator[bytes]) -> Iterator[Iterator[bytes]]:
     """Each record of an inflated stream as the pieces of one gzip member; take all pieces before the next record."""
-    held = b""
+    held, at = b"", 0
 
     def fill(n: int) -> bool:
-        nonlocal held
-        while len(held) < n:
+        nonlocal held, at
+        while len(held) - at < n:
             part = next(parts, None)
             if part is None:
                 return False
-            held += part
+            held, at = held[at:] + part, 0
         return True
 
-    def one(head: int, left: int) -> Iterator[bytes]:
-        nonlocal held
+    def one(left: int) -> Iterator[bytes]:
+        nonlocal at
         deflate = zlib.compressobj(MEMBER_LEVEL, zlib.DEFLATED, _GZIP)
-        left += head
         while left:
             if not fill(1):
                 raise ValueError("the stream ends inside a record")
-            part, held = held[:left], held[left:]
+            part = held[at: at + left]
+            at += len(part)
             left -= len(part)
             yield deflate.compress(part)
         yield deflate.flush()
 
     while fill(1):
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if len(held) > HEADER_BYTES or not fill(len(held) + 1):
+        while (end := held.find(b"\r\n\r\n", at)) < 0:
+            if len(held) - at > HEADER_BYTES or not fill(len(held) - at + 1):
                 raise ValueError("no end of a record's headers")
-        length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", held[:end])
-        if not held.startswith(b"WARC/") or not length:
+        head = held[at:end]
+        length = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
+        if not head.startswith(b"WARC/") or not length:
             raise ValueError("no WARC record")
-        yield one(end + 4, int(length[1]) + 4)
+        yield one(len(head) + 4 + int(length[1]) + 4)
 
 
 def read_back(index: DataFrame) -> DataFrame:
