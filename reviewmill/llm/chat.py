@@ -43,21 +43,23 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     reach = nodes.alias("c").join(nodes.alias("p"), same_tree & (F.col("c.parent") == F.col("p.id")), "left").select(
         "c.tree", "c.id", F.col("p.id").alias("ancestor"), F.col("c.score").alias("total"), F.lit(1).cast("long").alias("depth")
     )
-    levels = [stored(reach, "reach")]
-    while not levels[-1].where("ancestor is not null").isEmpty():
+    levels, whole = [stored(reach, "reach")], None
+    while True:
+        here = levels[-1]
+        rooted, open_ = here.where("ancestor is null"), here.where("ancestor is not null")
+        whole = rooted if whole is None else whole.unionByName(rooted)
+        if open_.isEmpty():
+            break
         if len(levels) > _MOST_LEVELS or (len(levels) > 1 and 2 ** (len(levels) - 1) > nodes.count()):
             raise ValueError("replies form a circle")
-        here = levels[-1]
-        joined = here.alias("c").join(
-            here.alias("p"),
-            same_tree & (F.col("c.ancestor") == F.col("p.id")), "left",
+        # only rows that have not come to their root go on, each to where its ancestor has come to
+        joined = open_.alias("c").join(
+            whole.unionByName(open_).alias("p"), same_tree & (F.col("c.ancestor") == F.col("p.id")), "left"
         )
         levels.append(stored(joined.select(
-            "c.tree", "c.id", "p.ancestor",
-            (F.col("c.total") + F.coalesce("p.total", F.lit(0.0))).alias("total"),
-            (F.col("c.depth") + F.coalesce("p.depth", F.lit(0))).alias("depth"),
+            "c.tree", "c.id", "p.ancestor", (F.col("c.total") + F.col("p.total")).alias("total"),
+            (F.col("c.depth") + F.col("p.depth")).alias("depth"),
         ), "reach"))
-    whole = levels[-1]
     leaves = whole.alias("c").join(
         levels[0].where("ancestor is not null").select("tree", F.col("ancestor").alias("id")).distinct().alias("p"),
         same_tree & (F.col("c.id") == F.col("p.id")), "left_anti",
@@ -71,10 +73,9 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             same_tree & (F.col("c.id") == F.col("p.id")),
         ).select("c.tree", "c.leaf", "c.branch", F.col("p.ancestor").alias("id"))
         path = stored(path.unionByName(up), "path")
-    out = path.alias("c").join(
+    return path.alias("c").join(
         whole.alias("p"), same_tree & (F.col("c.id") == F.col("p.id"))
     ).select("c.tree", "c.leaf", "c.branch", "p.depth", "c.id")
-    return out
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
