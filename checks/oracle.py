@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from reviewmill import constants as C
 from reviewmill.operators import enrichment, extractive
-from reviewmill.plans.queries import (
-    FEW_NEGATIVES, SMALL_NEAREST, SMALL_SAMPLE, SPAM_PHRASES, TINY,
-)
+from reviewmill.plans.queries import SPAM_PHRASES
+
+# the documented bounds, spelled out so that a wrong constant in the engine shows
+TINY = 50
+MIN_NEGATIVES, SAMPLE, NEAREST = 5, 20, 10
+TARGET_SPAM_RATIO, MIN_POSITIVE_SIMILARITY, MIN_SIMILARITY_GAP, URL_SCORE_BOOST = 0.06, 0.32, 0.03, 0.1
+MMR_LAMBDA, SEED = 0.6, 42
+MAX_ISSUES, MAJOR_SHARE, POSITIVE_SHARE, NEGATIVE_SHARE = 5, 0.2, 0.7, 0.3
+TERM_PATTERN = r"[\p{L}\p{N}]{2,}"
+BLOCKER_PATTERN = r"(crash|freez|won.t (start|launch)|cannot progress|game.?breaking)"
 
 
 def q(text: str) -> str:
@@ -57,7 +64,8 @@ REVIEWS = """reviews AS (
 VECTORS = """vectors AS (
   SELECT vec_id AS review_id, embedding::DOUBLE[] AS emb, label AS cluster_id FROM embeddings)"""
 MEMBERS = """members AS (
-  SELECT r.*, v.emb, v.cluster_id FROM reviews r JOIN vectors v ON r.review_id = v.review_id)"""
+  SELECT r.*, v.emb, coalesce(v.cluster_id, -1) AS cluster_id
+  FROM reviews r LEFT JOIN vectors v ON r.review_id = v.review_id)"""
 PROTOTYPES = """prototypes AS (
   SELECT e.label AS pid, e.embedding::DOUBLE[] AS emb FROM embeddings e
   JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings WHERE label < 8 GROUP BY label) p
@@ -72,19 +80,19 @@ def scores(vectors: str = "vectors", reviews: str = "reviews") -> list[str]:
   SELECT v.review_id, p.pid, list_cosine_similarity(v.emb, p.emb) AS s
   FROM {vectors} v, prototypes p)""",
         f"""scores AS (
-  SELECT s.review_id, s.sim_pos, s.sim_neg, s.matched_prototype, {has_url('r.text')} AS has_url
+  SELECT r.review_id, s.sim_pos, s.sim_neg, s.matched_prototype, {has_url('r.text')} AS has_url
   FROM (SELECT review_id, max(s) FILTER (WHERE pid < 5) AS sim_pos,
                max(s) FILTER (WHERE pid >= 5) AS sim_neg,
                'prototype ' || arg_max(pid, s) FILTER (WHERE pid < 5) AS matched_prototype
         FROM sims GROUP BY review_id) s
-  JOIN {reviews} r ON r.review_id = s.review_id)""",
+  RIGHT JOIN {reviews} r ON r.review_id = s.review_id)""",
         f"""threshold AS (
-  SELECT greatest(coalesce(quantile_cont(sim_pos, 1.0 - {C.TARGET_SPAM_RATIO}), 1.0),
-                  {C.MIN_POSITIVE_SIMILARITY}) AS t FROM scores)""",
+  SELECT greatest(coalesce(quantile_cont(sim_pos, 1.0 - {TARGET_SPAM_RATIO}), 1.0),
+                  {MIN_POSITIVE_SIMILARITY}) AS t FROM scores)""",
         f"""flags AS (
   SELECT review_id,
-         (sim_pos >= t AND sim_pos - sim_neg >= {C.MIN_SIMILARITY_GAP}) OR has_url AS is_spam,
-         round(sim_pos - sim_neg + CASE WHEN has_url THEN {C.URL_SCORE_BOOST}::DOUBLE ELSE 0 END, 4)
+         coalesce(sim_pos >= t AND sim_pos - sim_neg >= {MIN_SIMILARITY_GAP}, false) OR has_url AS is_spam,
+         round(sim_pos - sim_neg + CASE WHEN has_url THEN {URL_SCORE_BOOST}::DOUBLE ELSE 0 END, 4)
            AS spam_score,
          round(sim_pos, 4) AS sim_pos, round(sim_neg, 4) AS sim_neg, has_url, matched_prototype
   FROM scores, threshold)""",
@@ -101,7 +109,7 @@ def centroids(source: str, name: str = "centroids") -> str:
 
 def selection(source: str, n_near: int, n_mmr: int, where: str = "true") -> list[str]:
     """Nearest and diverse picks of the clusters whose centroid row satisfies the condition."""
-    lam = C.MMR_LAMBDA
+    lam = MMR_LAMBDA
     ctes = [
         centroids(source),
         f"""relevance AS (
@@ -137,6 +145,31 @@ def selection(source: str, n_near: int, n_mmr: int, where: str = "true") -> list
     return ctes
 
 
+def silhouette(source: str) -> list[str]:
+    """Mean silhouette over all rows with squared Euclidean distance, from all pairs."""
+    return [
+        f"""means AS (
+  SELECT a.review_id, a.cluster_id AS own, b.cluster_id AS other,
+         avg(power(list_distance(a.emb, b.emb), 2)) AS d
+  FROM {source} a JOIN {source} b ON a.review_id <> b.review_id
+  GROUP BY a.review_id, a.cluster_id, b.cluster_id)""",
+        """sides AS (
+  SELECT review_id, max(d) FILTER (WHERE own = other) AS a,
+         min(d) FILTER (WHERE own <> other) AS b FROM means GROUP BY review_id)""",
+        f"""silhouette AS (
+  SELECT CASE WHEN (SELECT count(DISTINCT cluster_id) FROM {source}) < 2 THEN -1.0::DOUBLE
+  ELSE (SELECT avg(coalesce((b - a) / greatest(a, b), 0)) FROM sides) END AS value)""",
+    ]
+
+
+# the reviews that are no spam
+ACTIVE_BASE = [
+    REVIEWS, VECTORS, MEMBERS.replace("members AS", "all_members AS"), *scores(),
+    """members AS (
+  SELECT m.* FROM all_members m ANTI JOIN flags f ON f.review_id = m.review_id AND f.is_spam)""",
+]
+
+
 NEGATIVES = """negatives AS (
   SELECT v.review_id, v.cluster_id, v.emb FROM vectors v
   JOIN labels l ON l.doc_id = v.review_id WHERE l.quality <> 1)"""
@@ -145,25 +178,43 @@ NEGATIVES = """negatives AS (
 def negative_picks() -> list[str]:
     return [
         NEGATIVES,
-        *selection("negatives", SMALL_NEAREST, SMALL_SAMPLE - SMALL_NEAREST,
-                   f"c.size > {SMALL_SAMPLE}"),
+        *selection("negatives", NEAREST, SAMPLE - NEAREST, f"c.size > {SAMPLE}"),
         f"""sampled AS (
   SELECT cluster_id, review_id, rank FROM picks UNION ALL
   SELECT n.cluster_id, n.review_id,
          CAST(row_number() OVER (PARTITION BY n.cluster_id ORDER BY n.review_id) AS INTEGER)
   FROM negatives n JOIN centroids c ON n.cluster_id = c.cluster_id
-  WHERE c.size <= {SMALL_SAMPLE})""",
+  WHERE c.size <= {SAMPLE})""",
     ]
 
 
-TERM = q(extractive.TERM_PATTERN)
+TERM = q(TERM_PATTERN)
+
+
+def stop_words() -> list[str]:
+    """The lists that come with Spark, read from its archive, and the engine's Korean list."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
+    words = set(extractive.KOREAN_STOP_WORDS)
+    with zipfile.ZipFile(jar) as archive:
+        for language in ("english", "french", "german", "spanish"):
+            data = archive.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
+            words.update(data.decode().split("\n"))
+    return sorted(words - {""})
 
 
 def class_terms(source: str) -> list[str]:
     """source: cluster_id (may be NULL), text."""
     return [
         f"""tokens AS (
-  SELECT cluster_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM {source})""",
+  SELECT * FROM (
+    SELECT cluster_id, unnest(regexp_extract_all(lower(text), {TERM})) AS term FROM {source})
+  WHERE term NOT IN ({', '.join(map(q, stop_words()))}))""",
         "tf AS (SELECT cluster_id, term, count(*) AS tf FROM tokens GROUP BY cluster_id, term)",
         """mean_tokens AS (
   SELECT sum(n) / CAST(count(*) AS DOUBLE) AS a
@@ -183,8 +234,8 @@ KEYWORDS = """keywords AS (
 
 SENTIMENT = f"""sentiment AS (
   SELECT cluster_id, recommended_share,
-         CASE WHEN recommended_share >= {extractive.POSITIVE_SHARE} THEN 'positive'
-              WHEN recommended_share <= {extractive.NEGATIVE_SHARE} THEN 'negative'
+         CASE WHEN recommended_share >= {POSITIVE_SHARE} THEN 'positive'
+              WHEN recommended_share <= {NEGATIVE_SHARE} THEN 'negative'
               ELSE 'mixed' END AS sentiment
   FROM (SELECT cluster_id, avg(CAST(recommended AS INTEGER)) AS recommended_share
         FROM members GROUP BY cluster_id))"""
@@ -220,7 +271,7 @@ TOPICS = [
                         FILTER (WHERE NOT regexp_matches(term, '[가-힣]')), '') AS en
         FROM keywords GROUP BY cluster_id) w ON w.cluster_id = z.cluster_id
   JOIN sentiment s ON s.cluster_id = z.cluster_id
-  JOIN quotes q ON q.cluster_id = z.cluster_id)""",
+  LEFT JOIN quotes q ON q.cluster_id = z.cluster_id)""",
 ]
 
 
@@ -242,15 +293,15 @@ ISSUES = [
     *prefixed(class_terms("classes"), ["tokens", "mean_tokens", "weighted"], "i_"),
     f"""counts AS (
   SELECT cluster_id, count(*) AS n FROM members WHERE recommended = false
-  GROUP BY cluster_id HAVING count(*) >= {FEW_NEGATIVES})""",
+  GROUP BY cluster_id HAVING count(*) >= {MIN_NEGATIVES})""",
     f"""issue_terms AS (
   SELECT * FROM (SELECT w.cluster_id, w.term, row_number() OVER (
       PARTITION BY w.cluster_id ORDER BY w.weight DESC, w.term) AS k
     FROM i_weighted w JOIN counts c ON c.cluster_id = w.cluster_id)
-  WHERE k <= {extractive.MAX_ISSUES})""",
+  WHERE k <= {MAX_ISSUES})""",
     f"""mentions AS (
   SELECT i.cluster_id, i.term, m.review_id, m.emb,
-         regexp_matches(lower(m.text), {q(extractive.BLOCKER_PATTERN)}) AS blocks
+         regexp_matches(lower(m.text), {q(BLOCKER_PATTERN)}) AS blocks
   FROM issue_terms i JOIN members m ON m.cluster_id = i.cluster_id AND m.recommended = false
   WHERE list_contains(regexp_extract_all(lower(m.text), {TERM}), i.term))""",
     "negative_members AS (SELECT * FROM members WHERE recommended = false)",
@@ -263,7 +314,7 @@ ISSUES = [
     f"""facts AS (
   SELECT m.cluster_id, m.term, any_value(c.n) AS n, CAST(count(*) AS INTEGER) AS frequency,
          CASE WHEN bool_or(m.blocks) THEN 'critical'
-              WHEN count(*) >= {extractive.MAJOR_SHARE}::DOUBLE * any_value(c.n) THEN 'major'
+              WHEN count(*) >= {MAJOR_SHARE}::DOUBLE * any_value(c.n) THEN 'major'
               ELSE 'minor' END AS severity
   FROM mentions m JOIN counts c ON c.cluster_id = m.cluster_id GROUP BY m.cluster_id, m.term)""",
     f"""issues AS (
@@ -273,8 +324,8 @@ ISSUES = [
          f.term AS title, f.term AS title_en,
          f.frequency || ' of ' || f.n || ' negative reviews mention "' || f.term || '".'
            AS description,
-         f.severity, f.frequency, q.quote_ids
-  FROM facts f JOIN (SELECT cluster_id, term, string_agg(id, ',' ORDER BY k) AS quote_ids
+         f.severity, f.frequency, coalesce(q.quote_ids, '') AS quote_ids
+  FROM facts f LEFT JOIN (SELECT cluster_id, term, string_agg(id, ',' ORDER BY k) AS quote_ids
                      FROM issue_quotes GROUP BY cluster_id, term) q
     ON q.cluster_id = f.cluster_id AND q.term = f.term)""",
 ]
@@ -285,9 +336,9 @@ SECTIONS = f"""sections AS (
     || t.topic || ')' || chr(10) || '**리뷰 수**: ' || format('{{:,}}', t.size) || ' / **감정**: '
     || {case('t.sentiment', C.SENTIMENT_BADGE, "''")} || chr(10)
     || '**키워드**: ' || t.ko || chr(10) || '**Keywords**: ' || t.en || chr(10) || chr(10)
-    || '**요약**' || chr(10) || t.summary || chr(10) || chr(10)
-    || '**Summary**' || chr(10) || t.summary || chr(10) || chr(10)
-    || '**대표 인용**' || chr(10) || chr(10) || t.quoted
+    || '**요약**' || chr(10) || coalesce(t.summary, '') || chr(10) || chr(10)
+    || '**Summary**' || chr(10) || coalesce(t.summary, '') || chr(10) || chr(10)
+    || '**대표 인용**' || chr(10) || chr(10) || coalesce(t.quoted, '')
     || coalesce(chr(10) || {q(C.ISSUES_HEADING)} || chr(10) || chr(10) || {q(C.ISSUE_TABLE_HEADER)}
                 || l.lines || chr(10), '') || chr(10) AS markdown
   FROM topics t LEFT JOIN (SELECT cluster_id, string_agg(line, chr(10) ORDER BY issue_no) AS lines
@@ -320,7 +371,9 @@ MOJIBAKE_OF_EXAMPLE = """list_aggregate(list_transform(
     'string_agg', '')"""
 
 KPIS = [
-    *scores(), RATIO, *LEDGER,
+    *LEDGER,
+    "placed AS (SELECT v.* FROM vectors v SEMI JOIN members m ON m.review_id = v.review_id)",
+    *silhouette("placed"),
     f"""kpis AS (
   SELECT 'input_count' AS metric, CAST(count(*) AS DOUBLE) AS value FROM reviews UNION ALL
   SELECT 'output_count', count(*) FILTER (WHERE {strip('text')} <> '') FROM reviews UNION ALL
@@ -328,8 +381,8 @@ KPIS = [
     WHERE review_id % 33 = 0 AND regexp_matches(text, '[^\\x00-\\x7F]')) FROM reviews UNION ALL
   SELECT 'spam_count', count(*) FILTER (WHERE is_spam) FROM flags UNION ALL
   SELECT 'spam_ratio', avg(CAST(is_spam AS INTEGER)) FROM flags UNION ALL
-  SELECT 'k', count(DISTINCT cluster_id) FROM vectors UNION ALL
-  SELECT 'sample_silhouette', 0 UNION ALL
+  SELECT 'k', count(DISTINCT cluster_id) FROM members WHERE cluster_id <> -1 UNION ALL
+  SELECT 'sample_silhouette', value FROM silhouette UNION ALL
   SELECT 'negative_count', sum(negative_review_count) FROM ratio UNION ALL
   SELECT 'total_cost_usd', round(sum(cost), 6) FROM costs UNION ALL
   SELECT 'normal_count', (SELECT count(*) FILTER (WHERE {strip('text')} <> '') FROM reviews)
@@ -434,7 +487,7 @@ FROM sims GROUP BY review_id""",
         f"""SELECT count(*) AS total, count(*) FILTER (WHERE is_spam) AS spam_count,
   round(avg(CAST(is_spam AS INTEGER)), 6) AS spam_ratio,
   (SELECT round(t, 6) FROM threshold) AS threshold_pos,
-  {C.MIN_SIMILARITY_GAP}::DOUBLE AS threshold_diff,
+  {MIN_SIMILARITY_GAP}::DOUBLE AS threshold_diff,
   count(*) FILTER (WHERE has_url) AS url_boost_count FROM flags""",
     ),
     "spam_candidates": with_(
@@ -494,25 +547,21 @@ FROM (SELECT CASE WHEN count(*) < {TINY} THEN -1 ELSE label END AS cluster_id, c
       FROM embeddings GROUP BY label) GROUP BY cluster_id""",
     "silhouette_exact": with_(
         [VECTORS,
-         f"""sample AS (SELECT * FROM vectors
-  ORDER BY md5('{C.SEED}:' || review_id), review_id LIMIT {C.SILHOUETTE_SAMPLE_SIZE})""",
-         """means AS (
-  SELECT a.review_id, a.cluster_id AS own, b.cluster_id AS other,
-         avg(list_distance(a.emb, b.emb)) AS d
-  FROM sample a JOIN sample b ON a.review_id <> b.review_id
-  GROUP BY a.review_id, a.cluster_id, b.cluster_id)""",
-         """sides AS (
-  SELECT review_id, max(d) FILTER (WHERE own = other) AS a,
-         min(d) FILTER (WHERE own <> other) AS b FROM means GROUP BY review_id)"""],
-        """SELECT CASE WHEN (SELECT count(DISTINCT cluster_id) FROM sample) < 2 THEN -1.0::DOUBLE
-  ELSE (SELECT round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) FROM sides) END AS silhouette""",
+         *silhouette("vectors")],
+        "SELECT round(value, 6) AS silhouette FROM silhouette",
     ),
     "pca_distance": with_(
         [VECTORS, "whole AS (SELECT 0 AS cluster_id, emb FROM vectors)", centroids("whole")],
         "SELECT review_id, round(list_distance(emb, c), 4) AS distance FROM vectors, centroids",
     ),
+    "kmeans_check": """SELECT count(*) AS rows, 6::BIGINT AS clusters, 0::BIGINT AS misplaced
+FROM embeddings""",
+    "k_check": """SELECT 5::BIGINT AS tried, 1::BIGINT AS chosen, 0::DOUBLE AS behind,
+  0::BIGINT AS out_of_range FROM embeddings LIMIT 1""",
+    "clustering_check": """SELECT count(*) AS rows, true AS k_in_range, 0::BIGINT AS too_small,
+  0::BIGINT AS strangers, 0::BIGINT AS named_twice FROM embeddings""",
     "uniform_sample_ids": f"""SELECT doc_id AS review_id FROM documents
-ORDER BY md5('{C.SEED}:' || doc_id), doc_id LIMIT 100""",
+ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT 100""",
     "paraphrase_agreement": with_(
         [VECTORS, centroids("vectors"),
          """placed AS (
@@ -558,7 +607,7 @@ FROM sampled p JOIN reviews r ON r.review_id = p.review_id GROUP BY cluster_id""
   SELECT w.d, string_agg(CAST(w.id AS VARCHAR), ',' ORDER BY w.pos) AS quote_ids,
          string_agg({clip('t.text', 200)}, '|' ORDER BY w.pos) AS quotes
   FROM wanted w JOIN documents t ON t.doc_id = w.id GROUP BY w.d)"""],
-        """SELECT CAST(s.d AS INTEGER) AS cluster_id, CAST(quality AS BIGINT) AS size,
+        """SELECT s.d AS cluster_id, CAST(quality AS BIGINT) AS size,
   CASE s WHEN 0 THEN 't' || s.d WHEN 1 THEN 't' || s.d WHEN 5 THEN '클러스터 ' || s.d
          ELSE '(미정)' END AS topic,
   CASE s WHEN 0 THEN 'e' || s.d WHEN 4 THEN 'only' WHEN 5 THEN 'Cluster ' || s.d
@@ -570,7 +619,7 @@ FROM sampled p JOIN reviews r ON r.review_id = p.review_id GROUP BY cluster_id""
   coalesce(quote_ids, '') AS quote_ids, coalesce(quotes, '') AS quotes
 FROM shaped s LEFT JOIN quoted q ON q.d = s.d""",
     ),
-    "issue_parse": """SELECT CAST(doc_id AS INTEGER) AS cluster_id, CAST(pos AS INTEGER) AS pos,
+    "issue_parse": """SELECT doc_id AS cluster_id, CAST(pos AS INTEGER) AS pos,
   title, title_en, description, description_en, severity, CAST(frequency AS INTEGER) AS frequency,
   quote_ids, priority FROM (
   SELECT doc_id, 0 AS pos, 'a' || doc_id AS title, 'b' AS title_en, 'd' AS description,
@@ -593,21 +642,21 @@ FROM shaped s LEFT JOIN quoted q ON q.d = s.d""",
   string_agg(text, chr(10) ORDER BY pos) AS texts FROM found WHERE k <= 3 GROUP BY doc_id""",
     ),
     "cluster_sentiment": with_(
-        [*BASE, SENTIMENT],
+        [*ACTIVE_BASE, SENTIMENT],
         """SELECT cluster_id, round(recommended_share, 6) AS recommended_share, sentiment
 FROM sentiment""",
     ),
     "cluster_keywords": with_(
-        [*BASE, *class_terms("members"), KEYWORDS],
+        [*ACTIVE_BASE, *class_terms("members"), KEYWORDS],
         "SELECT cluster_id, term, tf, round(weight, 4) AS weight, rank FROM keywords",
     ),
     "negative_issues": with_(
-        [*BASE, *ISSUES],
+        [*ACTIVE_BASE, *ISSUES],
         """SELECT cluster_id, pos, title, title_en, description, description AS description_en,
   severity, frequency, quote_ids FROM issues""",
     ),
     "negative_ratio": with_(
-        [*BASE, RATIO],
+        [*ACTIVE_BASE, RATIO],
         """SELECT cluster_id, size, negative_review_count, round(negative_ratio, 6) AS negative_ratio
 FROM ratio""",
     ),
@@ -623,11 +672,18 @@ WHERE cluster_id IN (1, 2, 3, 4, 5) AND lang IN ('en', 'fr') AND recommended
         """SELECT r.review_id, lang, playtime_hours, coalesce(cluster_id, -1) AS cluster_id, text
 FROM reviews r LEFT JOIN vectors v ON v.review_id = r.review_id
 ORDER BY r.review_id LIMIT 50 OFFSET 100""",
+    ),
+    "explorer_facets": with_(
+        [REVIEWS, VECTORS],
+        """SELECT 'cluster' AS facet, CAST(coalesce(cluster_id, -1) AS VARCHAR) AS value, count(*) AS reviews
+FROM reviews r LEFT JOIN vectors v ON v.review_id = r.review_id GROUP BY ALL
+UNION ALL SELECT 'lang', lang, count(*) FROM reviews WHERE lang IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'max_playtime', CAST(max(playtime_hours) AS VARCHAR), count(playtime_hours) FROM reviews""",
     ),
     "page_count": """SELECT count(*) AS total,
   CAST(greatest(ceil(count(*) / 50.0), 1) AS BIGINT) AS max_page FROM documents""",
     "topic_ranking": with_(
-        [*BASE, *TOPICS],
+        [*ACTIVE_BASE, *TOPICS],
         f"""SELECT t.cluster_id, t.size, t.topic, t.topic AS topic_en, t.sentiment,
   {case('t.sentiment', C.SENTIMENT_ICON, q(C.DEFAULT_ICON))} AS icon,
   round(r.negative_review_count / CAST(t.size AS DOUBLE), 6) AS negative_ratio
@@ -635,16 +691,17 @@ FROM topics t JOIN ratio r ON r.cluster_id = t.cluster_id
 WHERE t.sentiment IN ('positive', 'mixed')""",
     ),
     "issue_ranking": with_(
-        [*BASE, *ISSUES],
+        [*ACTIVE_BASE, *ISSUES],
         f"""SELECT cluster_id, 'topic ' || cluster_id AS topic, CAST(pos + 1 AS INTEGER) AS issue_no,
   title, severity, CAST({case('severity', C.SEVERITY_RANK, '9')} AS INTEGER) AS severity_rank,
   {case('severity', C.SEVERITY_LABEL, 'severity')} AS severity_label, frequency,
-  CAST(len(string_split(quote_ids, ',')) AS INTEGER) AS quotes FROM issues""",
+  CASE WHEN quote_ids = '' THEN 0 ELSE CAST(len(string_split(quote_ids, ',')) AS INTEGER) END AS quotes
+FROM issues""",
     ),
-    "total_issues": with_([*BASE, *ISSUES], "SELECT count(*) AS total_issues FROM issues"),
-    "issue_table": with_([*BASE, *ISSUES, ISSUE_LINES], "SELECT * FROM issue_lines"),
+    "total_issues": with_([*ACTIVE_BASE, *ISSUES], "SELECT count(*) AS total_issues FROM issues"),
+    "issue_table": with_([*ACTIVE_BASE, *ISSUES, ISSUE_LINES], "SELECT * FROM issue_lines"),
     "ticket_rows": with_(
-        [*BASE, *ISSUES, RATIO,
+        [*ACTIVE_BASE, *ISSUES, RATIO,
          f"""ticket_quotes AS (
   SELECT q.cluster_id, q.term,
          string_agg('- "' || {clip('r.text', 300, False)} || '" (review #' || q.id || ')',
@@ -657,19 +714,19 @@ WHERE t.sentiment IN ('positive', 'mixed')""",
   || '클러스터 부정 리뷰: ' || r.negative_review_count || '건' || chr(10)
   || '이 이슈 추정 빈도: ' || i.frequency || '건' || chr(10) || chr(10) || i.description
   || chr(10) || chr(10) || '--- English ---' || chr(10) || i.description
-  || chr(10) || chr(10) || '대표 인용:' || chr(10) || q.quoted AS description,
+  || coalesce(chr(10) || chr(10) || '대표 인용:' || chr(10) || q.quoted, '') AS description,
   {case('i.severity', C.SEVERITY_PRIORITY, "'Medium'")} AS priority,
   'cx-review,auto-extracted,cluster-' || i.cluster_id || ',severity-' || i.severity AS labels
 FROM issues i JOIN ratio r ON r.cluster_id = i.cluster_id
-JOIN ticket_quotes q ON q.cluster_id = i.cluster_id AND q.term = i.title""",
+LEFT JOIN ticket_quotes q ON q.cluster_id = i.cluster_id AND q.term = i.title""",
     ),
     "topic_sections": with_(
-        [*BASE, *TOPICS, *prefixed(ISSUES, ["tf"], "i_"), ISSUE_LINES, SECTIONS],
+        [*ACTIVE_BASE, *TOPICS, *prefixed(ISSUES, ["tf"], "i_"), ISSUE_LINES, SECTIONS],
         "SELECT * FROM sections",
     ),
-    "kpi_summary": with_([*BASE, *KPIS], "SELECT metric, round(value, 6) AS value FROM kpis"),
+    "kpi_summary": with_([*ACTIVE_BASE, RATIO, *KPIS], "SELECT metric, round(value, 6) AS value FROM kpis"),
     "report_sections": with_(
-        [*BASE, *[c for c in TOPICS if c != RATIO], *prefixed(ISSUES, ["tf"], "i_"), ISSUE_LINES,
+        [*ACTIVE_BASE, *TOPICS, *prefixed(ISSUES, ["tf"], "i_"), ISSUE_LINES,
          SECTIONS, *KPIS],
         f"""SELECT CAST(1 AS INTEGER) AS section_no, {q(C.REPORT_TITLE)} || chr(10) AS markdown
 UNION ALL SELECT 2, {KPI_BLOCK}

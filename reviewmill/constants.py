@@ -44,7 +44,6 @@ NEGATIVE_PROTOTYPES = [
 PCA_DIM = 50
 K_MIN = 6
 K_MAX = 10
-SILHOUETTE_SAMPLE_SIZE = 1500
 KMEANS_RESTARTS = 10
 KMEANS_MAX_ITER = 300
 KMEANS_TOLERANCE = 1e-4

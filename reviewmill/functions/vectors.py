@@ -49,45 +49,3 @@ def cosine_to_all(vectors: Column, matrix) -> Column:
         )
 
     return F.arrow_udf(compare, "array<double>")(vectors)
-
-
-def silhouette_to_sample(ids: Column, vectors: Column, sample_ids, matrix, labelings) -> Column:
-    """array<double>: the silhouette value of each sample member under each of several labelings.
-
-    The bounded sample is given whole: its ids, its matrix, and per labeling one label per row.
-    Euclidean distance; a member alone in its cluster gets 0. Distances serve all labelings.
-    """
-    sample_ids = np.asarray(sample_ids)
-    order = np.argsort(sample_ids)
-    sorted_ids = sample_ids[order]
-    matrix = np.asarray(matrix, dtype=np.float64)
-    squares = (matrix**2).sum(axis=1)
-    groups = []
-    for labels in labelings:
-        names, codes = np.unique(np.asarray(labels), return_inverse=True)
-        member = np.eye(len(names))[codes]
-        groups.append((codes, member, member.sum(axis=0)))
-
-    def values_of(id_column: pa.Array, vector_column: pa.Array) -> pa.Array:
-        n = len(id_column)
-        x = np.asarray(vector_column.flatten(), dtype=np.float64).reshape(n, -1)
-        at = order[np.searchsorted(sorted_ids, np.asarray(id_column))]
-        distance = (x**2).sum(axis=1)[:, None] + squares[None, :] - 2.0 * (x @ matrix.T)
-        distance = np.sqrt(np.maximum(distance, 0.0))
-        rows = np.arange(n)
-        distance[rows, at] = 0.0
-        out = np.zeros((n, len(groups)))
-        for j, (codes, member, sizes) in enumerate(groups):
-            own = codes[at]
-            sums = distance @ member
-            within = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-            means = sums / sizes
-            means[rows, own] = np.inf
-            other = means.min(axis=1)
-            larger = np.maximum(within, other)
-            settled = (sizes[own] > 1) & (larger > 0)
-            out[settled, j] = ((other - within) / np.where(larger > 0, larger, 1))[settled]
-        offsets = np.arange(0, out.size + 1, len(groups), dtype=np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-
-    return F.arrow_udf(values_of, "array<double>")(ids, vectors)

@@ -6,20 +6,21 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill import constants as C
-from reviewmill.functions import vectors as V
-from reviewmill.operators.scale import materialize, pin, uniform_sample
+from reviewmill.operators.scale import materialize, pin
 from reviewmill.operators.selection import representatives
 
+ROWS_PER_FIT_TASK = 100_000
+FITS_AT_ONCE = 8
+
 
 def fit_pca(vectors: DataFrame, dim: int = C.PCA_DIM) -> PCAModel:
     """Model from embedding to reduced, with min(dim, rows - 1, width) components."""
@@ -45,7 +46,37 @@ def pca_projection(vectors: DataFrame, dim: int = C.PCA_DIM) -> DataFrame:
 
 
 def _features(reduced: DataFrame) -> DataFrame:
-    return reduced.select("review_id", array_to_vector("reduced").alias("features"))
+    """Dense vectors in an order that depends on the data alone: rows are dealt by a hash of the id
+    to a number of partitions that follows from their number, and sorted there. k-means starts from
+    a sample drawn per partition, so this makes its result repeatable under any input partitioning.
+    """
+    parts = max(8, -(-reduced.count() // ROWS_PER_FIT_TASK))
+    return (
+        reduced.select("review_id", array_to_vector("reduced").alias("features"))
+        .repartition(parts, "review_id")
+        .sortWithinPartitions("review_id")
+    )
+
+
+def _fit_all(
+    features: DataFrame, candidates: list[tuple[int, int]], max_iter: int, parallelism: int
+) -> list[KMeansModel]:
+    """One k-means model for each (k, seed), several fits side by side. Pass cached features."""
+    variance = features.agg(Summarizer.variance(F.col("features"))).first()[0].toArray().mean()
+
+    @inheritable_thread_target(features.sparkSession)
+    def fit(candidate: tuple[int, int]) -> KMeansModel:
+        k, seed = candidate
+        # Stop when all centers together moved less than a 10^-4 part of the data's mean variance.
+        tol = (C.KMEANS_TOLERANCE * max(variance, 1e-12) / k) ** 0.5
+        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="cluster_id").fit(features)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return list(pool.map(fit, candidates))
+
+
+def _cheapest(models: list[KMeansModel]) -> KMeansModel:
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def fit_kmeans(
@@ -54,23 +85,11 @@ def fit_kmeans(
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = 4,
+    parallelism: int = FITS_AT_ONCE,
 ) -> KMeansModel:
-    """Best of several k-means runs by within-cluster cost. Pass a cached column features; a few
-    runs are submitted side by side, so that the tail of one does not leave executors idle."""
-    variance = features.agg(Summarizer.variance(F.col("features"))).first()[0].toArray().mean()
-    # Stop when all centers together moved less than a 10^-4 part of the data's mean variance.
-    tol = (C.KMEANS_TOLERANCE * max(variance, 1e-12) / k) ** 0.5
-
-    @inheritable_thread_target(features.sparkSession)
-    def fit(offset: int) -> KMeansModel:
-        return KMeans(
-            k=k, seed=seed + offset, maxIter=max_iter, tol=tol, predictionCol="cluster_id"
-        ).fit(features)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = list(pool.map(fit, range(restarts)))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    """Best of several k-means runs by within-cluster cost. Pass a cached column features."""
+    seeds = [(k, seed + offset) for offset in range(restarts)]
+    return _cheapest(_fit_all(features, seeds, max_iter, parallelism))
 
 
 def kmeans_assign(
@@ -79,7 +98,7 @@ def kmeans_assign(
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = 4,
+    parallelism: int = FITS_AT_ONCE,
 ) -> DataFrame:
     """review_id, cluster_id; clusters are numbered by their smallest review_id."""
     features = _features(reduced).persist()
@@ -104,72 +123,25 @@ def _numbering(labelled: DataFrame, min_size: int = 0) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
 
 
-def _mean_silhouettes(sample: DataFrame, vector: str, held: dict, labelings: list) -> list[float]:
-    """Mean silhouette per labeling of a bounded sample; -1 where it has fewer than two labels."""
-    usable = [labels for labels in labelings if len(set(labels)) > 1]
-    if not usable:
-        return [-1.0] * len(labelings)
-    values = sample.select(
-        V.silhouette_to_sample(
-            F.col("review_id"), F.col(vector), held["review_id"], held[vector], usable
-        ).alias("s")
-    )
-    means = iter(values.agg(*[F.avg(F.col("s")[i]) for i in range(len(usable))]).first())
-    return [next(means) if len(set(labels)) > 1 else -1.0 for labels in labelings]
+def silhouette(labelled: DataFrame, vector: str = "embedding") -> float:
+    """Mean silhouette of all rows of (review_id, cluster_id, vector) with squared Euclidean
+    distance; -1 with fewer than two clusters.
 
+    With squared distances, a cluster's count, sum of vectors and sum of squared lengths give the
+    mean distance to it, so one pass over the rows suffices and no pairs are built. Rows without a
+    vector take no part.
+    """
+    rows = labelled.where(F.col(vector).isNotNull()).select(
+        F.col("cluster_id").cast("double").alias("cluster_id"),
+        array_to_vector(vector).alias("features"),
+    )
+    return _silhouette(rows)
 
-def sample_silhouette(
-    labelled: DataFrame,
-    vector: str = "embedding",
-    sample_size: int = C.SILHOUETTE_SAMPLE_SIZE,
-    seed: int = C.SEED,
-) -> float:
-    """Mean Euclidean silhouette of a uniform sample of (review_id, cluster_id, vector).
 
-    The sample goes to every task as one matrix, so no pairs of rows are ever materialised.
-    """
-    rows = labelled.select("review_id", "cluster_id", vector)
-    sample = pin(uniform_sample(rows, sample_size, seed), sample_size)
-    held = sample.toArrow().to_pydict()
-    return _mean_silhouettes(sample, vector, held, [held["cluster_id"]])[0]
-
-
-def _fit_to_sample(matrix: np.ndarray, max_iter: int):
-    """Batch function for rows (k, seed): k-means on a sample every task holds whole."""
-    mean_variance = matrix.var(axis=0).mean()
-    tolerance = C.KMEANS_TOLERANCE
-
-    def distances(centers):
-        cross = matrix @ centers.T
-        return np.maximum((matrix**2).sum(axis=1)[:, None] - 2 * cross + (centers**2).sum(axis=1), 0)
-
-    def fit(k: int, seed: int):
-        rng = np.random.default_rng(seed)
-        centers = matrix[[rng.integers(len(matrix))]]
-        while len(centers) < k:  # next center: a row drawn by its squared distance
-            far = distances(centers).min(axis=1)
-            weights = far / far.sum() if far.sum() > 0 else None
-            centers = np.vstack([centers, matrix[rng.choice(len(matrix), p=weights)]])
-        for _ in range(max_iter):
-            labels = distances(centers).argmin(axis=1)
-            member = np.eye(k)[labels]
-            size = member.sum(axis=0)[:, None]
-            moved = np.where(size > 0, member.T @ matrix / np.maximum(size, 1), centers)
-            shift, centers = ((moved - centers) ** 2).sum(), moved
-            if shift <= tolerance * mean_variance:
-                break
-        d = distances(centers)
-        return d.argmin(axis=1), d.min(axis=1).sum()
-
-    def run(batches):
-        for batch in batches:
-            fits = [fit(k, seed) for k, seed in zip(batch["k"], batch["seed"])]
-            yield pd.DataFrame({
-                "k": batch["k"], "seed": batch["seed"],
-                "cost": [cost for _, cost in fits], "labels": [labels for labels, _ in fits],
-            })
-
-    return run
+def _silhouette(labelled: DataFrame) -> float:
+    if labelled.select("cluster_id").distinct().limit(2).count() < 2:
+        return -1.0
+    return ClusteringEvaluator(predictionCol="cluster_id").evaluate(labelled)
 
 
 @dataclass
@@ -183,39 +155,36 @@ def select_k(
     reduced: DataFrame,
     k_min: int = C.K_MIN,
     k_max: int = C.K_MAX,
-    sample_size: int = C.SILHOUETTE_SAMPLE_SIZE,
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
+    parallelism: int = FITS_AT_ONCE,
 ) -> KChoice:
-    """Search k on a bounded sample; the highest silhouette wins, the smaller k on a tie.
+    """Fit every k on all rows; the highest silhouette over all rows wins, the smaller k on a tie."""
+    features = _features(reduced).persist()
+    try:
+        return _search(features, k_min, k_max, seed, restarts, max_iter, parallelism)[0]
+    finally:
+        features.unpersist()
 
-    A search over a small sample is many tiny fits: the (k, seed) candidates are the rows of a
-    frame, spread over the cluster, and each task fits its own ones on the same sample.
-    """
-    spark = reduced.sparkSession
-    sample = pin(uniform_sample(reduced.select("review_id", "reduced"), sample_size, seed),
-                 sample_size)
-    held = sample.toArrow().sort_by("review_id").to_pydict()
-    if len(held["review_id"]) <= k_min:
-        return KChoice(k_min, -1.0, {})
-    ks = [k for k in range(k_min, k_max + 1) if k <= len(held["review_id"])]
+
+def _search(
+    features: DataFrame, k_min: int, k_max: int, seed: int, restarts: int, max_iter: int,
+    parallelism: int = FITS_AT_ONCE,
+) -> tuple[KChoice, KMeansModel]:
+    """The chosen k and its model; with no more rows than k_min, k_min and one run's model."""
+    rows = features.count()
+    if rows <= k_min:
+        return KChoice(k_min, -1.0, {}), fit_kmeans(features, k_min, seed, 1, max_iter)
+    ks = [k for k in range(k_min, k_max + 1) if k <= rows]
     candidates = [(k, seed + offset) for k in ks for offset in range(restarts)]
-    tasks = spark.createDataFrame(candidates, "k int, seed int").repartition(len(candidates))
-    fits = tasks.mapInPandas(
-        _fit_to_sample(np.array(held["reduced"], dtype=np.float64), max_iter),
-        "k int, seed int, cost double, labels array<int>",
-    ).collect()
-    best = {k: min((f for f in fits if f["k"] == k), key=lambda f: (f["cost"], f["seed"]))
-            for k in ks}
-    scores = dict(zip(ks, _mean_silhouettes(
-        sample, "reduced", held, [best[k]["labels"] for k in ks]
-    )))
-    best_k, top = k_min, -1.0
-    for k, value in scores.items():
-        if value > top:
-            best_k, top = k, value
-    return KChoice(best_k, top, scores)
+    models = _fit_all(features, candidates, max_iter, parallelism)
+    best = {
+        k: _cheapest([m for (own, _), m in zip(candidates, models) if own == k]) for k in ks
+    }
+    scores = {k: _silhouette(model.transform(features)) for k, model in best.items()}
+    chosen = max(scores, key=lambda k: (scores[k], -k))
+    return KChoice(chosen, scores[chosen], scores), best[chosen]
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
@@ -266,10 +235,9 @@ def cluster_reviews(
     """
     pca = fit_pca(rows, pca_dim)
     reduced = materialize(project(pca, rows))
-    choice = select_k(reduced, k_min, k_max, seed=seed, restarts=restarts, max_iter=max_iter)
     features = _features(reduced).persist()
     try:
-        model = fit_kmeans(features, choice.k, seed, restarts, max_iter)
+        choice, model = _search(features, k_min, k_max, seed, restarts, max_iter)
         numbers = _numbering(model.transform(features), min_size)
     finally:
         features.unpersist()

@@ -160,7 +160,7 @@ def resolve_quotes(wanted: DataFrame, keys: list[str], reviews: DataFrame) -> Da
         *keys, "_pos", F.expr("try_cast(trim(_id) AS BIGINT)").alias("review_id")
     )
     found = (
-        pin(ids)  # of known size, so that few ids do not make Spark shuffle all texts
+        pin(ids)  # written once and of known size: few ids do not make Spark shuffle all texts
         .join(reviews.select("review_id", "text"), "review_id")
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("_pos", "review_id", "text"))).alias("_found"))
@@ -253,7 +253,7 @@ def parse_issues(calls: DataFrame) -> DataFrame:
             F.coalesce("i.severity", F.lit(C.DEFAULT_SEVERITY)).alias("severity"),
             # a number with a fraction is cut, as an integer conversion does
             F.coalesce(
-                F.expr("CAST(try_cast(i.frequency AS DOUBLE) AS INT)"), F.lit(0)
+                F.expr("try_cast(try_cast(i.frequency AS DOUBLE) AS INT)"), F.lit(0)
             ).alias("frequency"),
             _texts("i.representative_quote_ids").alias("quote_ids"),
         )

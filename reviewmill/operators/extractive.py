@@ -20,11 +20,17 @@ MAJOR_SHARE = 0.2
 POSITIVE_SHARE = 0.7
 NEGATIVE_SHARE = 0.3
 STOP_WORD_LANGUAGES = ("english", "french", "german", "spanish")
+KOREAN_STOP_WORDS = (
+    "그리고 그러나 그런데 그래서 하지만 또한 또는 및 이런 저런 그런 이것 저것 그것 여기 저기 거기 우리 제가 내가 너무 정말 진짜 "
+    "아주 매우 조금 그냥 다시 계속 이미 아직 같은 같이 때문에 위해 대한 대해 통해 있는 있다 있고 있어 없는 없다 없고 하는 한다 하고 "
+    "해서 하면 되는 된다 되고 합니다 입니다 이다 였다 에서 으로 부터 까지 보다 처럼"
+).split()
 
 
 def default_stop_words(languages: Iterable[str] = STOP_WORD_LANGUAGES) -> list[str]:
-    """Spark's own stop-word lists."""
-    return sorted({w for l in languages for w in StopWordsRemover.loadDefaultStopWords(l)})
+    """Spark's own stop-word lists, and one for Korean, which Spark lacks."""
+    words = {w for l in languages for w in StopWordsRemover.loadDefaultStopWords(l)}
+    return sorted(words | set(KOREAN_STOP_WORDS))
 
 
 def terms_of(text: Column) -> Column:
@@ -170,20 +176,16 @@ def extractive_issues(
         weighted.join(counts.select("cluster_id"), "cluster_id", "left_semi"),
         ["cluster_id"], [F.desc("weight"), F.asc("term")], max_issues,
     )
-    # one window over everything, but everything is max_issues rows per cluster
-    issues = pin(
-        terms.select(
-            "cluster_id", "term",
-            F.row_number().over(Window.orderBy("cluster_id", "rank")).alias("issue_id"),
-        )
-    )
+    number = F.col("cluster_id") * (max_issues + 1) + F.col("rank")
+    issues = pin(terms.select("cluster_id", "term", number.cast("int").alias("issue_id")))
     wanted = pin(
         issues.groupBy("cluster_id").agg(
             F.collect_list(F.struct("issue_id", "term")).alias("wanted")
         )
     )
     negatives = members.where(is_negative(F.col("recommended"))).join(wanted, "cluster_id")
-    mentions = (
+    # the one pass over the texts; what it finds is stored as ids
+    mentions = materialize(
         negatives.withColumn("_terms", terms_of(F.col("text")))
         .withColumn(
             "issue_id",
@@ -191,19 +193,22 @@ def extractive_issues(
                 F.filter("wanted", lambda w: F.array_contains("_terms", w.term)).issue_id
             ),
         )
-        .withColumn("blocks", F.lower("text").rlike(BLOCKER_PATTERN))
+        .select("issue_id", "review_id", F.lower("text").rlike(BLOCKER_PATTERN).alias("blocks"))
     )
     facts = mentions.groupBy("issue_id").agg(
         F.count(F.lit(1)).alias("frequency"), F.max("blocks").alias("blocks")
     )
-    centroids = cluster_centroids(negatives.select("cluster_id", "embedding"))
+    placed = negatives.where("embedding IS NOT NULL").select("review_id", "cluster_id", "embedding")
+    centroids = cluster_centroids(placed)
     issue_centroids = pin(
         issues.join(centroids, "cluster_id")
         .select(F.col("issue_id").alias("cluster_id"), "centroid")
     )
     quotes = (
         nearest_per_cluster(
-            mentions.select("review_id", F.col("issue_id").alias("cluster_id"), "embedding"),
+            placed.select("review_id", "embedding").join(
+                mentions.select("review_id", F.col("issue_id").alias("cluster_id")), "review_id"
+            ),
             3,
             issue_centroids,
         )

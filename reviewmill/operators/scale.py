@@ -8,9 +8,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-PIN_ROWS = 4096
+MAX_CLUSTERS = 4096
 FAN_IN = 64
-QUANTILE_BUFFER_ROWS = 1_000_000
 QUANTILE_BINS = 4096
 
 
@@ -35,6 +34,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return location.getFileSystem(spark._jsc.hadoopConfiguration()).exists(location)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder and read it back: cuts the lineage, survives the loss
     of executors, and gives later jobs a columnar table of known size."""
@@ -45,25 +49,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def pin(df: DataFrame, max_rows: int = PIN_ROWS) -> DataFrame:
-    """Fix a result that is expected to be small.
-
-    Up to max_rows rows become a local relation, whose exact size lets Spark choose a broadcast by
-    itself. A larger result becomes a written table, whose file size Spark weighs in the same way.
-    """
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows > max_rows:
-        return materialize(df)
-    return df.sparkSession.createDataFrame(head, schema=df.schema)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan of fewer partitions than cores, as from one small file, a share for each core.
+def pin(df: DataFrame) -> DataFrame:
+    """Fix a result that is expected to be small: evaluated once, as a written table.
 
-    Inputs of cluster size already have more partitions than cores and stay as they are.
+    Spark weighs the table by its file size, so a small one is broadcast and a large one is not;
+    nothing passes through the driver.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    return materialize(df)
 
 
 # --- ranking ------------------------------------------------------------------------
@@ -115,21 +107,17 @@ def uniform_sample(df: DataFrame, size: int, seed: int, key: str = "review_id")
 # --- order statistics ---------------------------------------------------------------
 
 
-def exact_quantile(
-    df: DataFrame, column: str, q: float, buffer_rows: int = QUANTILE_BUFFER_ROWS
-) -> float | None:
+def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
     """Exact linearly interpolated quantile of a numeric column; None when it holds no value.
 
-    Small inputs use the built-in aggregate. Beyond buffer_rows its buffer would grow with the
-    data, so the two order statistics are located by repeated histograms instead: every pass
-    brings at most a few thousand bins to the driver, whatever the number of rows.
+    The buffer of the built-in aggregate grows with the data, so the two order statistics are
+    located by repeated histograms instead: every pass brings at most a few thousand bins to the
+    driver, whatever the number of rows.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
     if n == 0:
         return None
-    if n <= buffer_rows:
-        return values.agg(F.percentile("v", F.lit(q))).first()[0]
     position = (n - 1) * q
     below, fraction = math.floor(position), position - math.floor(position)
     first = _order_statistic(values, low, high, below)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewmill import constants as C
 from reviewmill.functions import vectors as V
-from reviewmill.operators.scale import FAN_IN, PIN_ROWS, materialize, pin, top_n_per_group
+from reviewmill.operators.scale import FAN_IN, MAX_CLUSTERS, materialize, pin, top_n_per_group
 
 _BEST = "review_id bigint, cluster_id int, score double, embedding array<float>"
 
@@ -49,7 +49,7 @@ def cluster_centroids(members: DataFrame) -> DataFrame:
     )
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame, block: int = PIN_ROWS) -> DataFrame:
+def nearest_centroid(vectors: DataFrame, centroids: DataFrame, block: int = MAX_CLUSTERS) -> DataFrame:
     """Adds cluster_id and similarity of the most similar centroid; lowest id wins a tie.
 
     Centroids are compared in blocks of bounded size, so any number of them is handled exactly.
@@ -149,7 +149,8 @@ def _best_here(clusters: dict[int, _Cluster], n: int, lam: float | None):
 
 
 def _plain_members(members: DataFrame) -> DataFrame:
-    return members.select(
+    """Members without a vector are near to nothing: they are left out here."""
+    return members.where("embedding IS NOT NULL").select(
         F.col("review_id").cast("bigint"),
         F.col("cluster_id").cast("int"),
         F.col("embedding").cast("array<float>"),
@@ -179,7 +180,7 @@ def nearest_per_cluster(
     members: DataFrame,
     n: int,
     centroids: DataFrame | None = None,
-    max_clusters: int = PIN_ROWS,
+    max_clusters: int = MAX_CLUSTERS,
 ) -> DataFrame:
     """cluster_id, review_id, score, rank: the n members most similar to their centroid."""
     members = _plain_members(members)
@@ -199,7 +200,7 @@ def mmr_per_cluster(
     n: int,
     lam: float = C.MMR_LAMBDA,
     centroids: DataFrame | None = None,
-    max_clusters: int = PIN_ROWS,
+    max_clusters: int = MAX_CLUSTERS,
 ) -> DataFrame:
     """cluster_id, review_id, rank: greedy maximal-marginal-relevance picks, n per cluster.
 
@@ -243,7 +244,7 @@ def representatives(
     n_nearest: int | None = None,
     lam: float = C.MMR_LAMBDA,
     centroids: DataFrame | None = None,
-    max_clusters: int = PIN_ROWS,
+    max_clusters: int = MAX_CLUSTERS,
 ) -> DataFrame:
     """cluster_id, review_id, rank: the nearest half in order, then the diverse half."""
     n_nearest = n_total // 2 if n_nearest is None else n_nearest
@@ -264,22 +265,25 @@ def negative_sample(
     n_total: int = C.NEGATIVE_SAMPLE_SIZE,
     n_nearest: int = C.NEGATIVE_NEAREST,
     lam: float = C.MMR_LAMBDA,
-    max_clusters: int = PIN_ROWS,
+    max_clusters: int = MAX_CLUSTERS,
 ) -> DataFrame:
     """cluster_id, review_id, rank over the negative members of each cluster.
 
     A cluster with at most n_total negatives gives all of them in id order; a larger one gives its
-    n_nearest nearest to the centroid of the negatives and diverse ones for the rest.
+    n_nearest nearest to the centroid of the negatives and diverse ones for the rest, of those that
+    have a vector.
     """
-    negatives = _plain_members(negatives)
-    centroids = pin(cluster_centroids(negatives))
-    few = centroids.where(F.col("size") <= n_total).select("cluster_id")
-    many = centroids.where(F.col("size") > n_total)
+    ids = negatives.select(F.col("cluster_id").cast("int"), F.col("review_id").cast("bigint"))
+    sizes = pin(ids.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")))
+    few = sizes.where(F.col("size") <= n_total).select("cluster_id")
+    many = sizes.where(F.col("size") > n_total).select("cluster_id")
     everything = top_n_per_group(
-        negatives.select("cluster_id", "review_id").join(few, "cluster_id", "left_semi"),
-        ["cluster_id"], [F.asc("review_id")], n_total,
+        ids.join(few, "cluster_id", "left_semi"), ["cluster_id"], [F.asc("review_id")], n_total,
     )
-    chosen = representatives(negatives, n_total, n_nearest, lam, many, max_clusters)
+    centroids = pin(
+        cluster_centroids(_plain_members(negatives)).join(many, "cluster_id", "left_semi")
+    )
+    chosen = representatives(negatives, n_total, n_nearest, lam, centroids, max_clusters)
     return everything.unionByName(chosen)
 
 

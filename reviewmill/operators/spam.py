@@ -39,13 +39,14 @@ def prototype_similarities(vectors: DataFrame, prototypes) -> DataFrame:
 
 
 def spam_scores(reviews: DataFrame, vectors: DataFrame, prototypes) -> DataFrame:
-    """review_id, sim_pos, sim_neg, matched_prototype, has_url.
+    """review_id, sim_pos, sim_neg, matched_prototype, has_url of every review.
 
-    Only the id and one boolean of each review take part in the join; the text stays in place.
+    Only the id and one boolean of each review take part in the join; the text stays in place. A
+    review without a vector has no similarities.
     """
     sims = prototype_similarities(vectors.select("review_id", "embedding"), prototypes)
     marked = reviews.select("review_id", X.has_url(F.col("text")).alias("has_url"))
-    return sims.drop("embedding").join(marked, "review_id")
+    return marked.join(sims.drop("embedding"), "review_id", "left")
 
 
 def score_rows(rows: DataFrame, prototypes) -> DataFrame:
@@ -66,9 +67,10 @@ def positive_threshold(
 
 
 def is_spam(threshold: float, min_gap: float = C.MIN_SIMILARITY_GAP) -> Column:
-    """The decision on scored rows, from unrounded values: near to spam, or a URL."""
+    """The decision on scored rows, from unrounded values: near to spam, or a URL. Without a vector
+    only the URL decides."""
     near = (F.col("sim_pos") >= threshold) & (F.col("sim_pos") - F.col("sim_neg") >= min_gap)
-    return near | F.col("has_url")
+    return F.coalesce(near, F.lit(False)) | F.coalesce("has_url", F.lit(False))
 
 
 def flag(scores: DataFrame, threshold: float, min_gap: float = C.MIN_SIMILARITY_GAP) -> DataFrame:

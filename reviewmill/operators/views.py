@@ -10,8 +10,6 @@ from reviewmill import constants as C
 from reviewmill.functions import labels as L
 from reviewmill.operators.scale import exact_rank_value, pin
 
-DEEP_PAGE_ROWS = 100_000
-
 
 def attach_cluster(
     reviews: DataFrame, assignments: DataFrame, default: int | None = None
@@ -48,6 +46,26 @@ def explorer_filter(
     return view
 
 
+def explorer_facets(reviews: DataFrame) -> DataFrame:
+    """facet, value, reviews: what the filters can choose from. A row per cluster and language with
+    the number of reviews, and the largest playtime with the number of reviews that have one.
+
+    Three narrow columns are read, no texts.
+    """
+    cluster, lang = F.col("cluster_id").cast("string"), F.col("lang")
+    named = reviews.select(
+        F.explode(F.array(
+            F.struct(F.lit("cluster").alias("facet"), cluster.alias("value")),
+            F.struct(F.lit("lang").alias("facet"), lang.alias("value")),
+        )).alias("f")
+    ).where("f.value IS NOT NULL").groupBy("f.facet", "f.value").agg(F.count(F.lit(1)).alias("reviews"))
+    longest = reviews.agg(
+        F.lit("max_playtime").alias("facet"), F.max("playtime_hours").cast("string").alias("value"),
+        F.count("playtime_hours").alias("reviews"),
+    )
+    return named.unionByName(longest)
+
+
 def page_count(df: DataFrame, size: int = C.PAGE_SIZE) -> DataFrame:
     """One row: total rows and number of pages, at least one."""
     return df.agg(
@@ -56,21 +74,22 @@ def page_count(df: DataFrame, size: int = C.PAGE_SIZE) -> DataFrame:
     )
 
 
-def page(
-    df: DataFrame, number: int, size: int = C.PAGE_SIZE, deep: int = DEEP_PAGE_ROWS
-) -> DataFrame:
-    """The given page (from 1) in review_id order.
+def page(df: DataFrame, number: int, size: int = C.PAGE_SIZE) -> DataFrame:
+    """The given page (from 1) by review_id, ids that are NULL last, equal ids by a hash of the row.
 
-    Early pages are a plain top-n. For a deep page the id at its start is located by counting, so
-    that no task has to hold everything before it.
+    The id at which the page starts is found from the id column alone; then only rows from that id
+    on are ordered, and of those before the page at most the ones that share its first id.
     """
     start = (number - 1) * size
-    if start > deep:
-        first = exact_rank_value(df, "review_id", start)
-        if first is None:
-            return df.limit(0)
-        return df.where(F.col("review_id") >= first).orderBy("review_id").limit(size)
-    return df.orderBy("review_id").offset(start).limit(size)
+    first = exact_rank_value(df, "review_id", start)
+    if first is None:
+        before, rest = df.where("review_id IS NOT NULL").count(), F.col("review_id").isNull()
+    else:
+        before = df.where(F.col("review_id") < F.lit(first)).count()
+        rest = F.col("review_id").isNull() | (F.col("review_id") >= F.lit(first))
+    tie = F.xxhash64(*[F.col(c) for c in df.columns])
+    order = [F.col("review_id").asc_nulls_last(), tie, *[F.col(c) for c in df.columns]]
+    return df.where(rest).orderBy(*order).offset(start - before).limit(size)
 
 
 def topic_ranking(

@@ -106,9 +106,11 @@ def analyze(
             stages.CLEAN, cleaning.clean_observed(reviews, counted), require_unique_ids
         )
         row = spark.createDataFrame([Row(**counted.get)])
+        store.write(stages.LANGUAGES, cleaning.language_distribution(clean))
+        store.write(stages.REPAIR_EXAMPLES, cleaning.repair_examples(reviews))
         clean_stats = store.write(stages.CLEAN_STATS, row)
     else:
-        store.reused += [stages.CLEAN, stages.CLEAN_STATS]
+        store.reused += [stages.CLEAN, stages.LANGUAGES, stages.REPAIR_EXAMPLES, stages.CLEAN_STATS]
         clean, clean_stats = store.read(stages.CLEAN), store.read(stages.CLEAN_STATS)
 
     # 2. embed and score; the threshold is one number over all rows
@@ -138,10 +140,12 @@ def analyze(
             pay(one_call("embedding_prototypes", outside.embed_model, sum(spent)))
         return spam.score_rows(embedded, prototypes)
 
-    fresh = force or not store.done(stages.SCORED)
-    rows = store.stage(stages.SCORED, scored, force)
-    if fresh and outside.embed_fn is not None:
-        pay(embedding.embedding_usage(rows, "embedding", outside.embed_model))
+    def pay_embedding(table: DataFrame) -> None:
+        if outside.embed_fn is not None:
+            pay(embedding.embedding_usage(table, "embedding", outside.embed_model))
+
+    # calls are paid for before their stage counts as done: a crash in between loses no cost
+    rows = store.stage(stages.SCORED, scored, force, pay_embedding)
     stats_known = not force and store.done(stages.SPAM_STATS)
     if stats_known:
         threshold = store.read(stages.SPAM_STATS).first()["threshold_pos"]
@@ -149,7 +153,9 @@ def analyze(
         threshold = spam.positive_threshold(
             rows, p.target_spam_ratio, p.min_positive_similarity
         )
-    flags = spam.flag(rows, threshold, p.min_similarity_gap)
+    flags = store.stage(
+        stages.FLAGS, lambda: spam.flag(rows, threshold, p.min_similarity_gap), force
+    )
     spam_stats = store.stage(
         stages.SPAM_STATS,
         lambda: spam.spam_stats(flags, threshold, p.min_similarity_gap),
@@ -187,15 +193,12 @@ def analyze(
 
     # 4. topics
     def ask(prompts: DataFrame, stage: str, step: str) -> DataFrame:
-        fresh = force or not store.done(stage)
-        calls = store.stage(
+        return store.stage(
             stage,
             lambda: enrichment.call_model(pin(prompts), outside.client_fn),
             force,
+            lambda calls: pay(enrichment.usage(calls, step, outside.client_model)),
         )
-        if fresh:
-            pay(enrichment.usage(calls, step, outside.client_model))
-        return calls
 
     def topics_table() -> DataFrame:
         if outside.client_fn is None:
@@ -236,6 +239,7 @@ def analyze(
             clean_stats, spam_stats, cluster_stats, counts, ledger.total_cost(spent)
         ),
     )
+    store.write(stages.COST_BY_STEP, ledger.cost_by_step(spent))
     block = export.kpi_block(kpis, now.strftime("%Y-%m-%d %H:%M UTC"))
     sinks.write_report(
         export.report_sections(topics, negatives, block), store.path("06_report.md")

@@ -16,9 +16,6 @@ from reviewmill.operators import (
 from reviewmill.operators.scale import materialize, pin, shared_dir, uniform_sample
 from reviewmill.plans.standin import Tables
 
-# The folders hold few labelled reviews with vectors, so the complaint queries lower these bounds.
-FEW_NEGATIVES = 2
-SMALL_SAMPLE, SMALL_NEAREST = 4, 2
 TINY = 50
 
 SPAM_PHRASES = [
@@ -35,13 +32,13 @@ SPAM_PHRASES = [
 
 def clean_text_score(spark: SparkSession, folder: str) -> DataFrame:
     text = X.as_text(F.col("text"))
-    return Tables(spark, folder).reviews.select(
+    return Tables(spark, folder).texts.select(
         "review_id", F.round(X.intactness(text), 6).alias("score")
     )
 
 
 def mojibake_repair(spark: SparkSession, folder: str) -> DataFrame:
-    damaged = evaluation.inject_mojibake(Tables(spark, folder).reviews)
+    damaged = evaluation.inject_mojibake(Tables(spark, folder).texts)
     return cleaning.repair(damaged).select("review_id", "text", "was_repaired")
 
 
@@ -52,7 +49,7 @@ def _blanked(reviews: DataFrame) -> DataFrame:
 
 
 def blank_filter(spark: SparkSession, folder: str) -> DataFrame:
-    kept = _blanked(Tables(spark, folder).reviews)
+    kept = _blanked(Tables(spark, folder).texts)
     return kept.select(
         "review_id",
         (~X.is_blank(F.col("text"))).alias("kept"),
@@ -61,20 +58,20 @@ def blank_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def repair_examples(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.repair_examples(evaluation.inject_mojibake(Tables(spark, folder).reviews))
+    return cleaning.repair_examples(evaluation.inject_mojibake(Tables(spark, folder).texts))
 
 
 def clean_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.clean_stats(_blanked(evaluation.inject_mojibake(Tables(spark, folder).reviews)))
+    return cleaning.clean_stats(_blanked(evaluation.inject_mojibake(Tables(spark, folder).texts)))
 
 
 def lang_distribution(spark: SparkSession, folder: str) -> DataFrame:
-    return cleaning.language_distribution(cleaning.clean(Tables(spark, folder).reviews))
+    return cleaning.language_distribution(cleaning.clean(Tables(spark, folder).texts))
 
 
 def url_marker(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    texts = tables.reviews.select(F.lit("review").alias("kind"), "review_id", "text").unionByName(
+    texts = tables.texts.select(F.lit("review").alias("kind"), "review_id", "text").unionByName(
         tables.read("pages").select(
             F.lit("page").alias("kind"), F.col("page_id").alias("review_id"),
             F.col("url").alias("text"),
@@ -85,7 +82,7 @@ def url_marker(spark: SparkSession, folder: str) -> DataFrame:
 
 def clip_text(spark: SparkSession, folder: str) -> DataFrame:
     text = F.col("text")
-    return Tables(spark, folder).reviews.select(
+    return Tables(spark, folder).texts.select(
         "review_id",
         X.clip(text, C.TOPIC_PROMPT_CHARS).alias("topic_line"),
         X.clip(text, C.ISSUE_PROMPT_CHARS).alias("issue_line"),
@@ -95,7 +92,7 @@ def clip_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def inject_spam(spark: SparkSession, folder: str) -> DataFrame:
-    return evaluation.inject_spam(Tables(spark, folder).reviews, SPAM_PHRASES).select(
+    return evaluation.inject_spam(Tables(spark, folder).texts, SPAM_PHRASES).select(
         "review_id", "text", X.has_url(F.col("text")).alias("has_url")
     )
 
@@ -115,13 +112,14 @@ def cosine_to_prototypes(spark: SparkSession, folder: str) -> DataFrame:
 
 def spam_threshold(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    scores = spam.spam_scores(tables.reviews, tables.vectors, tables.prototypes)
+    # similarities belong to vectors: the texts are not needed for the threshold
+    scores = spam.spam_scores(tables.ids.withColumn("text", F.lit("")), tables.vectors, tables.prototypes)
     value = spam.positive_threshold(materialize(scores.select("sim_pos")))
     return spark.range(1).select(F.round(F.lit(value), 6).alias("threshold_pos"))
 
 
 def _flags(tables: Tables) -> tuple[DataFrame, float]:
-    return spam.detect_spam(tables.reviews, tables.vectors, tables.prototypes)
+    return tables.flagged
 
 
 def spam_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,7 +135,7 @@ def spam_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def spam_candidates(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    return spam.spam_candidates(_flags(tables)[0], tables.reviews)
+    return spam.spam_candidates(_flags(tables)[0], tables.texts)
 
 
 def spam_override(spark: SparkSession, folder: str) -> DataFrame:
@@ -151,9 +149,7 @@ def spam_override(spark: SparkSession, folder: str) -> DataFrame:
 
 def active_reviews(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    members = tables.reviews.select("review_id", "lang", "recommended").join(
-        tables.vectors.select("review_id", "cluster_id"), "review_id"
-    )
+    members = tables.answered.join(tables.texts.select("review_id", "lang"), "review_id")
     return spam.active_reviews(members, _flags(tables)[0])
 
 
@@ -166,7 +162,7 @@ def spam_recall(spark: SparkSession, folder: str) -> DataFrame:
     vectors = items.join(
         tables.vectors.select(F.col("review_id").alias("item_id"), "embedding"), "item_id"
     ).select(shifted, "embedding")
-    reviews = evaluation.append_rows(tables.reviews.select("review_id", "text"), injected)
+    reviews = evaluation.append_rows(tables.texts.select("review_id", "text"), injected)
     all_vectors = evaluation.append_rows(tables.vectors.select("review_id", "embedding"), vectors)
     flags, _ = spam.detect_spam(reviews, all_vectors, tables.prototypes)
     return evaluation.recall(flags, injected).withColumn("recall", F.round("recall", 6))
@@ -175,7 +171,7 @@ def spam_recall(spark: SparkSession, folder: str) -> DataFrame:
 def active_cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Clean, drop spam, then size and negative share of every given cluster."""
     tables = Tables(spark, folder)
-    reviews = cleaning.clean(tables.reviews)
+    reviews = cleaning.clean(tables.texts)
     flags, _ = spam.detect_spam(reviews, tables.vectors, tables.prototypes)
     # the flags table covers the cleaned reviews, so the texts need not be read again
     kept = flags.where(~F.col("is_spam")).select("review_id")
@@ -225,9 +221,7 @@ def _negative_vectors(tables: Tables) -> DataFrame:
 
 
 def negative_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return selection.negative_sample(
-        _negative_vectors(Tables(spark, folder)), SMALL_SAMPLE, SMALL_NEAREST
-    )
+    return selection.negative_sample(_negative_vectors(Tables(spark, folder)))
 
 
 def tiny_cluster_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,7 +236,7 @@ def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def silhouette_exact(spark: SparkSession, folder: str) -> DataFrame:
-    value = clustering.sample_silhouette(Tables(spark, folder).vectors)
+    value = clustering.silhouette(Tables(spark, folder).vectors)
     return spark.range(1).select(F.round(F.lit(value), 6).alias("silhouette"))
 
 
@@ -277,30 +271,90 @@ def pca_distance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def kmeans_assign(spark: SparkSession, folder: str) -> DataFrame:
-    return clustering.kmeans_assign(pca_projection(spark, folder), C.K_MIN, restarts=3)
+    return clustering.kmeans_assign(materialize(pca_projection(spark, folder)), C.K_MIN)
+
+
+def kmeans_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows assigned, clusters, rows with a nearer center than their own, clusters out of order."""
+    reduced = materialize(pca_projection(spark, folder))
+    labelled = materialize(clustering.kmeans_assign(reduced, C.K_MIN).join(reduced, "review_id"))
+    members = labelled.withColumnRenamed("reduced", "embedding")
+    centers = selection.cluster_centroids(members).select(
+        F.col("cluster_id").alias("other"), "centroid"
+    )
+    gap = V.dot(*[F.zip_with("embedding", "centroid", lambda x, c: x - c)] * 2)
+    # six centers a row: the number of clusters is a parameter
+    near = members.join(pin(centers), F.lit(True)).select("review_id", "cluster_id", "other", gap.alias("gap"))
+    best = near.groupBy("review_id", "cluster_id").agg(
+        F.min("gap").alias("least"), F.min(F.when(F.col("other") == F.col("cluster_id"), F.col("gap"))).alias("own")
+    )
+    # k-means stops within a tolerance, so a center may be off by that much
+    return best.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("cluster_id").alias("clusters"),
+        F.count_if(F.col("own") > F.col("least") * 1.05 + 1e-9).alias("misplaced"),
+    )
 
 
 def select_k(spark: SparkSession, folder: str) -> DataFrame:
-    choice = clustering.select_k(materialize(pca_projection(spark, folder)), restarts=3)
+    choice = clustering.select_k(materialize(pca_projection(spark, folder)))
     return spark.createDataFrame(
         [(k, s, k == choice.k) for k, s in choice.scores.items()],
         "k int, silhouette double, chosen boolean",
     )
 
 
+def k_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of k tried, the largest silhouette minus the chosen one's, and scores out of range."""
+    scores = select_k(spark, folder)
+    chosen = F.max(F.when(F.col("chosen"), F.col("silhouette")))
+    return scores.agg(
+        F.count(F.lit(1)).alias("tried"), F.count_if("chosen").alias("chosen"),
+        (F.max("silhouette") - chosen).alias("behind"),
+        F.count_if(~F.col("silhouette").between(-1, 1)).alias("out_of_range"),
+    )
+
+
 def clustering_job(spark: SparkSession, folder: str) -> DataFrame:
     vectors = Tables(spark, folder).vectors.select("review_id", "embedding")
-    return clustering.cluster_reviews(vectors, restarts=3).clusters
+    return clustering.cluster_reviews(vectors).clusters
+
+
+def clustering_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What any run of the job has to satisfy: sizes add up to the rows, k is in range, small
+    clusters are merged, and every representative is a member, named once."""
+    vectors = Tables(spark, folder).vectors.select("review_id", "embedding")
+    job = clustering.cluster_reviews(vectors)
+    picks = job.clusters.select("cluster_id", F.explode("representatives").alias("review_id"))
+    strangers = picks.join(job.members, ["cluster_id", "review_id"], "left_anti").count()
+    named = picks.agg(F.count(F.lit(1)) - F.count_distinct("cluster_id", "review_id")).first()[0]
+    k = job.stats.first()["k"]
+    kept = F.col("cluster_id") != C.OTHER_CLUSTER_ID
+    return job.clusters.agg(
+        F.sum("size").alias("rows"), F.lit(C.K_MIN <= k <= C.K_MAX).alias("k_in_range"),
+        F.count_if(kept & (F.col("size") < C.MIN_CLUSTER_SIZE)).alias("too_small"),
+        F.lit(strangers).cast("bigint").alias("strangers"), F.lit(named).cast("bigint").alias("named_twice"),
+    )
 
 
 def whole_analysis(spark: SparkSession, folder: str) -> DataFrame:
     """All stages on all reviews with the offline models; returns the topics that came out."""
-    from reviewmill.plans.analysis import Parameters, analyze
+    from reviewmill.plans.analysis import analyze
     from reviewmill.sources import stages
 
     root = f"{shared_dir(spark)}/reviewmill-analysis"
-    store = analyze(Tables(spark, folder).reviews, root, parameters=Parameters(restarts=3),
-                    force=True)
+    store = analyze(Tables(spark, folder).reviews, root, force=True)
+    topics = stages.load_results(store)[stages.TOPICS]
+    return topics.select("cluster_id", "size", "topic", "sentiment",
+                         F.size("representative_quotes").alias("quotes"))
+
+
+def replay(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole analysis again on the same input: every stage but the report is reused."""
+    from reviewmill.plans.analysis import analyze
+    from reviewmill.sources import stages
+
+    root = f"{shared_dir(spark)}/reviewmill-analysis"
+    store = analyze(Tables(spark, folder).reviews, root)
     topics = stages.load_results(store)[stages.TOPICS]
     return topics.select("cluster_id", "size", "topic", "sentiment",
                          F.size("representative_quotes").alias("quotes"))
@@ -324,7 +378,7 @@ def letter_histogram():
 
 def embed_text(spark: SparkSession, folder: str) -> DataFrame:
     embedded = embedding.embed_reviews(
-        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram()
+        Tables(spark, folder).texts.select("review_id", "text"), letter_histogram()
     )
     return embedded.select("review_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
         "value", F.col("value").cast("double")
@@ -334,7 +388,7 @@ def embed_text(spark: SparkSession, folder: str) -> DataFrame:
 def embed_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and price of embedding every review."""
     embedded = embedding.embed_reviews(
-        Tables(spark, folder).reviews.select("review_id", "text"), letter_histogram()
+        Tables(spark, folder).texts.select("review_id", "text"), letter_histogram()
     )
     calls = embedding.embedding_usage(embedded, "embedding", "text-embedding-3-small")
     return ledger.call_cost(calls).agg(
@@ -347,20 +401,22 @@ def embed_usage(spark: SparkSession, folder: str) -> DataFrame:
 
 def topic_prompt(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    picks = selection.representatives(tables.vectors)
-    return enrichment.topic_prompts(picks, tables.reviews)
+    picks = pin(selection.representatives(tables.vectors))
+    # the picks cut the texts down before the answers are joined
+    picked = tables.texts.join(picks.select("review_id").distinct(), "review_id", "left_semi")
+    return enrichment.topic_prompts(picks, picked.join(tables.answers, "review_id", "left"))
 
 
 def _plain_topics(tables: Tables) -> DataFrame:
-    return pin(tables.vectors.select("cluster_id").distinct()).withColumn(
+    return pin(tables.answered.select("cluster_id").distinct()).withColumn(
         "topic", F.concat(F.lit("topic "), F.col("cluster_id").cast("string"))
     )
 
 
 def issue_prompt(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    picks = selection.negative_sample(_negative_vectors(tables), SMALL_SAMPLE, SMALL_NEAREST)
-    return enrichment.issue_prompts(picks, tables.reviews, _plain_topics(tables))
+    picks = pin(selection.negative_sample(_negative_vectors(tables)))
+    return enrichment.issue_prompts(picks, tables.texts, _plain_topics(tables))
 
 
 def _topic_replies(tables: Tables) -> DataFrame:
@@ -381,7 +437,7 @@ def _topic_replies(tables: Tables) -> DataFrame:
         .when(shape == 4, F.lit('{"topic_en":"only","representative_quote_ids":[999999999]}'))
     )
     return tables.read("labels").select(
-        F.col("doc_id").cast("int").alias("cluster_id"),
+        F.col("doc_id").alias("cluster_id"),
         reply.alias("response"),
         F.when(shape == 5, "timeout").alias("error"),
     )
@@ -391,12 +447,12 @@ def response_parse(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     doc = F.col("doc_id")
     clusters = tables.read("labels").select(
-        doc.cast("int").alias("cluster_id"),
+        doc.alias("cluster_id"),
         F.col("quality").cast("bigint").alias("size"),
         F.array(doc, doc + 2, doc + 4, doc + 6).alias("representatives"),
     )
     records = enrichment.parse_topics(
-        _topic_replies(tables), clusters, tables.reviews.select("review_id", "text")
+        _topic_replies(tables), clusters, tables.texts.select("review_id", "text")
     )
     return records.select(
         "cluster_id", "size", "topic", "topic_en", "sentiment",
@@ -423,7 +479,7 @@ def issue_parse(spark: SparkSession, folder: str) -> DataFrame:
         .when(shape == 3, F.lit("{}"))
     )
     calls = Tables(spark, folder).read("labels").select(
-        F.col("doc_id").cast("int").alias("cluster_id"),
+        F.col("doc_id").alias("cluster_id"),
         reply.alias("response"),
         F.when(shape == 4, "timeout").alias("error"),
     )
@@ -442,7 +498,7 @@ def quote_resolution(spark: SparkSession, folder: str) -> DataFrame:
             (doc + 100_000_000).cast("string"), doc.cast("string"),
         ).alias("quote_ids"),
     )
-    resolved = enrichment.resolve_quotes(wanted, ["doc_id"], tables.reviews)
+    resolved = enrichment.resolve_quotes(wanted, ["doc_id"], tables.texts)
     first = F.slice("quotes", 1, C.REPORT_QUOTES)
     return resolved.select(
         "doc_id",
@@ -452,7 +508,7 @@ def quote_resolution(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cluster_sentiment(spark: SparkSession, folder: str) -> DataFrame:
-    return extractive.cluster_sentiment(Tables(spark, folder).answered).withColumn(
+    return extractive.cluster_sentiment(Tables(spark, folder).active_answered).withColumn(
         "recommended_share", F.round("recommended_share", 6)
     )
 
@@ -463,7 +519,7 @@ def cluster_keywords(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _issues(tables: Tables) -> DataFrame:
-    return extractive.extractive_issues(tables.members, tables.term_counts, FEW_NEGATIVES)
+    return extractive.extractive_issues(tables.members, tables.term_counts)
 
 
 def negative_issues(spark: SparkSession, folder: str) -> DataFrame:
@@ -471,7 +527,7 @@ def negative_issues(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def negative_ratio(spark: SparkSession, folder: str) -> DataFrame:
-    return extractive.negative_counts(Tables(spark, folder).answered).withColumn(
+    return extractive.negative_counts(Tables(spark, folder).active_answered).withColumn(
         "negative_ratio", F.round("negative_ratio", 6)
     )
 
@@ -490,12 +546,19 @@ def explorer_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def explorer_page(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    rows = views.attach_cluster(tables.reviews, tables.vectors, C.OTHER_CLUSTER_ID)
+    rows = views.attach_cluster(tables.texts, tables.vectors, C.OTHER_CLUSTER_ID)
     return views.page(
         rows.select("review_id", "lang", "playtime_hours", "cluster_id", "text"), 3
     )
 
 
+def explorer_facets(spark: SparkSession, folder: str) -> DataFrame:
+    tables = Tables(spark, folder)
+    return views.explorer_facets(
+        views.attach_cluster(tables.texts, tables.vectors, C.OTHER_CLUSTER_ID)
+    )
+
+
 def page_count(spark: SparkSession, folder: str) -> DataFrame:
     return views.page_count(Tables(spark, folder).read("documents"))
 
@@ -513,14 +576,14 @@ def _names(tables: Tables) -> DataFrame:
 
 
 def _negatives(tables: Tables) -> DataFrame:
-    counts = extractive.negative_counts(tables.answered)
-    return enrichment.negative_records(counts, _names(tables), _issues(tables), tables.reviews)
+    counts = extractive.negative_counts(tables.active_answered)
+    return enrichment.negative_records(counts, _names(tables), _issues(tables), tables.members)
 
 
 def topic_ranking(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return views.topic_ranking(
-        _topics(tables), extractive.negative_counts(tables.answered), "negative_ratio", ["positive", "mixed"]
+        _topics(tables), extractive.negative_counts(tables.active_answered), "negative_ratio", ["positive", "mixed"]
     ).withColumn("negative_ratio", F.round("negative_ratio", 6))
 
 
@@ -554,13 +617,16 @@ def topic_sections(spark: SparkSession, folder: str) -> DataFrame:
 
 def _kpis(tables: Tables) -> DataFrame:
     flags, threshold = _flags(tables)
+    active = tables.active_answered
+    placed = tables.vectors.join(active.select("review_id"), "review_id", "left_semi")
     return views.kpi_summary(
-        cleaning.clean_stats(evaluation.inject_mojibake(tables.reviews)),
+        cleaning.clean_stats(evaluation.inject_mojibake(tables.texts)),
         spam.spam_stats(flags, threshold),
-        clustering.cluster_sizes(tables.vectors).agg(
-            F.count(F.lit(1)).alias("k"), F.lit(0.0).alias("sample_silhouette")
+        clustering.cluster_sizes(active).agg(
+            F.count_if(F.col("cluster_id") != C.OTHER_CLUSTER_ID).alias("k"),
+            F.lit(clustering.silhouette(placed)).alias("sample_silhouette"),
         ),
-        extractive.negative_counts(tables.answered),
+        extractive.negative_counts(active),
         ledger.total_cost(ledger.call_cost(_calls(tables))),
     )
 
@@ -614,10 +680,11 @@ ALL = [
     cluster_centroids, nearest_centroid, nearest_per_cluster, mmr_per_cluster, representatives,
     negative_sample, tiny_cluster_merge, cluster_sizes, silhouette_exact, uniform_sample_ids,
     paraphrase_agreement,
-    pca_projection, pca_distance, kmeans_assign, select_k, clustering_job, whole_analysis, embed_text, embed_usage,
+    pca_projection, pca_distance, kmeans_assign, kmeans_check, select_k, k_check, clustering_job,
+    clustering_check, whole_analysis, replay, embed_text, embed_usage,
     topic_prompt, issue_prompt, response_parse, issue_parse, quote_resolution, cluster_sentiment,
     cluster_keywords, negative_issues, negative_ratio,
-    explorer_filter, explorer_page, page_count, topic_ranking, issue_ranking, total_issues,
+    explorer_filter, explorer_page, explorer_facets, page_count, topic_ranking, issue_ranking, total_issues,
     issue_table, ticket_rows, topic_sections, kpi_summary, report_sections,
     call_cost, cost_by_step, total_cost,
 ]

@@ -11,7 +11,8 @@ from functools import cached_property
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.operators.scale import materialize, pin, spread
+from reviewmill.constants import OTHER_CLUSTER_ID
+from reviewmill.operators.scale import materialize, pin
 
 POSITIVE_LABELS = 5
 PROTOTYPE_LABELS = 8
@@ -29,22 +30,28 @@ class Tables:
         return self._read[name]
 
     @cached_property
-    def reviews(self) -> DataFrame:
-        """review_id, text, lang, recommended (NULL without a label), playtime_hours, posted_at."""
-        documents = spread(
-            self.read("documents").select("doc_id", "text", "lang", "n_chars"), "doc_id"
-        )
-        return documents.join(
-            self.read("labels").select("doc_id", "quality"), "doc_id", "left"
-        ).select(
+    def texts(self) -> DataFrame:
+        """review_id, text, lang, playtime_hours, posted_at: the documents alone. Answers are joined
+        only where they are asked for, so a text query moves no text."""
+        return self.read("documents").select(
             F.col("doc_id").alias("review_id"),
             "text",
             "lang",
-            (F.col("quality") == 1).alias("recommended"),
             (F.col("n_chars") / F.lit(100.0)).alias("playtime_hours"),
             F.lit(None).cast("string").alias("posted_at"),
         )
 
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """The texts with recommended, which is NULL without a label."""
+        return self.texts.join(self.answers, "review_id", "left").select(
+            "review_id", "text", "lang", "recommended", "playtime_hours", "posted_at"
+        )
+
+    @property
+    def ids(self) -> DataFrame:
+        return self.read("documents").select(F.col("doc_id").alias("review_id"))
+
     @property
     def vectors(self) -> DataFrame:
         """review_id, embedding, cluster_id (the given one)."""
@@ -60,26 +67,43 @@ class Tables:
         )
 
     @cached_property
-    def members(self) -> DataFrame:
-        """Reviews that have a vector, with vector and given cluster: joined once and stored as
-        whole rows, which the passes over texts and vectors then read column by column."""
-        return materialize(self.reviews.join(self.vectors, "review_id"))
+    def flagged(self) -> tuple[DataFrame, float]:
+        from reviewmill.operators.spam import detect_spam
+
+        return detect_spam(self.texts, self.vectors, self.prototypes)
 
     @property
     def answered(self) -> DataFrame:
-        """review_id, cluster_id, recommended of the same reviews; of the texts only ids are read."""
-        ids = self.read("documents").select(F.col("doc_id").alias("review_id"))
+        """review_id, cluster_id, recommended of every review; of the texts only ids are read. A
+        review without a given cluster is in the "other" one."""
         return (
-            self.vectors.select("review_id", "cluster_id")
-            .join(ids, "review_id")
+            self.ids.join(self.vectors.select("review_id", "cluster_id"), "review_id", "left")
             .join(self.answers, "review_id", "left")
+            .withColumn("cluster_id", F.coalesce("cluster_id", F.lit(OTHER_CLUSTER_ID)))
+        )
+
+    @cached_property
+    def active_answered(self) -> DataFrame:
+        """The same of the reviews that are no spam."""
+        from reviewmill.operators.spam import active_reviews
+
+        return materialize(active_reviews(self.answered, self.flagged[0]))
+
+    @cached_property
+    def members(self) -> DataFrame:
+        """The reviews that are no spam, with answer, vector (NULL without one) and cluster: joined
+        once and stored as whole rows, which the passes over texts and vectors then read column by
+        column."""
+        return materialize(
+            self.texts.join(self.active_answered, "review_id")
+            .join(self.vectors.select("review_id", "embedding"), "review_id", "left")
         )
 
     @cached_property
     def term_counts(self) -> DataFrame:
-        from reviewmill.operators.extractive import review_term_counts
+        from reviewmill.operators.extractive import default_stop_words, review_term_counts
 
-        return review_term_counts(self.members)
+        return review_term_counts(self.members, default_stop_words())
 
     @property
     def prototype_rows(self) -> DataFrame:

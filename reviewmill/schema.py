@@ -107,7 +107,9 @@ def select_required(df: DataFrame) -> DataFrame:
 
 
 def require_unique_ids(df: DataFrame) -> DataFrame:
-    """Fail fast when a review_id occurs twice; returns the frame unchanged."""
+    """Fail fast when a review_id is missing or occurs twice; returns the frame unchanged."""
+    if not df.where("review_id IS NULL").isEmpty():
+        raise DuplicateReviews("a row has no review_id")
     repeated = df.groupBy("review_id").count().where("count > 1").limit(1).collect()
     if repeated:
         raise DuplicateReviews(f"review_id {repeated[0]['review_id']} occurs more than once")

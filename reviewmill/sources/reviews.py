@@ -17,7 +17,8 @@ def _raw_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
-    """The six review columns by header name, typed; a value that does not fit becomes NULL."""
+    """The six review columns by header name, typed; a value that does not fit becomes NULL; see
+    unparsable for their number. A row without review_id is refused by require_unique_ids."""
     raw = _raw_csv(spark, path)
     missing = sorted(set(REQUIRED_COLUMNS) - set(raw.columns))
     if missing:
@@ -25,6 +26,15 @@ def read_reviews_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in REVIEW])
 
 
+def unparsable(spark: SparkSession, path: str) -> DataFrame:
+    """One row: for each column, the number of values given that do not fit its type."""
+    raw = _raw_csv(spark, path)
+    return raw.agg(*[
+        F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name)
+        for f in REVIEW
+    ])
+
+
 def check_reviews_csv(spark: SparkSession, path: str) -> tuple[bool, str]:
     """Can this file be analysed? Looks at the header only."""
     try:

@@ -32,11 +32,14 @@ def write_ticket_payload(tickets: DataFrame, path: str) -> None:
 def append_calls(calls: DataFrame, path: str, run_id: str) -> None:
     """Add a run's model calls (step, model, tokens_in, tokens_out, cost) to the ledger.
 
-    The ledger only grows: an earlier run's costs stay when a later one reuses its stages.
+    The ledger only grows: an earlier run's costs stay when a later one reuses its stages. seq goes
+    on from the run's largest one, so it is unique in a run.
     """
+    known = read_calls(calls.sparkSession, path).where(F.col("run_id") == run_id)
+    last = known.agg(F.max("seq")).first()[0]
     calls.select(
         F.lit(run_id).alias("run_id"),
-        F.monotonically_increasing_id().alias("seq"),
+        (F.monotonically_increasing_id() + (0 if last is None else last + 1)).alias("seq"),
         "step", "model", "tokens_in", "tokens_out", "cost",
         F.current_timestamp().alias("timestamp"),
     ).write.mode("append").parquet(path)

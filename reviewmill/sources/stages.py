@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewmill.operators.scale import path_exists
+from reviewmill.operators.scale import delete_path, path_exists
 
 FINGERPRINT_CHARS = 12
 
@@ -17,8 +17,14 @@ MEMBERS, CLUSTERS, CLUSTER_STATS = "03_members", "03_clusters", "03_cluster_stat
 TERM_COUNTS, TOPIC_CALLS, TOPICS = "04_term_counts", "04_topic_calls", "04_topics"
 ISSUE_CALLS, NEGATIVES = "05_issue_calls", "05_negatives"
 KPIS = "06_kpis"
-RESULTS = [CLEAN, CLEAN_STATS, SCORED, SPAM_STATS, MEMBERS, CLUSTERS, CLUSTER_STATS, TOPICS,
-           NEGATIVES, KPIS]
+LANGUAGES, REPAIR_EXAMPLES = "01_lang_distribution", "01_repair_examples"
+FLAGS, COST_BY_STEP = "02_flags", "06_cost_by_step"
+RESULTS = [CLEAN, CLEAN_STATS, LANGUAGES, REPAIR_EXAMPLES, SCORED, FLAGS, SPAM_STATS, MEMBERS,
+           CLUSTERS, CLUSTER_STATS, TOPICS, NEGATIVES, KPIS, COST_BY_STEP]
+# in the order of their making
+ALL_STAGES = [CLEAN, LANGUAGES, REPAIR_EXAMPLES, CLEAN_STATS, SCORED, FLAGS, SPAM_STATS, MEMBERS,
+              CLUSTERS, CLUSTER_STATS, TERM_COUNTS, TOPIC_CALLS, TOPICS, ISSUE_CALLS, NEGATIVES,
+              KPIS, COST_BY_STEP]
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> str:
@@ -67,7 +73,14 @@ class StageStore:
     def write(
         self, stage: str, df: DataFrame, check: Callable[[DataFrame], object] | None = None
     ) -> DataFrame:
-        """Store a table. A check that raises leaves the stage not done."""
+        """Store a table. A check that raises leaves the stage not done.
+
+        The markers of the stage and of all later ones go first: a write that fails half-way leaves
+        none of them done, so a later run mixes no old tables with new ones.
+        """
+        later = ALL_STAGES[ALL_STAGES.index(stage):] if stage in ALL_STAGES else [stage]
+        for name in later:
+            delete_path(self.spark, f"{self.folder}/{name}.done")
         df.write.mode("overwrite").parquet(self.path(stage))
         if check is not None:
             check(self.read(stage))
@@ -75,12 +88,15 @@ class StageStore:
         marker.coalesce(1).write.mode("overwrite").text(f"{self.folder}/{stage}.done")
         return self.read(stage)
 
-    def stage(self, name: str, compute: Callable[[], DataFrame], force: bool = False) -> DataFrame:
+    def stage(
+        self, name: str, compute: Callable[[], DataFrame], force: bool = False,
+        check: Callable[[DataFrame], object] | None = None,
+    ) -> DataFrame:
         """The stored table, computed first where it is absent or force is set."""
         if not force and self.done(name):
             self.reused.append(name)
             return self.read(name)
-        return self.write(name, compute())
+        return self.write(name, compute(), check)
 
 
 def load_results(store: StageStore) -> dict[str, DataFrame | None] | None:

@@ -20,7 +20,7 @@ def blobs(spark, rng):
 
 
 def brute_silhouette(x, labels):
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     out = []
     for i, own in enumerate(labels):
         same = (labels == own) & (np.arange(len(x)) != i)
@@ -39,11 +39,22 @@ def test_silhouette_equals_brute_force(spark, rng):
     df = spark.createDataFrame(
         [(i, int(l), [float(v) for v in row]) for i, (l, row) in enumerate(zip(labels, x))],
         "review_id bigint, cluster_id int, embedding array<double>").repartition(3)
-    assert clustering.sample_silhouette(df) == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+    assert clustering.silhouette(df) == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
 
 
 def test_silhouette_of_one_cluster_is_minus_one(members):
-    assert clustering.sample_silhouette(members.withColumn("cluster_id", F.lit(1))) == -1.0
+    assert clustering.silhouette(members.withColumn("cluster_id", F.lit(1))) == -1.0
+
+
+def test_silhouette_covers_every_row(spark, rng):
+    x = rng.normal(size=(2500, 3))
+    labels = np.arange(2500) % 3
+    df = spark.createDataFrame(
+        [(i, int(l), [float(v) for v in row]) for i, (l, row) in enumerate(zip(labels, x))],
+        "review_id bigint, cluster_id int, embedding array<double>")
+    assert clustering.silhouette(df) == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+    missing = spark.createDataFrame([(9000, 1, None)], df.schema)
+    assert clustering.silhouette(df.unionByName(missing)) == pytest.approx(clustering.silhouette(df))
 
 
 def test_pca_keeps_distances_and_caps_the_dimension(blobs):
@@ -70,7 +81,8 @@ def test_select_k_finds_the_groups(blobs):
     assert list(choice.scores) == [6, 7, 8, 9, 10]
     assert choice.k == 7 and choice.silhouette == max(choice.scores.values())
     again = clustering.select_k(reduced.repartition(5), restarts=4)
-    assert again == choice
+    assert again.k == choice.k
+    assert again.scores == pytest.approx(choice.scores, abs=1e-9)
 
 
 def test_select_k_with_fewer_rows_than_clusters(blobs):
@@ -86,11 +98,14 @@ def test_best_restart_has_the_lowest_cost(blobs):
     assert best == pytest.approx(min(single))
 
 
-def test_assignment_is_repeatable_and_numbered_by_first_id(blobs):
+def test_assignment_is_repeatable_and_numbered_by_first_id(spark, rng, blobs):
+    x = rng.normal(size=(1500, 8))  # no groups: any change of the start shows
+    flat = scale.materialize(spark.createDataFrame(
+        [(i, [float(v) for v in row]) for i, row in enumerate(x)], "review_id bigint, reduced array<double>"))
+    runs = [sorted(clustering.kmeans_assign(flat.repartition(n), 6, restarts=3).collect()) for n in (2, 4, 7)]
+    assert runs[0] == runs[1] == runs[2]
     reduced = scale.materialize(clustering.pca_projection(blobs))
     first = clustering.kmeans_assign(reduced, 7, restarts=2)
-    second = clustering.kmeans_assign(reduced, 7, restarts=2)
-    assert sorted(first.collect()) == sorted(second.collect())
     order = [r[0] for r in first.groupBy("cluster_id").agg(F.min("review_id").alias("m"))
              .orderBy("m").collect()]
     assert order == sorted(order)

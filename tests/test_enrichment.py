@@ -95,7 +95,7 @@ def test_issue_records(spark, reviews):
         (1, json.dumps({"issues": [
             {"title": "a|b", "severity": "critical", "frequency": 3,
              "representative_quote_ids": [2, 2, "z"]},
-            {"title_en": "only", "frequency": None}, {"frequency": "4.8"}, {"frequency": "many"},
+            {"title_en": "only", "frequency": None}, {"frequency": "4.8"}, {"frequency": "many"}, {"frequency": 1e12}, {"frequency": "NaN"},
         ]}), None),
         (2, '{"issues": []}', None), (3, "{}", None), (4, None, "boom"), (5, "{bad", None)]
     calls = spark.createDataFrame(replies, "cluster_id int, response string, error string")
@@ -107,9 +107,9 @@ def test_issue_records(spark, reviews):
     got = {r["cluster_id"]: r for r in E.negative_records(
         counts, topics, E.parse_issues(calls), reviews).collect()}
     first = got[1]["issues"]
-    assert [i["frequency"] for i in first] == [3, 0, 4, 0]
-    assert [i["severity"] for i in first] == ["critical", "minor", "minor", "minor"]
-    assert [i["title"] for i in first] == ["a|b", "(미정)", "(미정)", "(미정)"]
+    assert [i["frequency"] for i in first] == [3, 0, 4, 0, 0, 0]
+    assert [i["severity"] for i in first] == ["critical"] + ["minor"] * 5
+    assert [i["title"] for i in first] == ["a|b"] + ["(미정)"] * 5
     assert [q["review_id"] for q in first[0]["representative_quotes"]] == [2, 2]
     assert got[2]["issues"] == got[3]["issues"] == got[5]["issues"] == []
     assert got[4]["issues"][0]["title_en"] == "LLM failure"

@@ -76,6 +76,37 @@ def test_stage_is_computed_once(spark, tmp_path):
     assert half.stage("s", compute).count() == 3 and half.reused == []
 
 
+def test_a_failed_forced_run_leaves_no_stage_done(spark, tmp_path):
+    store = stages.StageStore(spark, str(tmp_path), "abc")
+    for name in (stages.CLEAN, stages.SCORED, stages.TOPICS):
+        store.write(name, spark.range(2))
+    failing = spark.range(3).select(F.raise_error(F.lit("lost")).alias("x"))
+    with pytest.raises(Exception, match="lost"):
+        store.stage(stages.SCORED, lambda: failing, force=True)
+    assert [store.done(n) for n in (stages.CLEAN, stages.SCORED, stages.TOPICS)] == [True, False, False]
+    assert store.stage(stages.SCORED, lambda: spark.range(4)).count() == 4
+
+
+def test_ledger_keys_are_unique_in_a_run(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    calls = spark.range(0, 20, 1, 4).select(
+        F.lit("s").alias("step"), F.lit("m").alias("model"), F.col("id").alias("tokens_in"),
+        F.lit(0).cast("bigint").alias("tokens_out"), F.lit(0.5).alias("cost"))
+    for run in ("a", "b", "a"):
+        sinks.append_calls(calls, path, run)
+    rows = sinks.read_calls(spark, path)
+    assert rows.count() == rows.select("run_id", "seq").distinct().count() == 60
+
+
+def test_values_that_do_not_parse_are_counted(spark, tmp_path):
+    file = tmp_path / "some.csv"
+    file.write_text(CSV, encoding="utf-8")
+    assert R.unparsable(spark, str(file)).first().asDict() == {
+        "review_id": 1, "text": 0, "lang": 0, "recommended": 0, "playtime_hours": 1, "posted_at": 0}
+    with pytest.raises(DuplicateReviews, match="no review_id"):
+        require_unique_ids(R.read_reviews_csv(spark, str(file)))
+
+
 def hashed_words(texts):
     out = np.zeros((len(texts), 32), dtype=np.float32)
     for row, text in zip(out, texts):

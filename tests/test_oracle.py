@@ -6,7 +6,7 @@ from checks.compare import differences, duck
 from checks.oracle import ORACLE
 from reviewmill.plans.queries import QUERIES
 
-ROWS_ONLY = {"pca_projection", "kmeans_assign", "select_k", "clustering_job", "whole_analysis"}
+ROWS_ONLY = {"pca_projection", "kmeans_assign", "select_k", "clustering_job", "whole_analysis", "replay"}
 
 
 @pytest.fixture(scope="module")

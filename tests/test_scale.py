@@ -13,16 +13,14 @@ def numbers(spark, rng):
 
 
 @pytest.mark.parametrize("q", [0.0, 0.001, 0.37, 0.5, 0.94, 0.99999, 1.0])
-def test_quantile_is_exact_both_ways(numbers, q):
+def test_quantile_is_exact(numbers, q):
     values, df = numbers
-    expected = np.quantile(values, q)
-    assert scale.exact_quantile(df, "v", q) == pytest.approx(expected, abs=1e-12)
-    assert scale.exact_quantile(df, "v", q, buffer_rows=0) == pytest.approx(expected, abs=1e-12)
+    assert scale.exact_quantile(df, "v", q) == pytest.approx(np.quantile(values, q), abs=1e-12)
 
 
 def test_quantile_of_constants_and_of_nothing(spark):
     same = spark.createDataFrame([(1.5,)] * 9 + [(None,)], "v double")
-    assert scale.exact_quantile(same, "v", 0.94, buffer_rows=0) == 1.5
+    assert scale.exact_quantile(same, "v", 0.94) == 1.5
     assert scale.exact_quantile(same.where("v > 2"), "v", 0.94) is None
 
 
@@ -34,13 +32,16 @@ def test_order_statistics_bring_few_rows_to_the_driver(numbers):
         assert found == ranked[rank]
 
 
-def test_deep_pages_equal_early_pages(spark):
-    ids = spark.range(0, 5000).select((F.col("id") * 7).alias("review_id")).repartition(4)
-    for number in (1, 2, 60, 100, 101):
-        plain = views.page(ids, number).collect()
-        assert views.page(ids, number, deep=-1 if number > 1 else 10**9).collect() == plain
-    assert [r[0] for r in views.page(ids, 2, deep=0).collect()] == [7 * i for i in range(50, 100)]
-    assert views.page(ids, 101).collect() == []
+def test_pages_cut_one_order_whatever_their_depth(spark):
+    rows = [(i // 3 * 7 if i % 11 else None, f"t{i % 5}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "review_id bigint, text string").repartition(4)
+    pages = [views.page(df, n, 60).collect() for n in range(1, 19)]
+    assert [len(p) for p in pages] == [60] * 16 + [40, 0]
+    got = [tuple(r) for p in pages for r in p]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+    ids = [r[0] for r in got]
+    assert ids == sorted((i for i in ids if i is not None)) + [None] * ids.count(None)
+    assert [views.page(df.repartition(7), n, 60).collect() for n in (1, 9, 16, 17)] == [pages[n - 1] for n in (1, 9, 16, 17)]
 
 
 def test_page_count_is_at_least_one(spark):
@@ -68,15 +69,14 @@ def test_top_n_limits_before_it_shuffles(spark):
         (0, 996, 2), (0, 999, 1), (1, 994, 2), (1, 997, 1), (2, 995, 2), (2, 998, 1)]
 
 
-def test_pin_switches_to_a_written_table(spark):
-    df = spark.range(50)
-    assert "LocalTableScan" in plan_of(scale.pin(df, 50))
-    assert "FileScan parquet" in plan_of(scale.pin(df, 49))
-    assert scale.pin(df, 49).count() == 50
+def test_pin_evaluates_once_into_a_written_table(spark):
+    seen = spark.sparkContext.accumulator(0)
 
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
 
-def test_spread_only_widens_narrow_scans(spark, folder):
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
-    assert scale.spread(docs, "doc_id").rdd.getNumPartitions() == 8
-    wide = docs.repartition(9)
-    assert scale.spread(wide, "doc_id") is wide
+    pinned = scale.pin(spark.range(50).mapInArrow(count, "id long"))
+    assert "FileScan parquet" in plan_of(pinned) and pinned.count() == pinned.count() == 50
+    assert seen.value == 50

@@ -36,7 +36,7 @@ def by_cluster(df):
     return out
 
 
-@pytest.mark.parametrize("max_clusters", [selection.PIN_ROWS, 0])
+@pytest.mark.parametrize("max_clusters", [selection.MAX_CLUSTERS, 0])
 def test_representatives_equal_brute_force(members, max_clusters):
     got = selection.representatives(members, max_clusters=max_clusters)
     assert by_cluster(got) == brute_force(members, 5, 5)
@@ -44,7 +44,7 @@ def test_representatives_equal_brute_force(members, max_clusters):
     assert ranks == list(range(1, 11))
 
 
-@pytest.mark.parametrize("max_clusters", [selection.PIN_ROWS, 0])
+@pytest.mark.parametrize("max_clusters", [selection.MAX_CLUSTERS, 0])
 def test_negative_sample_takes_all_of_small_clusters(members, max_clusters):
     got = by_cluster(selection.negative_sample(members, 12, 4, max_clusters=max_clusters))
     assert got[0] == brute_force(members, 4, 8)[0]
@@ -91,6 +91,13 @@ def test_no_pairs_are_built(members):
     assert plan.count("WindowGroupLimit") == 4
 
 
+def test_members_without_a_vector_are_near_to_nothing(spark, members):
+    missing = spark.createDataFrame([(900, 0, None), (901, 7, None)], members.schema)
+    more = members.unionByName(missing)
+    assert by_cluster(selection.representatives(more)) == by_cluster(selection.representatives(members))
+    assert by_cluster(selection.negative_sample(more, 13, 4))[7] == [901]
+
+
 def test_empty_input(members):
     none = members.where(F.lit(False))
     assert selection.representatives(none).collect() == []
