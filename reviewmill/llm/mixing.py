@@ -151,7 +151,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     starts = drawn.withColumn("start", F.coalesce(F.sum("slots").over(ahead), F.lit(0)))
     total = {r[0]: r[1] for r in drawn.groupBy("source_no").agg(F.sum("slots")).collect()}
     draws.drawn = np.array([total.get(i, 0) for i in range(len(rows))], np.int64)
-    slots = starts.where("slots > 0").mapInPandas(
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a number, or few rows would share a task
+    slots = starts.where("slots > 0").repartition(parts, "shard").mapInPandas(
         draws.slots, "shard long, place long, source_no int, epoch int, block long"
     )
     return Mixture(sources, placed, stored(slots, "slots"), block_words)
