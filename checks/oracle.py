@@ -575,6 +575,9 @@ ORDER BY md5('{SEED}:' || doc_id), doc_id LIMIT 100""",
   CAST(2 * length(text) - length(replace(text, chr(97 + CAST(i AS INTEGER)), ''))
        - length(replace(text, chr(65 + CAST(i AS INTEGER)), '')) AS DOUBLE) AS value
 FROM documents, range(26) r(i)""",
+    "offline_embedding": """SELECT doc_id AS review_id, 256::INTEGER AS width,
+  CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length
+FROM documents""",
     "embed_usage": """SELECT CAST(sum(length(text)) AS BIGINT) AS tokens_in,
   round(sum(length(text)) * 0.02::DOUBLE / 1000000, 6) AS cost FROM documents""",
     "topic_prompt": with_(

@@ -9,13 +9,18 @@ from reviewmill import constants as C
 from reviewmill.functions import text as X, vectors as V
 from reviewmill.operators.scale import exact_quantile, materialize
 
+MAX_PROTOTYPES = 1000
+
 
 def load_prototypes(prototypes: DataFrame) -> tuple[list[str], np.ndarray, int]:
     """Bring the handful of prototypes to the driver: names, matrix, number of positive rows.
 
-    Expects (pid, polarity, text, embedding); positives come first, each side ordered by pid.
+    Expects (pid, polarity, text, embedding); positives come first, each side ordered by pid. More
+    than MAX_PROTOTYPES rows are refused.
     """
-    rows = prototypes.select("pid", "polarity", "text", "embedding").collect()
+    rows = prototypes.select("pid", "polarity", "text", "embedding").limit(MAX_PROTOTYPES + 1).collect()
+    if len(rows) > MAX_PROTOTYPES:
+        raise ValueError(f"more than {MAX_PROTOTYPES} prototypes")
     rows.sort(key=lambda r: (r["polarity"] != "positive", r["pid"]))
     matrix = np.array([r["embedding"] for r in rows], dtype=np.float64)
     return [r["text"] for r in rows], matrix, sum(r["polarity"] == "positive" for r in rows)

@@ -385,6 +385,14 @@ def embed_text(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def offline_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """Width and length of the built-in model's vectors: length 1, or 0 for a text without a word."""
+    texts = Tables(spark, folder).texts.select("review_id", "text")
+    embedded = embedding.embed_offline(embedding.fit_offline_embedder(texts), texts)
+    length = F.sqrt(V.dot(F.col("embedding"), F.col("embedding")))
+    return embedded.select("review_id", F.size("embedding").alias("width"), F.round(length, 4).alias("length"))
+
+
 def embed_usage(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens and price of embedding every review."""
     embedded = embedding.embed_reviews(
@@ -681,7 +689,7 @@ ALL = [
     negative_sample, tiny_cluster_merge, cluster_sizes, silhouette_exact, uniform_sample_ids,
     paraphrase_agreement,
     pca_projection, pca_distance, kmeans_assign, kmeans_check, select_k, k_check, clustering_job,
-    clustering_check, whole_analysis, replay, embed_text, embed_usage,
+    clustering_check, whole_analysis, replay, embed_text, offline_embedding, embed_usage,
     topic_prompt, issue_prompt, response_parse, issue_parse, quote_resolution, cluster_sentiment,
     cluster_keywords, negative_issues, negative_ratio,
     explorer_filter, explorer_page, explorer_facets, page_count, topic_ranking, issue_ranking, total_issues,
