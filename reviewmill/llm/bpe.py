@@ -15,9 +15,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered by a task, and the longest one that is.
+#: Words remembered by a worker, and the longest one that is.
 MEMORY_WORDS = 400_000
 MEMORY_LENGTH = 64
+#: Symbols of a fragment that are searched without a heap.
+SHORT = 40
 ROWS = 512
 
 
@@ -42,6 +44,10 @@ class Vocabulary:
         names = {i: t for t, i in (self.ids | self.special).items()}
         return [names.get(i, "") for i in range(max(names) + 1)]
 
+    @cached_property
+    def encoder(self) -> Encoder:
+        return Encoder(self)
+
     @cached_property
     def symbols(self) -> list[str]:
         """The character that stands for each byte: itself where it prints, else the next free one from U+0100."""
@@ -110,8 +116,23 @@ class Encoder:
         return [marked[a:b] for a, b in pairwise([0, *cuts, len(marked)])]
 
     def merged(self, symbols: list[str]) -> list[int]:
-        """Join the neighbours of lowest rank, leftmost first, until none has a rank."""
+        """Join the neighbours of lowest rank, leftmost first, until none has a rank.
+
+        A short fragment is searched anew for each join, a long one keeps its pairs in a heap.
+        """
         part, ranks = list(symbols), self.v.ranks
+        if len(part) <= SHORT:
+            none = len(ranks)
+            order = [ranks.get(p, none) for p in pairwise(part)]
+            while order and (least := min(order)) < none:
+                i = order.index(least)
+                part[i: i + 2] = [part[i] + part[i + 1]]
+                del order[i]
+                if i:
+                    order[i - 1] = ranks.get((part[i - 1], part[i]), none)
+                if i < len(order):
+                    order[i] = ranks.get((part[i], part[i + 1]), none)
+            return [self.v.ids[p] for p in part]
         following, previous = list(range(1, len(part) + 1)), list(range(-1, len(part) - 1))
         queue = [(ranks[p], i, p) for i, p in enumerate(pairwise(part)) if p in ranks]
         heapq.heapify(queue)
@@ -138,7 +159,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder  # kept by the worker: words of earlier tasks are known
         for part in _parts(batches):
             ids = [encoder.encode(t.as_py() or "") for t in part.column(1)]
             yield pa.RecordBatch.from_arrays([part.column(0), _lists(ids)], ["key", "ids"])
