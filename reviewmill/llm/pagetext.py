@@ -24,21 +24,26 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME = frozenset("nav footer aside form header dialog menu".split())
 MAIN = frozenset("article main".split())
 CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline-ads comment comments "
-    "consent contentinfo cookie cookies disqus discussion footer form gdpr header login masthead menu menubar modal nav navbar "
+    "ad ads adv advert adverts advertisement advertising alert aside banner banners breadcrumb breadcrumbs comment comments "
+    "complementary consent contentinfo cookie cookies copyright disclaimer disqus discussion footer form gdpr header login "
+    "masthead menu menubar modal nav navbar "
     "navigation newsletter notice notices notification pager pagination popup promo promotion recommended related remark "
     "remarks replies reply responses search share sharing sidebar sidebars signup site-footer site-header skip social sponsor "
-    "sponsored sponsors subscribe subscription toolbar topbar widget widgets".split()
+    "sponsored sponsors subscribe subscription teaser teasers toolbar topbar widget widgets".split()
 )
 REMARK_WORDS = frozenset("comment comments disqus discussion remark remarks replies reply responses".split())
-MAIN_WORDS = frozenset("article articlebody article-body article-content content-body entry entry-content main maincontent "
-                       "main-content post post-body post-content post-text story story-body".split())
+MAIN_WORDS = frozenset("article articlebody article-body article-content article-text content content-body entry entry-content "
+                       "main maincontent main-content page-content post post-body post-content post-text story story-body".split())
+#: Words that tell how a page is laid out, not what a part is.
+LAYOUT = ("has-", "with-", "no-", "without-", "is-")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
     r"(?:.*?</(?P=raw)\s*>|.*)|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
     r"|<[!?/][^>]*>", re.I | re.S,
 )
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_UNSEEN = re.compile(r"(?i)\s(?:aria-)?hidden(?:\s*=\s*[\"']?(?:true|hidden|)[\"']?)?(?=[\s/>])|display\s*:\s*none")
 _PIECES = re.compile(r"[a-z0-9]+(?:-[a-z0-9]+)*")
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "part", "heading")
@@ -243,20 +248,25 @@ def blocks(page: str) -> list[Block]:
 
 
 def _part(tag: str, rest: str, outer: tuple[str, int, bool]) -> tuple[int, bool]:
+    """The part that an element opens within `outer`, and whether it holds for all that lies inside."""
     _, part, fixed = outer
     if fixed or tag in ("html", "body"):
         return part, fixed
-    hints = {w for m in _HINT.finditer(rest) for w in _PIECES.findall((m[1] or m[2] or m[3] or "").lower())} if "=" in rest else set()
-    hints |= {w for h in hints for w in h.split("-")} if not hints & MAIN_WORDS else set()
-    if hints & REMARK_WORDS or tag in ("nav", "footer", "aside"):
+    whole: set[str] = set()
+    if "=" in rest:
+        hints = (m[1] or m[2] or m[3] or "" for m in _HINT.finditer(rest))
+        whole = {w for h in hints for w in _PIECES.findall(_HUMP.sub("-", h).lower()) if not w.startswith(LAYOUT)}
+    pieces = {p for w in whole for p in w.split("-")}
+    if pieces & REMARK_WORDS or tag in ("nav", "footer", "aside") or _UNSEEN.search(rest):
         return -1, True
     if tag in MAIN:
         return 1, False
-    if tag in CHROME and not (tag == "header" and part == 1):
+    own_header = part == 1 or bool(pieces & MAIN_WORDS)  # a heading of the article, not of the site
+    if tag in CHROME and not (tag == "header" and own_header):
         return -1, False
-    if hints & MAIN_WORDS:
-        return 1, False
-    return (-1, False) if hints & CHROME_WORDS else (part, False)
+    if pieces & CHROME_WORDS - ({"header"} if own_header else set()):
+        return -1, False
+    return (1 if whole & MAIN_WORDS else part), False
 
 
 def features(own: list[Block]) -> np.ndarray:

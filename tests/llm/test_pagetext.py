@@ -32,6 +32,18 @@ def test_parts_of_a_page():
     assert pagetext.main_text(page, TREE) == "Head & line First paragraph with bold words, and a link. Short. Second énd."
 
 
+def test_hints_in_class_and_id():
+    long = "A paragraph of the text that has quite a few words in it, more than twelve of them for certain."
+    kept = [f'<div class="{c}"><p>{long}</p><p>Short.</p></div>' for c in ("article-body", "postContent", "content has-sidebar", "entry_content")]
+    gone = [f'<div {a}><p>{long}</p></div>' for a in (
+        'class="main-menu"', 'id=site_footer', 'class="promo-box"', 'id="cookieNotice"', 'class="post-comments"', "hidden", 'style="display:none"',
+        'aria-hidden="true"', 'role="complementary"')]
+    for k in kept:
+        for g in gone:
+            assert pagetext.main_text(f"<body>{g}{k}{g}</body>", TREE) == f"{long} Short.", (k, g)
+    assert pagetext.main_text(f'<div class="article-header"><h1>Head</h1></div><div class="article-body"><p>{long}</p></div>', TREE) == f"Head {long}"
+
+
 def test_pages_without_marks():
     long = "A paragraph of the text that has quite a few words in it, more than twelve of them for certain."
     page = f"<ul><li><a>Home</a><li><a>News</a></ul><h1>About things</h1><p>{long}</p><p>Short.</p><p>{long}</p><div><a>Imprint</a></div>"
