@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -10,6 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. On a cluster whose machines have it elsewhere,
+    ship it in the usual way (--py-files); an own PYTHONPATH of the session stays."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`; where it is unset, a temporary one, on a single machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
