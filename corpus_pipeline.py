@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from reviewmill.llm import bpe, language, mixing, passages, simhash
 from reviewmill.llm.queries import VOCABULARY_FILE, held_out
-from reviewmill.llm.scratch import findable, stored
+from reviewmill.llm.scratch import prepare, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language. Learns from the labelled rows outside the held-out fold; documents without a
     letter, null ones among them, are rejected. If no row is labelled, every document is undetermined and none is left."""
-    findable(spark)
+    prepare(spark)
     model = language.train(docs.where(F.col("doc_id").isNotNull() & ~held_out()), order=F.xxhash64("doc_id"))
     told = language.identified_rows(docs, model).where(F.col("lang_pred") != language.UNDETERMINED)
     return told.select(*[F.col(f"carried.`{c}`").alias(c) for c in docs.columns])
@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that of the smallest doc_id, once if its rows repeat. Rows without doc_id
     stay only where no row of their group has one."""
-    findable(spark)
+    prepare(spark)
     groups = simhash.near_copies(docs)
     first = groups.where(F.col("key") == F.col("component")).select(F.col("key").alias("_key")).distinct()
     named = docs.join(first, docs["doc_id"] == first["_key"], "left_semi").dropDuplicates(["doc_id"])
@@ -43,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that repeat one of a smaller doc_id; a document with no word left goes. Documents
     that had no words before, null ones too, stay as they are."""
-    findable(spark)
+    prepare(spark)
     spans = passages.spans(passages.repeated_passages(docs)).select("doc_id", "begin", "end")
     marked = docs.withColumn("_words", F.col("text").rlike(mixing.WORD))
     cut = passages.cut_texts(marked, spans)
@@ -53,13 +53,13 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the words that the mix takes of them, repeats included; one row a document, none if nothing is taken."""
-    findable(spark)
+    prepare(spark)
     return _counted(mixing.mixed_texts(docs, mixing.mix(docs)))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded text of every document."""
-    findable(spark)
+    prepare(spark)
     vocabulary = bpe.Vocabulary(public_tokenizers.path(VOCABULARY_FILE))
     coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
     return coded.select(

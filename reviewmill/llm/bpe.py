@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words remembered by a worker, and the longest one that is.
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 200_000
 MEMORY_LENGTH = 64
 #: Symbols of a fragment that are searched without a heap.
 SHORT = 40

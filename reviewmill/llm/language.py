@@ -46,8 +46,7 @@ class LanguageModel:
             known = first >= 0
             # an unknown symbol is a phrase of its own
             again = np.where(known, first | (1 << _PHRASES), root | (2 << _PHRASES)).astype(np.int32)
-            missing = own < 0
-            own[missing] = np.broadcast_to(again, own.shape)[missing]
+            np.copyto(own, again, where=own < 0)
             own[0] = np.where(known, first, root | (1 << _PHRASES))
         return table.ravel()
 
@@ -140,25 +139,30 @@ def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: s
     `und` with score 0, and so is every text when nothing was learned. Long texts are parsed in pieces of fixed size,
     so a prediction depends on its text alone.
     """
-    return _identified(docs, F.col(key), model, text).withColumnRenamed("carried", "key")
+    chosen = docs.select(F.col(key).alias("carried"), _has_letter(text), F.col(text).alias("text"))
+    return _identified(chosen, model, None).withColumnRenamed("carried", "key")
 
 
 def identified_rows(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """(carried, lang_pred, score): whole rows of `docs` as a struct, so columns of any name pass, with what `identify` says."""
-    return _identified(docs, F.struct(*[F.col(c) for c in docs.columns]), model, text)
+    chosen = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("carried"), _has_letter(text))
+    return _identified(chosen, model, text)
 
 
-def _identified(docs: DataFrame, carried: Column, model: LanguageModel, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    has_letter = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    chosen = docs.select(carried.alias("carried"), F.when(has_letter, F.col(text)).alias("text"))
+def _has_letter(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has_letter")
+
+
+def _identified(chosen: DataFrame, model: LanguageModel, within: str | None) -> DataFrame:
+    """The texts are the third column, or the field `within` of what is carried, so they travel once."""
+    shared = chosen.sparkSession.sparkContext.broadcast(model)
     kind = chosen.schema["carried"].dataType.simpleString()
-    return chosen.mapInArrow(_Identified(shared), f"carried {kind}, lang_pred string, score double")
+    return chosen.mapInArrow(_Identified(shared, within), f"carried {kind}, lang_pred string, score double")
 
 
 class _Identified:
-    def __init__(self, shared):
-        self.shared = shared
+    def __init__(self, shared, within: str | None):
+        self.shared, self.within = shared, within
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = self.shared.value
@@ -167,7 +171,9 @@ class _Identified:
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                names, scores = self._predict(model, table, weights, part.column(1))
+                texts = part.column(0).field(self.within) if self.within else part.column(2)
+                known = [t.as_py() if ok.as_py() else None for t, ok in zip(texts, part.column(1), strict=True)]
+                names, scores = self._predict(model, table, weights, known)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     ["carried", "lang_pred", "score"],
@@ -178,7 +184,7 @@ class _Identified:
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         if not model.languages:
             return names, scores
-        data = [letters(t.as_py()) if t.is_valid else b"" for t in texts]
+        data = [b"" if t is None else letters(t) for t in texts]
         costs = phrases(model, table, data) * weights[:, None]
         best = costs.argmin(0)
         rest = costs.copy()

@@ -167,7 +167,8 @@ def mixed_texts(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: st
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_chosen_words(t.as_py(), p.as_py()) for t, p in zip(batch.column(1), batch.column(2), strict=True)]
+            own = batch.column(0).field(text)
+            texts = [_chosen_words(t.as_py(), p.as_py()) for t, p in zip(own, batch.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
     parts = mixture.contents().groupBy("source_no", "first_word").agg(
@@ -184,7 +185,7 @@ def mixed_texts(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: st
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("_size"), F.xxhash64(text).alias("_order"),
     ).withColumn("_number", number)
     same = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("_key", "_source", "_size", "_number")]
-    joined = whole.alias("d").join(taken.alias("t"), same).select("d.row", f"d.row.{text}", "t.parts")
+    joined = whole.alias("d").join(taken.alias("t"), same).select("d.row", "t.parts")
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(rows, f"row {kind}, text string").select(
         *[(F.col("text") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]

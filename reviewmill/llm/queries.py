@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewmill.llm import bpe, chat, language, mixing, neighbours, pagetext, passages, search, simhash, warc
 from reviewmill.llm.oracle import CLOSING_TEXT
-from reviewmill.llm.scratch import findable
+from reviewmill.llm.scratch import prepare
 
 VOCABULARY_FILE = "word_bpe_49k.json"
 QUERY_STEP = 100
@@ -20,7 +20,7 @@ FOLDS, HELD_OUT_FOLD = 4, 2
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    findable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

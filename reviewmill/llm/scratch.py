@@ -11,9 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: dict[str, str] = {}
 
 
-def findable(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it. On a cluster whose machines have it elsewhere,
-    ship it in the usual way (--py-files); an own PYTHONPATH of the session stays."""
+#: Rows that go to a Python worker at once: whole texts are long, and batches of Spark's default size take memory twice
+#: in the JVM and once in the worker.
+BATCH_ROWS = 2000
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Set up a session for these operators: rows a batch, where the session has not chosen its own, and the import path.
+
+    Python workers import this package from where the driver has it. On a cluster whose machines have it elsewhere, ship
+    it in the usual way (--py-files); an own PYTHONPATH of the session stays.
+    """
+    if spark.conf.get(_ARROW_ROWS) == "10000":
+        spark.conf.set(_ARROW_ROWS, BATCH_ROWS)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     spark.sparkContext.environment.setdefault("PYTHONPATH", root)
 
