@@ -17,14 +17,17 @@ from reviewmill.operators.scale import pin
 from reviewmill.schema import ISSUE_REPLY, TOPIC_REPLY
 
 TOPIC_INSTRUCTIONS = (
-    "\nReply with one JSON object and nothing else. Keys: topic (Korean, at most 20 characters), "
+    "\nYou read player reviews and name what they have in common. Cluster -1 holds reviews that fit no other "
+    "cluster: say so in its name. "
+    "Reply with one JSON object and nothing else. Keys: topic (Korean, at most 20 characters), "
     "topic_en (at most 6 words), summary and summary_en (three one-sentence lines each), "
     "sentiment (positive, negative or mixed), keywords_ko, keywords_en, "
     "representative_quote_ids (2 or 3 ids from the list above). "
     "Use only what the reviews state.\n"
 )
 ISSUE_INSTRUCTIONS = (
-    "\nReply with one JSON object and nothing else: {\"issues\": [...]} with 1 to 5 complaints, "
+    "\nYou sort complaints of players for developers. "
+    "Reply with one JSON object and nothing else: {\"issues\": [...]} with 1 to 5 complaints, "
     "most frequent first, or an empty list. Each has title (Korean, at most 30 characters), "
     "title_en, description, description_en (2 or 3 sentences, with steps to reproduce where "
     "given), severity (critical: blocks playing; major: spoils it; minor: a nuisance), frequency "
