@@ -492,7 +492,7 @@ FROM sims GROUP BY review_id""",
     ),
     "spam_candidates": with_(
         [*BASE, *scores()],
-        """SELECT f.review_id, spam_score AS score, matched_prototype, text
+        """SELECT f.review_id, coalesce(spam_score, 0.0::DOUBLE) AS score, matched_prototype, text
 FROM flags f JOIN reviews r ON r.review_id = f.review_id WHERE is_spam""",
     ),
     "spam_override": with_(
