@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from reviewmill import constants as C
 from reviewmill.operators import enrichment, extractive
 from reviewmill.plans.queries import SPAM_PHRASES
@@ -192,20 +194,10 @@ TERM = q(TERM_PATTERN)
 
 
 def stop_words() -> list[str]:
-    """The lists that come with Spark, read from its archive, and the engine's Korean list."""
-    import glob
-    import os
-    import zipfile
-
-    import pyspark
-
-    jar = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))[0]
-    words = set(extractive.KOREAN_STOP_WORDS)
-    with zipfile.ZipFile(jar) as archive:
-        for language in ("english", "french", "german", "spanish"):
-            data = archive.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt")
-            words.update(data.decode().split("\n"))
-    return sorted(words - {""})
+    """Spark's lists, kept beside this module so that no installation is searched, and the engine's Korean list."""
+    with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "stop_words.txt"), encoding="utf-8") as lines:
+        words = {line.rstrip("\n") for line in lines if not line.startswith("#")}
+    return sorted((words | set(extractive.KOREAN_STOP_WORDS)) - {""})
 
 
 def class_terms(source: str) -> list[str]:
