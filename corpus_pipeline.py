@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewmill.llm import bpe, language, mixing, passages, simhash
-from reviewmill.llm.queries import VOCABULARY_FILE, held_out
+from reviewmill.llm.queries import held_out, vocabulary
 from reviewmill.llm.scratch import prepare, stored
 
 
@@ -60,8 +59,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded text of every document."""
     prepare(spark)
-    vocabulary = bpe.Vocabulary(public_tokenizers.path(VOCABULARY_FILE))
-    coded = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    words = vocabulary()
+    coded = bpe.decode(bpe.encode(docs, words), words)
     return coded.select(
         F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2("text", 256).alias("decoded_sha256"),

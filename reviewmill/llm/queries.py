@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewmill.llm import bpe, chat, language, mixing, neighbours, pagetext, passages, search, simhash, warc
+from reviewmill.llm import (
+    bpe, chat, language, mixing, neighbours, pagetext, passages, runs, search, simhash, toxicity, warc, whitening,
+)
 from reviewmill.llm.oracle import CLOSING_TEXT
 from reviewmill.llm.scratch import prepare
 
@@ -17,6 +18,8 @@ QUERY_STEP = 100
 NEIGHBOURS = 10
 SEARCH_STEP, SEARCH_RESULTS = 20, 10
 FOLDS, HELD_OUT_FOLD = 4, 2
+TOXIC_FOLDS, TOXIC_HELD_OUT = 5, 0
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,8 +37,12 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def held_out(key: str = "doc_id"):
-    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT_FOLD, F.lit(False))
+def key_hash(key: str):
+    return F.crc32(F.col(key).cast("string").cast("binary"))
+
+
+def held_out(key: str = "doc_id", folds: int = FOLDS, fold: int = HELD_OUT_FOLD):
+    return F.coalesce(F.pmod(key_hash(key), F.lit(folds)) == fold, F.lit(False))
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -67,6 +74,8 @@ def op5_pagetext(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers  # only here: the other queries need no vocabulary files
+
     return bpe.Vocabulary(public_tokenizers.path(VOCABULARY_FILE))
 
 
@@ -123,6 +132,70 @@ def op10_search(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 6))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """How likely every document is to be marked toxic, learned from the labelled rows outside the held-out fold."""
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    fold = held_out(folds=TOXIC_FOLDS, fold=TOXIC_HELD_OUT)
+    model = toxicity.train(docs, labels.where(F.col("doc_id").isNotNull() & ~fold))
+    return toxicity.scored(docs, model).select(
+        F.col("key").alias("doc_id"), held_out("key", TOXIC_FOLDS, TOXIC_HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The whitened leading components of every vector."""
+    rows, model = whitening.whiten(_table(spark, folder, "embeddings"))
+    parts = [float(e) / model.trace for e in model.eigenvalues]
+    explained = F.element_at(F.array(*[F.lit(p) for p in parts]).cast("array<double>"), F.col("at") + 1)
+    return rows.select("key", "deviation", F.posexplode("whitened").alias("at", "white")).select(
+        F.col("key").alias("vec_id"), (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.n).cast("long").alias("n"), "deviation", F.col("white").alias("whitened"),
+        explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"),
+    )
+
+
+def periodic_tails(docs: DataFrame) -> DataFrame:
+    """The documents, in every tenth of which (by hash) the words from one place on repeat a short sequence."""
+    marked = docs.select("doc_id", "text", key_hash("doc_id").alias("h"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    planted = (F.col("h") % 10 == 0) & F.col("text").rlike(WORD)
+    cut = marked.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.when(planted, words).alias("words"))
+    n = F.size("words")
+    start = F.col("g") % n
+    at = cut.select(
+        "doc_id", "text", "words", start.cast("int").alias("a"),
+        (1 + F.floor((n - start) / (3 + F.col("g") % 8))).cast("int").alias("p"), n.alias("n"),
+    )
+    repeated = F.transform(
+        F.sequence(F.lit(0), F.col("n") - 1),
+        lambda i: F.get("words", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))),
+    )
+    return at.select("doc_id", F.when(F.col("words").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document and its text without their repetitions."""
+    found = runs.periodic_runs(periodic_tails(_table(spark, folder, "documents")))
+
+    def stronger(best, run):
+        more = run["length"] * best["period"] > best["length"] * run["period"]  # in order of start, then period: ties stay
+        return F.when(best.isNull() | more, run).otherwise(best)
+
+    nothing = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        F.aggregate("runs", nothing, stronger).alias("best"),
+        F.sha2(F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        "runs_sha256", "collapsed_sha256",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_language": op2_language,
@@ -134,4 +207,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_chat": op9_chat,
     "op10_search": op10_search,
+    "op11_toxicity": op11_toxicity,
+    "op12_whitening": op12_whitening,
+    "op13_runs": op13_runs,
 }
