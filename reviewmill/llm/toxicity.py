@@ -31,6 +31,9 @@ MIN_ROWS = 3  # rows of the sample that hold a word of the vocabulary
 WORD_SIZE, GRAM_SIZE, GRAM_BITS, HIDDEN, ATTENTION = 12, 12, 14, 12, 12
 GRAMS = (3, 4, 5)
 EPOCHS, RANDOM_SHARE, LEAST_STEPS, BATCH = 8, 0.25, 200, 128
+#: Shares of the word types of a batch that pass as unknown words, and as words without characters; rate of the vectors
+#: against that of the other parameters.
+HIDE_WORD, HIDE_GRAMS, VECTOR_RATE = 0.3, 0.2, 8
 #: Windows computed at once, words kept by a worker with their inputs to the network, texts' bytes taken at once.
 TOGETHER, KEPT_WORDS, CHUNK_BYTES = 4096, 100_000, 4 << 20
 
@@ -222,8 +225,8 @@ class _Learner:
         types, ids = np.unique(self.ids[which], return_inverse=True)
         ids = ids.reshape(len(which), WINDOW)
         buckets, counts = self._grams_of(types)
-        known = np.where(self.random.random(len(types)) < 0.3, 0, self.known[types])  # some words pass as unknown
-        spelled = (self.random.random(len(types)) > 0.2).astype(np.float32)[:, None]  # and some without characters
+        known = np.where(self.random.random(len(types)) < HIDE_WORD, 0, self.known[types])  # some words pass as unknown
+        spelled = (self.random.random(len(types)) > HIDE_GRAMS).astype(np.float32)[:, None]  # and some without characters
         given = np.hstack([self.p["words"][known], spelled * _gram_sums(self.p["grams"], buckets, counts)])
         sent = given @ self.p["inward"] + self.p["bias"]
         values, kept = _forward(self.p, sent, ids, self.mask[which], keep=True)
@@ -242,9 +245,9 @@ class _Learner:
             square += 0.001 * (g * g - square)
             scale = np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
             self.p[name] -= rate * scale * mean / (np.sqrt(square) + 1e-8)
-        self._adapt("words", known[at], d_given[:, :WORD_SIZE], 8 * rate)
+        self._adapt("words", known[at], d_given[:, :WORD_SIZE], VECTOR_RATE * rate)
         share = spelled * d_given[:, WORD_SIZE:] / np.sqrt(counts, dtype=np.float32)[:, None]
-        self._adapt("grams", buckets, np.repeat(share, counts, axis=0), 8 * rate)
+        self._adapt("grams", buckets, np.repeat(share, counts, axis=0), VECTOR_RATE * rate)
 
     def _adapt(self, name: str, index: np.ndarray, rows: np.ndarray, rate: float) -> None:
         rows_at, total = _sums_by(index, rows)
@@ -289,11 +292,10 @@ def _logistic(values: np.ndarray, truth: np.ndarray, weights: np.ndarray) -> tup
     """Slope and offset of the weighted logistic regression on one value, lightly drawn towards 1 and 0."""
     x = np.stack([values, np.ones_like(values)], axis=1).astype(np.float64)
     b = np.array([1.0, 0.0])
-    for _ in range(50):
+    bound = np.linalg.inv((x * weights[:, None]).T @ x / 4 + 0.5 * np.eye(2))  # of the second derivative: no step overshoots
+    for _ in range(500):
         q = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        gradient = x.T @ (weights * (q - truth)) + 0.5 * (b - [1.0, 0.0])
-        step = np.linalg.solve((x * (weights * q * (1 - q))[:, None]).T @ x + 0.5 * np.eye(2), gradient)
-        b = b - np.clip(step, -2, 2)
+        b = b - bound @ (x.T @ (weights * (q - truth)) + 0.5 * (b - [1.0, 0.0]))
     return max(float(b[0]), 0.05), float(b[1])
 
 

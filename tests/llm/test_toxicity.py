@@ -114,17 +114,18 @@ def test_repeatable_under_any_partitioning(learned):
 
 
 def test_query_on_the_held_out_fold(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"  # some 350 toxic rows to learn from; a tenth of that is too few
     rows = QUERIES["op11_toxicity"](spark, folder)
     assert rows.columns == ["doc_id", "held_out", "score", "predicted"]
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
     told = rows.join(labels, "doc_id").collect()
+    rows.persist()
     assert rows.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
     fold = held_out(folds=TOXIC_FOLDS, fold=TOXIC_HELD_OUT)
     assert rows.where(F.col("held_out") != fold).count() == 0
     clean = [r for r in told if r["held_out"] and not r["toxic"]]
     toxic = [r for r in told if r["held_out"] and r["toxic"]]
-    assert sum(r["predicted"] for r in clean) <= 0.1 * len(clean)
-    assert sum(r["predicted"] for r in toxic) >= 0.5 * len(toxic)
+    assert sum(r["predicted"] for r in clean) <= 0.03 * len(clean)
+    assert sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
     above = np.mean([[t["score"] > c["score"] for c in clean] for t in toxic])
-    assert above >= 0.9
+    assert above >= 0.93
