@@ -147,12 +147,12 @@ def selection(source: str, n_near: int, n_mmr: int, where: str = "true") -> list
     return ctes
 
 
-def silhouette(source: str) -> list[str]:
-    """Mean silhouette over all rows with squared Euclidean distance, from all pairs."""
+def silhouette(source: str, power: int = 1) -> list[str]:
+    """Mean silhouette over all rows, from all pairs; power 2 takes squared Euclidean distances."""
     return [
         f"""means AS (
   SELECT a.review_id, a.cluster_id AS own, b.cluster_id AS other,
-         avg(power(list_distance(a.emb, b.emb), 2)) AS d
+         avg(power(list_distance(a.emb, b.emb), {power})) AS d
   FROM {source} a JOIN {source} b ON a.review_id <> b.review_id
   GROUP BY a.review_id, a.cluster_id, b.cluster_id)""",
         """sides AS (
@@ -539,9 +539,13 @@ FROM (SELECT CASE WHEN count(*) < {TINY} THEN -1 ELSE label END AS cluster_id, c
       FROM embeddings GROUP BY label) GROUP BY cluster_id""",
     "silhouette_exact": with_(
         [VECTORS,
-         *silhouette("vectors")],
+         *silhouette("vectors", 2)],
         "SELECT round(value, 6) AS silhouette FROM silhouette",
     ),
+    "silhouette_euclidean": with_(
+        [VECTORS, *silhouette("vectors")],
+        "SELECT round(value, 6) AS silhouette, 0::DOUBLE AS error_bound FROM silhouette",
+    ),
     "pca_distance": with_(
         [VECTORS, "whole AS (SELECT 0 AS cluster_id, emb FROM vectors)", centroids("whole")],
         "SELECT review_id, round(list_distance(emb, c), 4) AS distance FROM vectors, centroids",

@@ -3,23 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill import constants as C
+from reviewmill.operators import kmeans
 from reviewmill.operators.scale import materialize, pin
+from reviewmill.operators.silhouette import euclidean_silhouette, silhouettes
 from reviewmill.operators.selection import representatives
 
-ROWS_PER_FIT_TASK = 100_000
-FITS_AT_ONCE = 8
+#: References of all clusters together when the silhouettes of several k are compared.
+SEARCH_REFERENCES = 4_096
 
 
 def fit_pca(vectors: DataFrame, dim: int = C.PCA_DIM) -> PCAModel:
@@ -45,68 +42,20 @@ def pca_projection(vectors: DataFrame, dim: int = C.PCA_DIM) -> DataFrame:
     return project(fit_pca(vectors, dim), vectors)
 
 
-def _features(reduced: DataFrame) -> DataFrame:
-    """Dense vectors in an order that depends on the data alone: rows are dealt by a hash of the id
-    to a number of partitions that follows from their number, and sorted there. k-means starts from
-    a sample drawn per partition, so this makes its result repeatable under any input partitioning.
-    """
-    parts = max(8, -(-reduced.count() // ROWS_PER_FIT_TASK))
-    return (
-        reduced.select("review_id", array_to_vector("reduced").alias("features"))
-        .repartition(parts, "review_id")
-        .sortWithinPartitions("review_id")
-    )
-
-
-def _fit_all(
-    features: DataFrame, candidates: list[tuple[int, int]], max_iter: int, parallelism: int
-) -> list[KMeansModel]:
-    """One k-means model for each (k, seed), several fits side by side. Pass cached features."""
-    variance = features.agg(Summarizer.variance(F.col("features"))).first()[0].toArray().mean()
-
-    @inheritable_thread_target(features.sparkSession)
-    def fit(candidate: tuple[int, int]) -> KMeansModel:
-        k, seed = candidate
-        # Stop when all centers together moved less than a 10^-4 part of the data's mean variance.
-        tol = (C.KMEANS_TOLERANCE * max(variance, 1e-12) / k) ** 0.5
-        return KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, predictionCol="cluster_id").fit(features)
-
-    with ThreadPoolExecutor(parallelism) as pool:
-        return list(pool.map(fit, candidates))
-
-
-def _cheapest(models: list[KMeansModel]) -> KMeansModel:
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
-def fit_kmeans(
-    features: DataFrame,
-    k: int,
-    seed: int = C.SEED,
-    restarts: int = C.KMEANS_RESTARTS,
-    max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = FITS_AT_ONCE,
-) -> KMeansModel:
-    """Best of several k-means runs by within-cluster cost. Pass a cached column features."""
-    seeds = [(k, seed + offset) for offset in range(restarts)]
-    return _cheapest(_fit_all(features, seeds, max_iter, parallelism))
-
-
 def kmeans_assign(
     reduced: DataFrame,
     k: int,
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = FITS_AT_ONCE,
 ) -> DataFrame:
     """review_id, cluster_id; clusters are numbered by their smallest review_id."""
-    features = _features(reduced).persist()
+    rows = kmeans.dealt(reduced).persist()
     try:
-        model = fit_kmeans(features, k, seed, restarts, max_iter, parallelism)
-        labelled = materialize(model.transform(features).select("review_id", "cluster_id"))
+        model = kmeans.fit(rows, [k], seed, restarts, max_iter)[0]
+        labelled = materialize(rows.select("review_id", model.label("reduced").alias("cluster_id")))
     finally:
-        features.unpersist()
+        rows.unpersist()
     return labelled.withColumn("cluster_id", _numbering(labelled)[F.col("cluster_id")])
 
 
@@ -124,24 +73,9 @@ def _numbering(labelled: DataFrame, min_size: int = 0) -> Column:
 
 
 def silhouette(labelled: DataFrame, vector: str = "embedding") -> float:
-    """Mean silhouette of all rows of (review_id, cluster_id, vector) with squared Euclidean
-    distance; -1 with fewer than two clusters.
-
-    With squared distances, a cluster's count, sum of vectors and sum of squared lengths give the
-    mean distance to it, so one pass over the rows suffices and no pairs are built. Rows without a
-    vector take no part.
-    """
-    rows = labelled.where(F.col(vector).isNotNull()).select(
-        F.col("cluster_id").cast("double").alias("cluster_id"),
-        array_to_vector(vector).alias("features"),
-    )
-    return _silhouette(rows)
-
-
-def _silhouette(labelled: DataFrame) -> float:
-    if labelled.select("cluster_id").distinct().limit(2).count() < 2:
-        return -1.0
-    return ClusteringEvaluator(predictionCol="cluster_id").evaluate(labelled)
+    """Mean Euclidean silhouette of all rows of (review_id, cluster_id, vector); -1 with fewer than two clusters. Rows
+    without a vector take no part. See euclidean_silhouette for its error on large clusters."""
+    return euclidean_silhouette(labelled, vector).value
 
 
 @dataclass
@@ -158,33 +92,28 @@ def select_k(
     seed: int = C.SEED,
     restarts: int = C.KMEANS_RESTARTS,
     max_iter: int = C.KMEANS_MAX_ITER,
-    parallelism: int = FITS_AT_ONCE,
 ) -> KChoice:
-    """Fit every k on all rows; the highest silhouette over all rows wins, the smaller k on a tie."""
-    features = _features(reduced).persist()
+    """Fit every k; the highest Euclidean silhouette over all rows wins, the smaller k on a tie."""
+    rows = kmeans.dealt(reduced).persist()
     try:
-        return _search(features, k_min, k_max, seed, restarts, max_iter, parallelism)[0]
+        return _search(rows, k_min, k_max, seed, restarts, max_iter)[0]
     finally:
-        features.unpersist()
+        rows.unpersist()
 
 
 def _search(
-    features: DataFrame, k_min: int, k_max: int, seed: int, restarts: int, max_iter: int,
-    parallelism: int = FITS_AT_ONCE,
-) -> tuple[KChoice, KMeansModel]:
-    """The chosen k and its model; with no more rows than k_min, k_min and one run's model."""
-    rows = features.count()
-    if rows <= k_min:
-        return KChoice(k_min, -1.0, {}), fit_kmeans(features, k_min, seed, 1, max_iter)
-    ks = [k for k in range(k_min, k_max + 1) if k <= rows]
-    candidates = [(k, seed + offset) for k in ks for offset in range(restarts)]
-    models = _fit_all(features, candidates, max_iter, parallelism)
-    best = {
-        k: _cheapest([m for (own, _), m in zip(candidates, models) if own == k]) for k in ks
-    }
-    scores = {k: _silhouette(model.transform(features)) for k, model in best.items()}
+    rows: DataFrame, k_min: int, k_max: int, seed: int, restarts: int, max_iter: int
+) -> tuple[KChoice, kmeans.Centers]:
+    """The chosen k and its centers. With no more rows than k_min: k_min, and every row a center of its own."""
+    n = rows.count()
+    if n <= k_min:
+        return KChoice(k_min, -1.0, {}), kmeans.fit(rows, [n], seed, 1, max_iter)[0]
+    ks = [k for k in range(k_min, k_max + 1) if k <= n]
+    fits = kmeans.fit(rows, ks, seed, restarts, max_iter)
+    found = silhouettes(rows, fits, SEARCH_REFERENCES, seed)
+    scores = {k: s.value for k, s in zip(ks, found)}
     chosen = max(scores, key=lambda k: (scores[k], -k))
-    return KChoice(chosen, scores[chosen], scores), best[chosen]
+    return KChoice(chosen, scores[chosen], scores), fits[ks.index(chosen)]
 
 
 def cluster_sizes(assignments: DataFrame) -> DataFrame:
@@ -234,17 +163,15 @@ def cluster_reviews(
     assigned rows, which the later passes read.
     """
     pca = fit_pca(rows, pca_dim)
-    reduced = materialize(project(pca, rows))
-    features = _features(reduced).persist()
+    reduced = kmeans.dealt(materialize(project(pca, rows))).persist()
     try:
-        choice, model = _search(features, k_min, k_max, seed, restarts, max_iter)
-        numbers = _numbering(model.transform(features), min_size)
+        choice, model = _search(reduced, k_min, k_max, seed, restarts, max_iter)
+        numbers = _numbering(reduced.select("review_id", model.label("reduced").alias("cluster_id")), min_size)
     finally:
-        features.unpersist()
-    model.setFeaturesCol("_reduced")
+        reduced.unpersist()
     members = keep(
-        model.transform(pca.transform(_dense(rows)))
-        .withColumn("cluster_id", numbers[F.col("cluster_id")])
+        pca.transform(_dense(rows))
+        .withColumn("cluster_id", numbers[model.label(vector_to_array("_reduced"))])
         .drop("_dense", "_reduced")
     )
     return summarize(members, choice, pca.getK())

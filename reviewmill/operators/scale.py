@@ -5,7 +5,11 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 MAX_CLUSTERS = 4096
@@ -58,6 +62,58 @@ def pin(df: DataFrame) -> DataFrame:
     return materialize(df)
 
 
+# --- sums of arrays over all rows -----------------------------------------------------
+
+
+def arrow_vectors(column: pa.Array) -> np.ndarray:
+    """The vectors of an Arrow list column as the rows of a matrix of doubles."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def sum_over(rows: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray | None:
+    """Sum of `part(batch)`, arrays of one fixed shape, over all rows; None without rows.
+
+    Every task adds up its own batches. Sums of many tasks are added in FAN_IN tasks first, so the driver gets a bounded
+    number of arrays. Partitions are added in their order: the same partitions give the same bits.
+    """
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                value = np.asarray(part(batch), dtype=np.float64)
+                total = value if total is None else total + value
+        if total is not None:
+            yield _as_batch(TaskContext.get().partitionId(), total)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [row for batch in batches for row in batch.to_pylist()]
+        if found:
+            yield _as_batch(min(r["part"] for r in found), _in_order(found))
+
+    schema = "part bigint, shape array<int>, total binary"
+    sums = rows.mapInArrow(own, schema)
+    if rows.rdd.getNumPartitions() > FAN_IN:
+        sums = sums.repartition(FAN_IN, "part").mapInArrow(merged, schema)
+    found = [row.asDict() for row in sums.collect()]
+    return _in_order(found) if found else None
+
+
+def _as_batch(part: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([part], pa.int64()), pa.array([list(total.shape)], pa.list_(pa.int32())),
+         pa.array([total.tobytes()], pa.binary())], names=["part", "shape", "total"])
+
+
+def _in_order(found: list[dict]) -> np.ndarray:
+    total = None
+    for row in sorted(found, key=lambda r: r["part"]):
+        value = np.frombuffer(row["total"]).reshape(row["shape"])
+        total = value if total is None else total + value
+    return total
+
+
 # --- ranking ------------------------------------------------------------------------
 
 

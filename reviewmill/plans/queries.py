@@ -14,6 +14,7 @@ from reviewmill.operators import (
     selection, spam, views,
 )
 from reviewmill.operators.scale import materialize, pin, shared_dir, uniform_sample
+from reviewmill.operators.silhouette import euclidean_silhouette, squared_silhouette
 from reviewmill.plans.standin import Tables
 
 TINY = 50
@@ -236,10 +237,17 @@ def cluster_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def silhouette_exact(spark: SparkSession, folder: str) -> DataFrame:
-    value = clustering.silhouette(Tables(spark, folder).vectors)
+    value = squared_silhouette(Tables(spark, folder).vectors)
     return spark.range(1).select(F.round(F.lit(value), 6).alias("silhouette"))
 
 
+def silhouette_euclidean(spark: SparkSession, folder: str) -> DataFrame:
+    found = euclidean_silhouette(Tables(spark, folder).vectors)
+    return spark.range(1).select(
+        F.round(F.lit(found.value), 6).alias("silhouette"), F.lit(found.error).alias("error_bound")
+    )
+
+
 def uniform_sample_ids(spark: SparkSession, folder: str) -> DataFrame:
     ids = Tables(spark, folder).read("documents").select(F.col("doc_id").alias("review_id"))
     return uniform_sample(ids, 100, C.SEED)
@@ -686,7 +694,7 @@ ALL = [
     cosine_to_prototypes, spam_threshold, spam_flags, spam_stats, spam_candidates, spam_override,
     active_reviews, spam_recall,
     cluster_centroids, nearest_centroid, nearest_per_cluster, mmr_per_cluster, representatives,
-    negative_sample, tiny_cluster_merge, cluster_sizes, silhouette_exact, uniform_sample_ids,
+    negative_sample, tiny_cluster_merge, cluster_sizes, silhouette_exact, silhouette_euclidean, uniform_sample_ids,
     paraphrase_agreement,
     pca_projection, pca_distance, kmeans_assign, kmeans_check, select_k, k_check, clustering_job,
     clustering_check, whole_analysis, replay, embed_text, offline_embedding, embed_usage,

@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from reviewmill.operators import clustering, scale
+from reviewmill.operators import clustering, kmeans, scale, silhouette
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +21,8 @@ def blobs(spark, rng):
         rows, "review_id bigint, truth int, embedding array<float>").repartition(4)
 
 
-def brute_silhouette(x, labels):
-    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
+def brute_silhouette(x, labels, power=1):
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1) ** (power / 2)
     out = []
     for i, own in enumerate(labels):
         same = (labels == own) & (np.arange(len(x)) != i)
@@ -33,30 +35,59 @@ def brute_silhouette(x, labels):
     return float(np.mean(out))
 
 
+def frame_of(spark, x, labels):
+    return spark.createDataFrame(
+        [(i, int(l), [float(v) for v in row]) for i, (l, row) in enumerate(zip(labels, x))],
+        "review_id bigint, cluster_id int, embedding array<double>").repartition(3)
+
+
 def test_silhouette_equals_brute_force(spark, rng):
     x = rng.normal(size=(60, 5))
     labels = np.array([0] * 30 + [1] * 20 + [2] * 9 + [3])
-    df = spark.createDataFrame(
-        [(i, int(l), [float(v) for v in row]) for i, (l, row) in enumerate(zip(labels, x))],
-        "review_id bigint, cluster_id int, embedding array<double>").repartition(3)
+    df = frame_of(spark, x, labels)
     assert clustering.silhouette(df) == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+    assert silhouette.squared_silhouette(df) == pytest.approx(brute_silhouette(x, labels, 2), abs=1e-9)
 
 
 def test_silhouette_of_one_cluster_is_minus_one(members):
     assert clustering.silhouette(members.withColumn("cluster_id", F.lit(1))) == -1.0
+    assert silhouette.squared_silhouette(members.withColumn("cluster_id", F.lit(1))) == -1.0
+    assert clustering.silhouette(members.limit(0)) == -1.0
 
 
 def test_silhouette_covers_every_row(spark, rng):
     x = rng.normal(size=(2500, 3))
     labels = np.arange(2500) % 3
-    df = spark.createDataFrame(
-        [(i, int(l), [float(v) for v in row]) for i, (l, row) in enumerate(zip(labels, x))],
-        "review_id bigint, cluster_id int, embedding array<double>")
+    df = frame_of(spark, x, labels)
     assert clustering.silhouette(df) == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
     missing = spark.createDataFrame([(9000, 1, None)], df.schema)
     assert clustering.silhouette(df.unionByName(missing)) == pytest.approx(clustering.silhouette(df))
 
 
+@pytest.mark.parametrize("shape, allowed", [("blobs", 0.03), ("outliers", (5 / 200) ** 0.5)])
+def test_sampled_references_stay_within_the_stated_error(spark, rng, shape, allowed):
+    labels = rng.choice([0, 0, 0, 1, 2], size=3000)
+    x = rng.normal(size=(3000, 6)) + 1.5 * labels[:, None]
+    if shape == "outliers":  # a few members far away carry most of the distance
+        x[:20] *= 200
+    found = silhouette.euclidean_silhouette(frame_of(spark, x, labels), references=600)
+    assert found.error == pytest.approx((5 / 200) ** 0.5)
+    assert found.value == pytest.approx(brute_silhouette(x, labels), abs=allowed)
+    again = silhouette.euclidean_silhouette(frame_of(spark, x, labels).repartition(7), references=600)
+    assert again.value == pytest.approx(found.value, abs=1e-9)
+
+
+def test_too_many_clusters_for_references(spark):
+    rows = spark.range(1100).selectExpr("id AS review_id", "CAST(id AS INT) AS cluster_id", "array(0D, 1D) AS embedding")
+    with pytest.raises(ValueError):
+        silhouette.euclidean_silhouette(rows)
+
+
+def test_equal_rows_have_silhouette_zero(spark):
+    rows = spark.range(8).selectExpr("id AS review_id", "CAST(id % 2 AS INT) AS cluster_id", "array(1D, 2D) AS embedding")
+    assert silhouette.euclidean_silhouette(rows).value == 0.0
+
+
 def test_pca_keeps_distances_and_caps_the_dimension(blobs):
     reduced = clustering.pca_projection(blobs, 50)
     rows = reduced.orderBy("review_id").toPandas()
@@ -91,13 +122,51 @@ def test_select_k_with_fewer_rows_than_clusters(blobs):
 
 
 def test_best_restart_has_the_lowest_cost(blobs):
-    features = clustering._features(clustering.pca_projection(blobs)).persist()
-    best = clustering.fit_kmeans(features, 7, restarts=4).summary.trainingCost
-    single = [clustering.fit_kmeans(features, 7, seed=42 + i, restarts=1).summary.trainingCost
-              for i in range(4)]
+    rows = kmeans.dealt(clustering.pca_projection(blobs)).persist()
+    best = kmeans.fit(rows, [7], restarts=4)[0].cost
+    single = [kmeans.fit(rows, [7], seed=42 + i, restarts=1)[0].cost for i in range(4)]
     assert best == pytest.approx(min(single))
 
 
+def spark_cost(rows, k, restarts):
+    features = rows.select(array_to_vector("reduced").alias("features")).persist()
+    return min(KMeans(k=k, seed=s, maxIter=300, tol=1e-6).fit(features).summary.trainingCost for s in range(restarts))
+
+
+@pytest.mark.parametrize("size", [kmeans.CORESET_ROWS, 1500])
+def test_cost_is_that_of_full_runs(spark, rng, size):
+    """With the coreset all rows, and with a coreset of a fifth of them."""
+    x = np.concatenate([rng.normal(size=(n, 6)) * s + rng.normal(size=6) * 6
+                        for n, s in ((3000, 1), (2000, 2), (1500, 1), (800, 3), (200, 1))])
+    rows = kmeans.dealt(spark.createDataFrame(
+        [(i, [float(v) for v in row]) for i, row in enumerate(x)], "review_id bigint, reduced array<double>")).persist()
+    sample = kmeans.coreset(rows, size)
+    assert sample.rows == len(x)
+    assert sample.weights.sum() == pytest.approx(len(x), rel=0.1 if size < len(x) else 0)
+    for found in kmeans.fit(rows, [5, 7], restarts=6, size=size):
+        assert found.cost <= 1.01 * spark_cost(rows, found.k, 3)
+        labels, gap = kmeans.nearest_centers(x, found.centers)
+        assert found.cost == pytest.approx(gap.sum())
+        means = np.stack([x[labels == c].mean(axis=0) for c in range(found.k)])
+        assert np.abs(means - found.centers).max() < 0.05  # settled on all rows
+
+
+def test_few_rows_and_equal_rows(spark):
+    same = spark.range(30).selectExpr("id AS review_id", "array(1D, 2D) AS reduced")
+    labels = {r["cluster_id"] for r in clustering.kmeans_assign(same, 3, restarts=2).collect()}
+    assert labels == {0}
+    with pytest.raises(ValueError):
+        kmeans.fit(kmeans.dealt(same.limit(2)), [3])
+    choice = clustering.select_k(same, restarts=1)
+    assert choice.k == 6 and set(choice.scores.values()) == {-1.0}
+
+
+def test_labels_of_missing_vectors_are_missing(spark):
+    model = kmeans.Centers(np.array([[0.0, 0.0], [4.0, 0.0], [4.0, 0.0]]), 0.0)
+    rows = spark.createDataFrame([([1.0, 0.0],), (None,), ([2.0, 5.0],), ([9.0, 0.0],)], "v array<double>")
+    assert [r[0] for r in rows.coalesce(1).select(model.label("v")).collect()] == [0, None, 0, 1]
+
+
 def test_assignment_is_repeatable_and_numbered_by_first_id(spark, rng, blobs):
     x = rng.normal(size=(1500, 8))  # no groups: any change of the start shows
     flat = scale.materialize(spark.createDataFrame(

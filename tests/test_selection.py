@@ -36,22 +36,59 @@ def by_cluster(df):
     return out
 
 
-@pytest.mark.parametrize("max_clusters", [selection.MAX_CLUSTERS, 0])
-def test_representatives_equal_brute_force(members, max_clusters):
-    got = selection.representatives(members, max_clusters=max_clusters)
+@pytest.fixture(params=["all clusters at once", "one cluster at a time"])
+def blocks(request, monkeypatch):
+    if request.param == "one cluster at a time":
+        monkeypatch.setattr(selection, "STATE_BYTES", 1)
+
+
+@pytest.mark.parametrize("pool", [selection.POOL, 7, 1])
+def test_representatives_equal_brute_force(members, pool, blocks):
+    got = selection.representatives(members, pool=pool)
     assert by_cluster(got) == brute_force(members, 5, 5)
     ranks = [r["rank"] for r in got.where("cluster_id = 0").orderBy("rank").collect()]
     assert ranks == list(range(1, 11))
 
 
-@pytest.mark.parametrize("max_clusters", [selection.MAX_CLUSTERS, 0])
-def test_negative_sample_takes_all_of_small_clusters(members, max_clusters):
-    got = by_cluster(selection.negative_sample(members, 12, 4, max_clusters=max_clusters))
+def test_negative_sample_takes_all_of_small_clusters(members, blocks):
+    got = by_cluster(selection.negative_sample(members, 12, 4))
     assert got[0] == brute_force(members, 4, 8)[0]
     assert got[1] == list(range(40, 52))
     assert got[2] == [52, 53, 54]
 
 
+def passes(monkeypatch):
+    made = []
+    ranked = selection._ranked
+    monkeypatch.setattr(selection, "_ranked", lambda *a: made.append(sorted(a[1])) or ranked(*a))
+    return made
+
+
+def test_two_passes_make_all_picks(members, monkeypatch):
+    made = passes(monkeypatch)
+    selection.representatives(members, 20)
+    assert made == [[0, 1, 2], [0, 1]]  # the third cluster has no more than the nearest
+
+
+def test_a_pool_that_does_not_reach_is_read_again(spark, monkeypatch):
+    """Many copies near the centroid fill the pool, but only the first of them is worth a pick."""
+    rng = np.random.default_rng(3)
+    near = [[10.0, 0.1, 0.0, 0.0]] * 60
+    far = [[5.0, *(float(v) for v in rng.normal(size=3) * 4)] for _ in range(12)]
+    df = spark.createDataFrame([(i, i % 1, v) for i, v in enumerate(near + far)],
+                               "review_id bigint, cluster_id int, embedding array<float>").repartition(3)
+    made = passes(monkeypatch)
+    got = by_cluster(selection.mmr_per_cluster(df, df.where(F.lit(False)), 6, pool=4))
+    assert got == brute_force(df, 0, 6)
+    assert 3 < len(made) <= 7
+
+
+@pytest.mark.parametrize("lam", [0.0, 0.3, 1.0])
+def test_any_weight_of_the_centroid(members, lam):
+    got = selection.representatives(members, 8, 3, lam)
+    assert by_cluster(got) == brute_force(members, 3, 5, lam)
+
+
 def test_picks_do_not_depend_on_partitioning(members):
     one = by_cluster(selection.representatives(members.coalesce(1)))
     many = by_cluster(selection.representatives(members.repartition(13)))
