@@ -72,3 +72,14 @@ def test_memory_is_bounded(monkeypatch, library):
     encoder = bpe.Encoder(vocabulary())
     text = "one two three four five six one two three"
     assert encoder.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids and len(encoder.known) <= 3
+
+
+def test_round_trip_gives_what_encode_and_decode_give(spark, hard, nothing):
+    import hashlib
+
+    words = bpe.Vocabulary(public_tokenizers.path("word_bpe_49k.json"))
+    both = bpe.decode(bpe.encode(hard, words), words).collect()
+    want = [(r.key, list(r.ids), hashlib.sha256(r.text.encode()).hexdigest()) for r in both]
+    got = [(r.key, list(r.ids), r.decoded_sha256) for r in bpe.round_trip(hard, words).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert bpe.round_trip(nothing, words).collect() == []

@@ -46,6 +46,14 @@ def test_one_of_each_group_of_near_copies_stays(steps):
     assert len(after) < len(before)
 
 
+def test_unlike_texts_under_one_id_all_stay(spark):
+    one, two = "first text with words of its own here", "second text that says something quite different indeed"
+    rows = [(1, one), (1, two), (2, one), (None, two + " and more and more words"), (3, two)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, one), (1, two), (0, rows[3][1])])
+
+
 def test_repeated_passages_are_cut_once(steps):
     before, after = map(texts, steps["passages"])
     seen, cut = set(), 0
