@@ -12,6 +12,9 @@ from reviewmill.llm.queries import held_out, vocabulary
 from reviewmill.llm.scratch import prepare, stored
 
 
+ROW_NAME = "_name_of_row"
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language. Learns from the labelled rows outside the held-out fold; documents without a
     letter, null ones among them, are rejected. If no row is labelled, every document is undetermined and none is left."""
@@ -22,21 +25,23 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest doc_id, once if its rows repeat. Rows without doc_id
-    stay only where no row of their group has one."""
+    """One document of each group of near copies: the first row of the smallest doc_id, rows of one doc_id in the order of
+    a hash of the whole row. Rows of a doc_id with unlike texts are documents of their own, each judged with its own group.
+    Rows without doc_id stay only where no row of their group has one, one of them for each group.
+
+    Documents are near copies as operator 1 has it: fingerprints at most 4 bits apart, and chains of them.
+    """
     prepare(spark)
-    groups = simhash.near_copies(docs)
-    first = groups.where(F.col("key") == F.col("component")).select(F.col("key").alias("_key")).distinct()
-    named = docs.join(first, docs["doc_id"] == first["_key"], "left_semi").dropDuplicates(["doc_id"])
-    alone = groups.where(F.col("component").isNull()).select(F.col("print").alias("_print")).distinct()
-    nameless = docs.where(F.col("doc_id").isNull())
-    if alone.isEmpty():
-        return named
-    hashed = nameless.withColumn("doc_id", F.xxhash64(*nameless.columns))
-    prints = simhash.fingerprints(hashed.dropDuplicates(["doc_id"])).join(alone, F.col("print") == F.col("_print"), "left_semi")
-    kept = prints.groupBy("print").agg(F.min("key").alias("_key")).select("_key")
-    unnamed = hashed.join(kept, hashed["doc_id"] == kept["_key"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(unnamed.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType)))
+    # a row's own name, in the order in which rows of a group are preferred
+    name = F.struct(
+        F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"),
+        F.xxhash64(*docs.columns).alias("hash"),
+    )
+    named = docs.withColumn(ROW_NAME, name)
+    groups = simhash.near_copies(named, key=ROW_NAME)
+    first = groups.where(F.col("key") == F.col("component")).select(F.col("key").alias("_first")).distinct()
+    kept = named.join(first, F.col(ROW_NAME) == F.col("_first"), "left_semi")
+    return kept.dropDuplicates([ROW_NAME]).drop(ROW_NAME)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +64,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the decoded text of every document."""
     prepare(spark)
-    words = vocabulary()
-    coded = bpe.decode(bpe.encode(docs, words), words)
+    coded = bpe.round_trip(docs, vocabulary())
     return coded.select(
-        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids",
-        F.sha2("text", 256).alias("decoded_sha256"),
+        F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256"
     )
 
 
