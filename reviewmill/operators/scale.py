@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 MAX_CLUSTERS = 4096
 FAN_IN = 64
-QUANTILE_BINS = 4096
+#: Of the quantile sketch: its relative rank error is 1 / SKETCH_ACCURACY; marks that are read from it; values of a bracket
+#: that come to the driver.
+SKETCH_ACCURACY, SKETCH_STEPS, BRACKET_ROWS = 10_000, 1_000, 1_000_000
 
 
 # --- results kept between jobs ------------------------------------------------------
@@ -164,52 +167,106 @@ def uniform_sample(df: DataFrame, size: int, seed: int, key: str = "review_id")
 
 
 def exact_quantile(df: DataFrame, column: str, q: float) -> float | None:
-    """Exact linearly interpolated quantile of a numeric column; None when it holds no value.
+    """Exact linearly interpolated quantile of a numeric column; None when it holds no value. NaN counts as the largest
+    value; NULLs do not count.
 
-    The buffer of the built-in aggregate grows with the data, so the two order statistics are
-    located by repeated histograms instead: every pass brings at most a few thousand bins to the
-    driver, whatever the number of rows.
+    A mergeable sketch gives a bracket around the rank in one pass; a second pass counts the values inside it one by one,
+    and those below it. Both wanted order statistics lie in the same bracket.
     """
     values = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    if n == 0:
+    near = [q - 4 / SKETCH_STEPS, q + 4 / SKETCH_STEPS]
+    found = _order_statistics(values, lambda n: _places(n, q), [m for m in near if 0 <= m <= 1])
+    if not found:
         return None
-    position = (n - 1) * q
-    below, fraction = math.floor(position), position - math.floor(position)
-    first = _order_statistic(values, low, high, below)
-    if fraction == 0.0:
-        return first
-    second = _order_statistic(values, low, high, below + 1)
-    return first + (second - first) * fraction
+    return found[0] if len(found) == 1 else found[0] + (found[1] - found[0]) * (_position(found.n, q) % 1.0)
 
 
 def exact_rank_value(df: DataFrame, column: str, rank: int):
-    """The value of an integer column with the given 0-based rank; None past the end."""
+    """The value of a numeric column with the given 0-based rank; None past the end."""
     values = df.select(F.col(column).alias("v")).where("v IS NOT NULL")
-    n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
-    return None if rank >= n else _order_statistic(values, low, high, rank)
-
-
-def _order_statistic(values: DataFrame, low: float, high: float, rank: int) -> float:
-    """The value with the given 0-based rank among rows whose extremes are low and high."""
-    inside = values
-    while low < high:
-        width = (high - low) / QUANTILE_BINS or high - low
-        bin_of = F.least(F.floor((F.col("v") - low) / width), F.lit(QUANTILE_BINS - 1))
-        bins = (
-            inside.groupBy(bin_of.alias("bin"))
-            .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-            .orderBy("bin")
-            .collect()
-        )
-        for found in bins:
-            if rank < found["n"]:
-                break
-            rank -= found["n"]
-        if rank == 0:
-            return found["low"]
-        if rank == found["n"] - 1:
-            return found["high"]
-        low, high = found["low"], found["high"]
-        inside = values.where(F.col("v").between(low, high))
-    return low
+    found = _order_statistics(values, lambda n: [rank] if rank < n else [])
+    return found[0] if found else None
+
+
+class _Found(list):
+    """Order statistics, with the number of values they come from."""
+
+    n = 0
+
+
+def _position(n: int, q: float) -> float:
+    return (n - 1) * q
+
+
+def _places(n: int, q: float) -> list[int]:
+    if not n:
+        return []
+    below = math.floor(_position(n, q))
+    return [below] if _position(n, q) == below else [below, below + 1]
+
+
+def _order_statistics(values: DataFrame, wanted: Callable[[int], list[int]], near: list[float] | None = None) -> _Found:
+    """The values of column v, none of them NULL, at the 0-based ranks that `wanted` names for their number. near: shares of
+    the rows around these ranks, where they are known before.
+
+    The sketch's ranks are off by at most 1 / SKETCH_ACCURACY of the rows it has seen. A bracket that may hold more than
+    BRACKET_ROWS values is narrowed by another sketch of the values inside, so that the driver gets a bounded number of them:
+    two passes for a hundred million rows, three for some 10^11.
+    """
+    real = ~F.isnan(F.col("v").cast("double"))
+    even = [i / SKETCH_STEPS for i in range(SKETCH_STEPS + 1)]
+    grid = even if near is None else near
+    low = high = None
+    found = _Found()
+    while True:
+        above = F.lit(True) if low is None else F.col("v") >= F.lit(low)
+        inside = (above if high is None else above & (F.col("v") <= F.lit(high))) & real
+        seen = _pass_over(values.agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(real).alias("real"),
+            (F.lit(0) if low is None else F.count_if(real & ~above)).alias("below"), F.count_if(inside).alias("inside"),
+            F.percentile_approx(F.when(inside, F.col("v")), grid or [0.5], SKETCH_ACCURACY).alias("marks"),
+        ))[0]
+        found.n = seen["n"]
+        ranks = wanted(seen["n"])
+        places = [r for r in ranks if r < seen["real"]]
+        if not places:
+            found += [float("nan")] * len(ranks)
+            return found
+        # marks whose true ranks surely lie on either side of all wanted ones
+        off = 2 / SKETCH_ACCURACY + 2 / max(seen["inside"], 1)
+        first = (places[0] - seen["below"]) / max(seen["inside"], 1) - off
+        last = (places[-1] - seen["below"] + 1) / max(seen["inside"], 1) + off
+        below, beyond = bisect_right(grid, first) - 1, bisect_left(grid, last)
+        before = (low, high)
+        share = (grid[beyond] if beyond < len(grid) else 1.0) - (grid[below] if below >= 0 else 0.0)
+        low = _widened(seen["marks"][below], -1) if below >= 0 else low
+        high = _widened(seen["marks"][beyond], 1) if beyond < len(grid) else high
+        few = (share + off) * seen["inside"] <= BRACKET_ROWS
+        grid = even
+        if few or (low is not None and low == high) or before == (low, high):  # ties: no sketch can part equal values
+            break
+    under = F.lit(False) if low is None else F.col("v") < F.lit(low)
+    kept = values.where(real if high is None else real & (F.col("v") <= F.lit(high)))
+    # all values below the bracket are one group; inside it, equal values are one
+    groups = _pass_over(kept.groupBy(F.when(~under, F.col("v")).alias("v")).agg(F.count(F.lit(1)).alias("n")))
+    counts = {row["v"]: row["n"] for row in groups}
+    passed = counts.pop(None, 0)
+    for value in sorted(counts):
+        passed += counts[value]
+        while places and places[0] < passed:
+            found.append(value)
+            places.pop(0)
+    found += [float("nan")] * (len(ranks) - len(found))
+    return found
+
+
+def _pass_over(frame: DataFrame) -> list:
+    """One pass over the values."""
+    return frame.collect()
+
+
+def _widened(mark, side: int):
+    """A whole mark is moved outwards by what the sketch, which computes in doubles, may have rounded."""
+    if isinstance(mark, int) and abs(mark) >= 2**52:
+        return max(-(2**63), min(2**63 - 1, mark + side * (abs(mark) >> 48)))
+    return mark

@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -24,12 +25,14 @@ def test_quantile_of_constants_and_of_nothing(spark):
     assert scale.exact_quantile(same.where("v > 2"), "v", 0.94) is None
 
 
-def test_order_statistics_bring_few_rows_to_the_driver(numbers):
+def test_order_statistics_bring_few_rows_to_the_driver(numbers, monkeypatch):
     values, df = numbers
-    ranked = np.sort(values)
+    ranked, brought = np.sort(values), []
+    plain = scale._pass_over
+    monkeypatch.setattr(scale, "_pass_over", lambda frame: brought.append(plain(frame)) or brought[-1])
     for rank in (0, 1, 2799, 5499):
-        found = scale._order_statistic(df, ranked[0], ranked[-1], rank)
-        assert found == ranked[rank]
+        assert scale.exact_rank_value(df, "v", rank) == ranked[rank]
+    assert max(map(len, brought)) < 20
 
 
 def test_pages_cut_one_order_whatever_their_depth(spark):
@@ -80,3 +83,47 @@ def test_pin_evaluates_once_into_a_written_table(spark):
     pinned = scale.pin(spark.range(50).mapInArrow(count, "id long"))
     assert "FileScan parquet" in plan_of(pinned) and pinned.count() == pinned.count() == 50
     assert seen.value == 50
+
+
+@pytest.mark.parametrize("q", [0.0, 0.06, 0.25, 0.5, 0.94, 0.999, 1.0])
+@pytest.mark.parametrize("case", ["spread", "ties", "few", "missing", "narrow"])
+def test_quantile_in_two_passes(spark, rng, monkeypatch, q, case):
+    made = []
+    plain = scale._pass_over
+    monkeypatch.setattr(scale, "_pass_over", lambda frame: made.append(1) or plain(frame))
+    values = {
+        "spread": rng.normal(size=3000).tolist() + [float("inf"), -1e300],
+        "ties": [0.25] * 2000 + [0.5] * 900 + [0.75],
+        "few": [3.0, 1.0],
+        "missing": [None, *rng.normal(size=500).tolist(), None, None],
+        "narrow": rng.normal(size=3000).tolist(),
+    }[case]
+    if case == "narrow":  # brackets of a few values: sketches follow sketches
+        monkeypatch.setattr(scale, "BRACKET_ROWS", 60)
+        monkeypatch.setattr(scale, "SKETCH_STEPS", 40)
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    known = [v for v in values if v is not None]
+    got = scale.exact_quantile(df, "x", q)
+    want = duckdb.execute(f"SELECT quantile_cont(x, {q}) FROM (SELECT unnest(?::DOUBLE[]) AS x)", [known]).fetchall()[0][0]
+    assert got == pytest.approx(want, rel=1e-15) or (got == want)
+    assert len(made) == 2 or case == "narrow" and 2 < len(made) <= 5
+
+
+def test_not_a_number_is_the_largest(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0,), (2.0,), (nan,), (None,), (nan,)], "x double")
+    assert scale.exact_quantile(df, "x", 0.0) == 1.0
+    assert scale.exact_quantile(df, "x", 1 / 3) == 2.0
+    for q in (0.5, 1.0):
+        assert np.isnan(scale.exact_quantile(df, "x", q))
+    assert scale.exact_quantile(df.limit(0), "x", 0.5) is None
+    assert scale.exact_quantile(df.where("x IS NULL"), "x", 0.5) is None
+
+
+def test_rank_of_large_whole_numbers(spark):
+    base = 2**62
+    ids = [base + 7 * i for i in range(400)] + [-base, 0]
+    df = spark.createDataFrame([(i,) for i in ids], "x bigint").repartition(3)
+    for rank in (0, 1, 2, 250, 401):
+        assert scale.exact_rank_value(df, "x", rank) == sorted(ids)[rank]
+    assert scale.exact_rank_value(df, "x", 402) is None
