@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewmill.functions import text as X
 from reviewmill.operators.embedding import embed_reviews
-from reviewmill.operators.selection import nearest_centroid
+from reviewmill.operators.placement import nearest_centroid
 
 
 def place_reviews(reviews: DataFrame, embed_fn, centroids: DataFrame) -> DataFrame:

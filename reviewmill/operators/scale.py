@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MAX_CLUSTERS = 4096
 FAN_IN = 64
 #: Of the quantile sketch: its relative rank error is 1 / SKETCH_ACCURACY; marks that are read from it; values of a bracket
 #: that come to the driver.

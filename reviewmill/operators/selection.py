@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewmill import constants as C
 from reviewmill.functions import vectors as V
-from reviewmill.operators.scale import FAN_IN, MAX_CLUSTERS, pin, top_n_per_group
+from reviewmill.operators.scale import FAN_IN, pin, top_n_per_group
 
 _BEST = "review_id bigint, cluster_id int, score double, embedding array<float>"
 _PICK = "cluster_id int, review_id bigint, rank int"
@@ -59,43 +59,6 @@ def cluster_centroids(members: DataFrame) -> DataFrame:
     )
 
 
-def nearest_centroid(vectors: DataFrame, centroids: DataFrame, block: int = MAX_CLUSTERS) -> DataFrame:
-    """Adds cluster_id and similarity of the most similar centroid; lowest id wins a tie.
-
-    Centroids are compared in blocks of bounded size, so any number of them is handled exactly.
-    """
-    rows = centroids.select("cluster_id", "centroid").orderBy("cluster_id").toArrow().to_pydict()
-    ids, matrix = rows["cluster_id"], np.array(rows["centroid"], dtype=np.float64)
-    result = vectors.withColumn("_best", F.lit(None).cast("struct<similarity:double,tie:int>"))
-    for start in range(0, len(ids), block):
-        names = F.array(*[F.lit(i).cast("int") for i in ids[start : start + block]])
-        result = (
-            result.withColumn(
-                "_sims", V.cosine_to_all(F.col("embedding"), matrix[start : start + block])
-            )
-            .withColumn("_top", F.array_max("_sims"))
-            .withColumn(
-                "_best",
-                F.greatest(
-                    F.coalesce("_best", F.struct(F.lit(-2.0).alias("similarity"),
-                                                 F.lit(0).alias("tie"))),
-                    F.struct(
-                        F.col("_top").alias("similarity"),
-                        (-F.element_at(
-                            names, F.array_position("_sims", F.col("_top")).cast("int")
-                        )).alias("tie"),
-                    ),
-                ),
-            )
-            .drop("_sims", "_top")
-        )
-    return result.select(
-        *vectors.columns,
-        (-F.col("_best.tie")).alias("cluster_id"),
-        F.col("_best.similarity").alias("similarity"),
-    )
-
-
 # --- what is known about each cluster while picking ----------------------------------
 
 

@@ -11,7 +11,7 @@ from reviewmill.functions import text as X
 from reviewmill.functions import vectors as V
 from reviewmill.operators import (
     cleaning, clustering, embedding, enrichment, evaluation, export, extractive, ledger,
-    selection, spam, views,
+    placement, selection, spam, views,
 )
 from reviewmill.operators.scale import materialize, pin, shared_dir, uniform_sample
 from reviewmill.operators.silhouette import euclidean_silhouette, squared_silhouette
@@ -192,7 +192,7 @@ def cluster_centroids(spark: SparkSession, folder: str) -> DataFrame:
 
 def nearest_centroid(spark: SparkSession, folder: str) -> DataFrame:
     vectors = Tables(spark, folder).vectors
-    placed = selection.nearest_centroid(
+    placed = placement.nearest_centroid(
         vectors.select("review_id", "embedding"), selection.cluster_centroids(vectors)
     )
     return placed.select("review_id", "cluster_id", F.round("similarity", 4).alias("similarity"))

@@ -109,19 +109,6 @@ def test_centroids(members):
         assert np.allclose(got[cid]["centroid"], np.stack(part["embedding"]).mean(axis=0), atol=1e-6)
 
 
-@pytest.mark.parametrize("block", [1, 2, 100])
-def test_nearest_centroid_in_blocks(members, block):
-    centroids = selection.cluster_centroids(members)
-    placed = selection.nearest_centroid(
-        members.select("review_id", "embedding"), centroids, block
-    ).toPandas().sort_values("review_id")
-    c = centroids.toPandas().sort_values("cluster_id")
-    x = np.stack(members.toPandas().sort_values("review_id")["embedding"]).astype(float)
-    expected = np.array([[cosine(v, m) for m in c["centroid"]] for v in x])
-    assert placed["cluster_id"].tolist() == c["cluster_id"].to_numpy()[expected.argmax(1)].tolist()
-    assert np.allclose(placed["similarity"], expected.max(axis=1))
-
-
 def test_no_pairs_are_built(members):
     plan = plan_of(selection.nearest_per_cluster(members, 5))
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
