@@ -73,6 +73,7 @@ TICKET_QUOTES = 3
 TABLE_QUOTE_IDS = 2
 PAGE_SIZE = 50
 EMBED_BATCH = 256
+TICKETS_A_REQUEST = 1000
 
 # --- fixed values: lookup tables --------------------------------------------------
 SEVERITY_PRIORITY = {"critical": "Highest", "major": "High", "minor": "Medium"}

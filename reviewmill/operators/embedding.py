@@ -57,10 +57,11 @@ def embed_reviews(
 
 
 def embedding_usage(embedded: DataFrame, step: str, model: str) -> DataFrame:
-    """Ledger rows (step, model, tokens_in, tokens_out), one per call of embed_fn."""
+    """Ledger rows (step, model, tokens_in, tokens_out), one per call of embed_fn; call is the id of its first review."""
     return embedded.where("opens_call").select(
         F.lit(step).alias("step"), F.lit(model).alias("model"),
         F.col("call_tokens").alias("tokens_in"), F.lit(0).cast("bigint").alias("tokens_out"),
+        F.col("review_id").cast("string").alias("call"),
     )
 
 

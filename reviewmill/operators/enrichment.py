@@ -146,10 +146,12 @@ def call_model(
     )
 
 
-def usage(calls: DataFrame, step: str, model: str) -> DataFrame:
-    """Ledger rows (step, model, tokens_in, tokens_out) of the calls that returned something."""
+def usage(calls: DataFrame, step: str, model: str, key: str | None = None) -> DataFrame:
+    """Ledger rows (step, model, tokens_in, tokens_out) of the calls that returned something; with a key column also call,
+    by which the ledger knows a call it has."""
+    named = [F.col(key).cast("string").alias("call")] if key else []
     return calls.where("tokens_in + tokens_out > 0").select(
-        F.lit(step).alias("step"), F.lit(model).alias("model"), "tokens_in", "tokens_out"
+        F.lit(step).alias("step"), F.lit(model).alias("model"), "tokens_in", "tokens_out", *named
     )
 
 

@@ -199,10 +199,26 @@ def ticket_fields(tickets: DataFrame) -> DataFrame:
     )
 
 
-def ticket_payload(tickets: DataFrame) -> DataFrame:
-    """One row with the whole request as JSON. Issues number a few per cluster."""
-    one = F.array_sort(F.collect_list(F.struct("cluster_id", "issue_no", "fields")))
-    wrapped = F.transform(one, lambda t: F.struct(t.fields.alias("fields")))
-    return ticket_fields(tickets).agg(
-        F.to_json(F.struct(wrapped.alias("issueUpdates"))).alias("payload")
+def ticket_payload(tickets: DataFrame, most: int = C.TICKETS_A_REQUEST) -> DataFrame:
+    """payload, part (from 0): the bulk-create requests as JSON, at most `most` tickets each, by cluster and issue number.
+    Without tickets one empty request.
+
+    A ticket's place is its number in its cluster after all tickets of the clusters before; only the clusters' sizes pass
+    through one task.
+    """
+    numbered = ticket_fields(tickets).withColumn(
+        "_place", F.row_number().over(Window.partitionBy("cluster_id").orderBy("issue_no")) - 1)
+    sizes = numbered.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select(
+        "cluster_id",
+        (F.sum("_n").over(Window.orderBy("cluster_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    part = F.floor((F.col("_place") + F.col("_before")) / most)
+    parts = numbered.join(before, "cluster_id").groupBy(part.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("cluster_id", "issue_no", "fields"))).alias("_tickets"))
+    wrapped = F.transform("_tickets", lambda t: F.struct(t.fields.alias("fields")))
+    first = tickets.sparkSession.range(1).select(F.col("id").alias("part"))
+    return parts.join(first, "part", "full").select(
+        F.when(F.col("_tickets").isNull(), F.lit('{"issueUpdates":[]}'))
+        .otherwise(F.to_json(F.struct(wrapped.alias("issueUpdates")))).alias("payload"),
+        "part",
     )

@@ -95,8 +95,8 @@ def analyze(
 
     def one_call(step: str, model: str, tokens: int) -> DataFrame:
         return spark.createDataFrame(
-            [(step, model, tokens, 0)],
-            "step string, model string, tokens_in bigint, tokens_out bigint",
+            [(step, model, tokens, 0, "all")],
+            "step string, model string, tokens_in bigint, tokens_out bigint, call string",
         )
 
     # 1. clean
@@ -197,7 +197,7 @@ def analyze(
             stage,
             lambda: enrichment.call_model(pin(prompts), outside.client_fn),
             force,
-            lambda calls: pay(enrichment.usage(calls, step, outside.client_model)),
+            lambda calls: pay(enrichment.usage(calls, step, outside.client_model, "cluster_id")),
         )
 
     def topics_table() -> DataFrame:

@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewmill.operators.scale import delete_path, path_exists
 
 FINGERPRINT_CHARS = 12
+#: Files up to this size are hashed whole, larger ones in ranges.
+LEAF_BYTES = 64 << 20
+_PRIMES, _BASES, _CHUNK = (2147483647, 2147483629, 2147483587, 2147483579), (48271, 69621, 39373, 16807), 4096
+_POWERS = np.array([[pow(b, i, p) for b, p in zip(_BASES, _PRIMES)] for i in reversed(range(_CHUNK))], dtype=np.float64)
 
 CLEAN, CLEAN_STATS = "01_clean", "01_clean_stats"
 SCORED, SPAM_STATS = "02_scored", "02_spam_stats"
@@ -28,15 +35,84 @@ ALL_STAGES = [CLEAN, LANGUAGES, REPAIR_EXAMPLES, CLEAN_STATS, SCORED, FLAGS, SPA
 
 
 def file_fingerprint(spark: SparkSession, path: str) -> str:
-    """First characters of the SHA-1 of a file's bytes; of the sorted file digests for a folder."""
-    digests = sorted(
-        r[0] for r in spark.read.format("binaryFile").load(path).select(F.sha1("content")).collect()
-    )
+    """First characters of the SHA-1 of a file's bytes; of the sorted file digests for a folder.
+
+    A file over LEAF_BYTES is read in ranges by many tasks; its digest is that of its length and of hashes of the ranges,
+    which add up to the same whatever the ranges are.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    digests = [r[0] for r in files.where(F.col("length") <= LEAF_BYTES).select(F.sha1("content")).collect()]
+    large = files.where(F.col("length") > LEAF_BYTES).select("path", "length").collect()
+    if large:
+        digests += _range_digests(spark, {r["path"]: r["length"] for r in large})
+    digests.sort()
     if len(digests) == 1:
         return digests[0][:FINGERPRINT_CHARS]
     return hashlib.sha1("".join(digests).encode()).hexdigest()[:FINGERPRINT_CHARS]
 
 
+def _range_digests(spark: SparkSession, sizes: dict[str, int]) -> list[str]:
+    """Digests of large files. The hash of bytes b is the sum of b[i] * base ** (n - 1 - i) modulo a prime, for four bases and
+    primes: that of two ranges in a row is hash(first) * base ** length(second) + hash(second). Spark deals the files out
+    line by line, and a range is what one split holds; only its hashes come to the driver."""
+    lines = spark.read.option("lineSep", "\n").text(list(sizes)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
+    schema = "file string, size bigint, start bigint, length bigint, hashes array<bigint>"
+    ranges: dict[str, list] = {}
+    for row in lines.mapInArrow(_hash_ranges, schema).collect():
+        ranges.setdefault(row["file"], []).append(row)
+    out = []
+    for found in ranges.values():
+        whole = [0] * len(_PRIMES)
+        for row in sorted(found, key=lambda r: r["start"]):
+            whole = [
+                (h * pow(b, row["length"], p) + own) % p for h, own, b, p in zip(whole, row["hashes"], _BASES, _PRIMES)
+            ]
+        # every line counts with a line end; the length tells whether the last one has it
+        out.append(hashlib.sha1(repr((found[0]["size"], whole)).encode()).hexdigest())
+    return out
+
+
+def _hash_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, length, hashes = None, 0, [0] * len(_PRIMES)
+    jump = [pow(b, _CHUNK, p) for b, p in zip(_BASES, _PRIMES)]
+
+    def done() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([now[0]]), pa.array([now[1]], pa.int64()), pa.array([now[2]], pa.int64()),
+             pa.array([length], pa.int64()), pa.array([hashes], pa.list_(pa.int64()))],
+            names=["file", "size", "start", "length", "hashes"])
+
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("file", "size", "start"))))
+        texts = batch.column("line").to_pylist()
+        begin = 0
+        for key, rows in groupby(keys):
+            end = begin + sum(1 for _ in rows)
+            if now is not None and key != now:
+                yield done()
+                length, hashes = 0, [0] * len(_PRIMES)
+            now = key
+            data = b"\n".join(texts[begin:end]) + b"\n"
+            length += len(data)
+            # whole chunks at a time; the first piece is what is over
+            head = len(data) % _CHUNK
+            numbers = np.frombuffer(data, np.uint8).astype(np.float64)
+            for piece, step in ((numbers[:head], None), (numbers[head:], jump)):
+                if not len(piece):
+                    continue
+                size = head if step is None else _CHUNK
+                # sums of products below 2 ** 52 are exact
+                values = (piece.reshape(-1, size) @ _POWERS[_CHUNK - size :]).astype(np.int64).tolist()
+                shift = step or [pow(b, head, p) for b, p in zip(_BASES, _PRIMES)]
+                for row in values:
+                    hashes = [(h * j + v) % p for h, j, v, p in zip(hashes, shift, row, _PRIMES)]
+            begin = end
+    if now is not None:
+        yield done()
+
+
 def table_fingerprint(df: DataFrame, *parameters) -> str:
     """Fingerprint of the rows, in any order and partitioning, and of the parameters."""
     h = F.xxhash64(*[F.col(c) for c in sorted(df.columns)])

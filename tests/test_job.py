@@ -59,6 +59,62 @@ def test_fingerprints(spark, tmp_path):
     assert one != stages.table_fingerprint(df.unionByName(df.limit(1)).unionByName(df.limit(1)), 1)
 
 
+def test_fingerprint_of_large_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stages, "LEAF_BYTES", 1000)
+    chance = np.random.default_rng(4)
+    data = bytearray(chance.integers(0, 256, 300_000, dtype=np.uint8).tobytes().replace(b"\n\n", b"\r\n"))
+    file = tmp_path / "large.csv"
+
+    def of(content, split="64m"):
+        file.write_bytes(bytes(content))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            return stages.file_fingerprint(spark, str(file))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    whole = of(data)
+    assert {of(data, split) for split in ("8k", "50k", "111111")} == {whole}
+    changed = set()
+    for at in (0, 4095, 4096, 150_000, len(data) - 1):
+        other = bytearray(data)
+        other[at] ^= 1
+        changed.add(of(other, "30k"))
+    lines = bytes(data).split(b"\n")
+    changed.add(of(b"\n".join([lines[1], lines[0], *lines[2:]])))
+    changed |= {of(data + b"\n"), of(data[:-1]), of(data + b"\0")}
+    assert len(changed | {whole}) == 10
+    folder = tmp_path / "both"
+    folder.mkdir()
+    (folder / "a").write_bytes(bytes(data))
+    (folder / "b").write_bytes(b"small")
+    both = stages.file_fingerprint(spark, str(folder))
+    (folder / "b").write_bytes(b"smalL")
+    assert len({both, stages.file_fingerprint(spark, str(folder)), whole}) == 3
+
+
+def test_a_repeated_stage_pays_once(spark, tmp_path):
+    """The stage dies between paying and its marker; the same run repeats it, with one call more."""
+    path = str(tmp_path / "ledger")
+    store = stages.StageStore(spark, str(tmp_path), "abc")
+    rows = spark.range(6).select(
+        F.lit("naming").alias("step"), F.lit("m").alias("model"), F.lit(5).cast("bigint").alias("tokens_in"),
+        F.lit(0).cast("bigint").alias("tokens_out"), F.lit(0.5).alias("cost"), F.col("id").cast("string").alias("call"))
+
+    def pay_and_die(table):
+        sinks.append_calls(table, path, "run")
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError):
+        store.stage("calls", lambda: rows.limit(5), check=pay_and_die)
+    assert not store.done("calls") and sinks.read_calls(spark, path).count() == 5
+    store.stage("calls", lambda: rows, check=lambda table: sinks.append_calls(table, path, "run"))
+    paid = sinks.read_calls(spark, path)
+    assert store.done("calls") and paid.count() == paid.select("seq").distinct().count() == 6
+    sinks.append_calls(rows, path, "another run")
+    assert sinks.read_calls(spark, path).count() == 12
+
+
 def test_stage_is_computed_once(spark, tmp_path):
     store = stages.StageStore(spark, str(tmp_path), "abc")
     runs = []

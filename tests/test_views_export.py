@@ -84,6 +84,10 @@ def test_ticket_payload_is_one_request(topics, negatives):
     assert set(payload["issueUpdates"][0]["fields"]) == {
         "project", "issuetype", "summary", "description", "priority", "labels"}
     assert json.loads(export.ticket_payload(tickets.limit(0)).first()[0]) == {"issueUpdates": []}
+    parts = export.ticket_payload(tickets, most=3).orderBy("part").collect()
+    held = [json.loads(p["payload"])["issueUpdates"] for p in parts]
+    assert [p["part"] for p in parts] == [0, 1] and [len(h) for h in held] == [3, 1]
+    assert held[0] + held[1] == payload["issueUpdates"]
 
 
 def test_issue_ranking(negatives):
