@@ -76,7 +76,7 @@ def test_folder_of_files_and_files_without_rows(spark, tmp_path):
 
 @pytest.mark.parametrize("line, outside, inside", [
     ("a,b", False, True), ('"a,b', True, False), ('a"b,c', False, False), ('a,"b"', False, False), ('"a""b', True, False),
-    ('x",y', False, False), ('x","y', False, True), ('"","', True, False), ("", False, True), ('""', False, True),
+    ('x",y', False, False), ('x","y', True, True), ('"","', True, False), ("", False, True), ('""', False, True),
     ('"a"b,"c', True, True), (',,"', True, False),
 ])
 def test_what_a_line_does(line, outside, inside):
