@@ -672,6 +672,10 @@ WHERE cluster_id IN (1, 2, 3, 4, 5) AND lang IN ('en', 'fr') AND recommended
 FROM reviews r LEFT JOIN vectors v ON v.review_id = r.review_id
 ORDER BY r.review_id LIMIT 50 OFFSET 100""",
     ),
+    "stored_page": with_(
+        [REVIEWS], "SELECT review_id, lang, playtime_hours, text FROM reviews ORDER BY review_id LIMIT 50 OFFSET 100"
+    ),
+    "text_search": "SELECT doc_id AS review_id, lang FROM documents WHERE contains(lower(text), 'then ')",
     "explorer_facets": with_(
         [REVIEWS, VECTORS],
         """SELECT 'cluster' AS facet, CAST(coalesce(cluster_id, -1) AS VARCHAR) AS value, count(*) AS reviews

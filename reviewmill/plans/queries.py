@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +18,7 @@ from reviewmill.operators import (
 from reviewmill.operators.scale import materialize, pin, shared_dir, uniform_sample
 from reviewmill.operators.silhouette import euclidean_silhouette, squared_silhouette
 from reviewmill.plans.standin import Tables
+from reviewmill.sources import paged, text_index
 
 TINY = 50
 
@@ -562,12 +565,26 @@ def explorer_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 def explorer_page(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
-    rows = views.attach_cluster(tables.texts, tables.vectors, C.OTHER_CLUSTER_ID)
-    return views.page(
-        rows.select("review_id", "lang", "playtime_hours", "cluster_id", "text"), 3
+    rows = views.page(tables.texts.select("review_id", "lang", "playtime_hours", "text"), 3)
+    return views.attach_cluster(rows, tables.vectors, C.OTHER_CLUSTER_ID).select(
+        "review_id", "lang", "playtime_hours", "cluster_id", "text"
     )
 
 
+def stored_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The third page of all reviews, from a table stored in the order of pages."""
+    path = f"{shared_dir(spark)}/reviewmill-pages-{uuid.uuid4().hex}"
+    paged.write_pages(Tables(spark, folder).texts.select("review_id", "lang", "playtime_hours", "text"), path)
+    return paged.read_page(spark, path, 3)
+
+
+def text_search(spark: SparkSession, folder: str) -> DataFrame:
+    """All reviews that hold a string in any letter case, through the index of their files."""
+    table, index = f"{folder}/documents.parquet", f"{shared_dir(spark)}/reviewmill-index-{uuid.uuid4().hex}"
+    text_index.write_text_index(spark, table, index)
+    return text_index.search_text(spark, table, index, "Then ").select(F.col("doc_id").alias("review_id"), "lang")
+
+
 def explorer_facets(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return views.explorer_facets(
@@ -700,7 +717,7 @@ ALL = [
     clustering_check, whole_analysis, replay, embed_text, offline_embedding, embed_usage,
     topic_prompt, issue_prompt, response_parse, issue_parse, quote_resolution, cluster_sentiment,
     cluster_keywords, negative_issues, negative_ratio,
-    explorer_filter, explorer_page, explorer_facets, page_count, topic_ranking, issue_ranking, total_issues,
+    explorer_filter, explorer_page, stored_page, text_search, explorer_facets, page_count, topic_ranking, issue_ranking, total_issues,
     issue_table, ticket_rows, topic_sections, kpi_summary, report_sections,
     call_cost, cost_by_step, total_cost,
 ]
