@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 ROWS = 256
 #: Elements that do not end a text block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr br".split())
-#: Elements whose content is not text of the page.
-HIDDEN = ("script", "style", "noscript", "template", "title", "textarea", "svg", "math", "iframe", "object", "select", "button",
-          "canvas", "audio", "video")
+                   "span strike strong sub sup time tt u var wbr br math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup "
+                   "msubsup munder mover munderover mspace mstyle".split())
+#: Elements whose content is not text of the page. Those of the first kind hold no markup: without an end tag they go on to
+#: the page's end. The others end at their end tag; one without it, or closed in its own tag, holds nothing.
+RAW = ("script", "style", "noscript", "title", "textarea", "iframe")
+HIDDEN = frozenset(("template", "svg", "object", "select", "button", "canvas", "audio", "video"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that open a part of a page, and words in class, id and role that tell what a part is.
 CHROME = frozenset("nav footer aside form header dialog menu".split())
@@ -37,10 +40,11 @@ MAIN_WORDS = frozenset("article articlebody article-body article-content article
 #: Words that tell how a page is laid out, not what a part is.
 LAYOUT = ("has-", "with-", "no-", "without-", "is-")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(HIDDEN) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
-    r"(?:.*?</(?P=raw)\s*>|.*)|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>"
+    r"(?:.*?</(?P=raw)(?=[\s/>])[^>]*>|.*)|<(?P<close>/?)(?P<tag>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|[^>]*>)"
     r"|<[!?/][^>]*>", re.I | re.S,
 )
+_END = re.compile(r"</(" + "|".join(sorted(HIDDEN)) + r")(?=[\s/>])[^>]*>", re.I)
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _UNSEEN = re.compile(r"(?i)\s(?:aria-)?hidden(?:\s*=\s*[\"']?(?:true|hidden|)[\"']?)?(?=[\s/>])|display\s*:\s*none")
@@ -183,8 +187,8 @@ class Block:
     heading: bool
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order. Broken markup is read as far as it goes: an end tag closes the elements within
+def blocks(page: str, hints: bool = True) -> list[Block]:
+    """The text blocks of a page in order; without hints, class, id and role tell nothing about a part. Broken markup is read as far as it goes: an end tag closes the elements within
     its own, one without a start is skipped, and a new article or main part ends an open menu or footer."""
     out: list[Block] = []
     stack: list[tuple[str, int, bool]] = []  # element, part, whether nothing inside changes the part
@@ -208,7 +212,11 @@ def blocks(page: str) -> list[Block]:
         if links:
             link_parts.append(text)
 
-    for found in _TOKEN.finditer(page):
+    ends: dict[str, list[tuple[int, int]]] = {}  # of hidden elements, by where their end tags begin
+    for found in _END.finditer(page):
+        ends.setdefault(found[1].lower(), []).append(found.span())
+
+    while found := _TOKEN.search(page, at):
         if found.start() > at:
             add(page[at: found.start()])
         at = found.end()
@@ -218,6 +226,12 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             continue
         tag = tag.lower()
+        if tag in HIDDEN:
+            parts.append(" ")
+            own = ends.get(tag, ())
+            if not found["close"] and not found["rest"].endswith("/>") and (i := bisect_left(own, (at, 0))) < len(own):
+                at = own[i][1]
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")
@@ -240,22 +254,22 @@ def blocks(page: str) -> list[Block]:
             if tag in MAIN:
                 while any(s[0] in ("nav", "footer", "menu") for s in stack):
                     stack.pop()
-            stack.append((tag, *_part(tag, found["rest"], stack[-1] if stack else ("", 0, False))))
+            stack.append((tag, *_part(tag, found["rest"], stack[-1] if stack else ("", 0, False), hints)))
     if at < len(page):
         add(page[at:])
     end_block()
     return out
 
 
-def _part(tag: str, rest: str, outer: tuple[str, int, bool]) -> tuple[int, bool]:
+def _part(tag: str, rest: str, outer: tuple[str, int, bool], hints: bool) -> tuple[int, bool]:
     """The part that an element opens within `outer`, and whether it holds for all that lies inside."""
     _, part, fixed = outer
     if fixed or tag in ("html", "body"):
         return part, fixed
     whole: set[str] = set()
-    if "=" in rest:
-        hints = (m[1] or m[2] or m[3] or "" for m in _HINT.finditer(rest))
-        whole = {w for h in hints for w in _PIECES.findall(_HUMP.sub("-", h).lower()) if not w.startswith(LAYOUT)}
+    if hints and "=" in rest:
+        names = (m[1] or m[2] or m[3] or "" for m in _HINT.finditer(rest))
+        whole = {w for h in names for w in _PIECES.findall(_HUMP.sub("-", h).lower()) if not w.startswith(LAYOUT)}
     pieces = {p for w in whole for p in w.split("-")}
     if pieces & REMARK_WORDS or tag in ("nav", "footer", "aside") or _UNSEEN.search(rest):
         return -1, True
@@ -310,8 +324,14 @@ def is_main(tree, row: np.ndarray) -> bool:
 
 
 def main_text(page: str, tree) -> str:
-    own = blocks(page)
-    return " ".join(b.text for b, row in zip(own, features(own), strict=True) if is_main(tree, row))
+    """The main text of a page. Names may mislead (an article in class "related-work"): where they leave nothing, the page is
+    read once more without them."""
+    for hints in (True, False):
+        own = blocks(page, hints)
+        kept = [b.text for b, row in zip(own, features(own), strict=True) if is_main(tree, row)]
+        if kept:
+            return " ".join(kept)
+    return ""
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", tree=None) -> DataFrame:

@@ -66,3 +66,44 @@ def test_hard_rows(spark, nothing):
     assert [r.text for r in got if r.url is None] == [""]
     empty = nothing.select(F.col("doc_id").alias("page_id"), F.col("key").alias("url"), F.col("text").alias("html"))
     assert pagetext.extract(empty).count() == 0
+
+
+LONG = "A paragraph of the text that has quite a few words in it, more than twelve of them for certain."
+
+
+def test_hidden_elements_without_an_end_take_nothing_with_them():
+    for inside in ("<svg/>", "<svg viewBox='0 0 1 1'/>", "<math/>", "<button>", "<select>", "<button-group></button-group>",
+                   "<video-player src=x>", "<object data=x>", "<template/>", "<svg>", "<audio src=x>", "</button>", "<canvas/>"):
+        page = f"<article><p>{LONG}{inside}<p>Another one. {LONG}</article>"
+        assert pagetext.main_text(page, TREE) == f"{LONG} Another one. {LONG}", inside
+    assert pagetext.main_text(f"<nav><svg/></nav><article><p>{LONG}</p></article>", TREE) == LONG
+
+
+def test_hidden_elements_end_at_their_end_tag():
+    for inside in ("<svg><text>drawn</text></svg>", "<button>Share</button>", "<select><option>one<option>two</select >",
+                   "<SCRIPT>var a = '<p>';</SCRIPT>", "<style>p {}</style>", "<video><p>No video here</p></video>",
+                   "<button>one</button><button>two</button>"):
+        page = f"<article><p>{LONG}</p>{inside}<p>Another one. {LONG}</article>"
+        assert pagetext.main_text(page, TREE) == f"{LONG} Another one. {LONG}", inside
+    # what holds no markup goes on to the end without its end tag
+    assert pagetext.main_text(f"<article><p>{LONG}</p><script>if (a < b) <p>{LONG}</p>", TREE) == LONG
+
+
+def test_formulas_are_text_of_the_article():
+    page = f"<article><p>{LONG} Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be given.</p></article>"
+    assert pagetext.main_text(page, TREE) == f"{LONG} Let x=1 be given."
+
+
+def test_many_open_hidden_elements_take_no_square_time():
+    import time
+
+    page = f"<article><p>{LONG}</p>" + "<button>" * 20_000 + "<svg>" * 20_000 + f"<p>{LONG}</article>"
+    start = time.process_time()
+    assert pagetext.main_text(page, TREE) == f"{LONG} {LONG}"
+    assert time.process_time() - start < 5
+
+
+def test_names_that_mislead_do_not_empty_a_page():
+    for name in ("related-work", "share-price", "social-science", "alert-fatigue", "story-footer", "popup-store", "notice", "search"):
+        page = f'<nav><a href=/>Home</a></nav><div class="{name}"><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><footer>foot</footer>'
+        assert pagetext.main_text(page, TREE) == f"Title {LONG} {LONG}", name
