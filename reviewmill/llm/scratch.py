@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
@@ -43,6 +44,25 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Schemes that Hadoop has under another name than Arrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+DBFS_MOUNT = "/dbfs"
+
+
+def located(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a file that Spark names, and the path in it, for files that workers read or write themselves.
+
+    Buckets, HDFS and local folders are found; a scheme that Hadoop knows by another name is translated, and DBFS is read
+    where every worker mounts it. Credentials are those that the workers' environment has.
+    """
+    scheme, mark, rest = uri.partition(":")
+    if not mark or len(scheme) == 1:
+        return fs.FileSystem.from_uri(uri)
+    if scheme == "dbfs":
+        return fs.LocalFileSystem(), f"{DBFS_MOUNT}/{rest.lstrip('/')}"
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The rows of `frame`, written once and read again: lineage ends here and survives lost executors."""
     path = new_path(frame.sparkSession, name)

@@ -13,7 +13,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewmill.llm.scratch import new_path, stored
+from reviewmill.llm.scratch import located, new_path, stored
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
@@ -96,7 +96,7 @@ class _Archive:
 
 
 def _store(uri: str) -> tuple[fs.FileSystem, str]:
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = located(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
     return store, path
 
@@ -134,7 +134,7 @@ def normalise(archives: DataFrame, folder: str, archive: str = "archive") -> Dat
         for batch in batches:
             for source in batch.column(0).to_pylist():
                 target = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                store, path = fs.FileSystem.from_uri(source)
+                store, path = located(source)
                 out_store, out_path = _store(target)
                 offsets, lengths, at = [], [], 0
                 with store.open_input_stream(path, compression=None) as file, out_store.open_output_stream(
@@ -224,7 +224,7 @@ def read_back(index: DataFrame) -> DataFrame:
             rows = []
             for archive, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if archive != name:
-                    store, path = fs.FileSystem.from_uri(archive)
+                    store, path = located(archive)
                     name, file = archive, store.open_input_file(path)
                 file.seek(offset)
                 rows.append(parsed(zlib.decompress(file.read(length), _GZIP)))
