@@ -672,6 +672,23 @@ WHERE cluster_id IN (1, 2, 3, 4, 5) AND lang IN ('en', 'fr') AND recommended
 FROM reviews r LEFT JOIN vectors v ON v.review_id = r.review_id
 ORDER BY r.review_id LIMIT 50 OFFSET 100""",
     ),
+    "key_phrases": with_(
+        [f"texts AS (SELECT regexp_extract_all(lower(text), {TERM}) AS w FROM documents)",
+         """pairs AS (SELECT a AS first, b AS second, count(*) AS n FROM (
+  SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM texts WHERE len(w) > 1) GROUP BY a, b)""",
+         f"stop AS (SELECT unnest([{', '.join(map(q, stop_words()))}]) AS word)",
+         """counted AS (
+  SELECT first, second, n, CAST(n AS DOUBLE) AS k, CAST(sum(n) OVER (PARTITION BY first) AS DOUBLE) AS r,
+         CAST(sum(n) OVER (PARTITION BY second) AS DOUBLE) AS c, CAST(sum(n) OVER () AS DOUBLE) AS t FROM pairs)""",
+         """rated AS (
+  SELECT first, second, n, 2 * (k * ln(k * t / (r * c))
+    + CASE WHEN r > k THEN (r - k) * ln((r - k) * t / (r * (t - c))) ELSE 0 END
+    + CASE WHEN c > k THEN (c - k) * ln((c - k) * t / ((t - r) * c)) ELSE 0 END
+    + CASE WHEN t - r - c + k > 0 THEN (t - r - c + k) * ln((t - r - c + k) * t / ((t - r) * (t - c))) ELSE 0 END) AS g
+  FROM counted WHERE n >= 5 AND k * t > r * c
+    AND first NOT IN (SELECT word FROM stop) AND second NOT IN (SELECT word FROM stop))"""],
+        "SELECT first, second, n, round(g, 3) AS ratio FROM rated WHERE g >= 10.83",
+    ),
     "stored_page": with_(
         [REVIEWS], "SELECT review_id, lang, playtime_hours, text FROM reviews ORDER BY review_id LIMIT 50 OFFSET 100"
     ),

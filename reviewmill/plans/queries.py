@@ -13,7 +13,7 @@ from reviewmill.functions import text as X
 from reviewmill.functions import vectors as V
 from reviewmill.operators import (
     cleaning, clustering, embedding, enrichment, evaluation, export, extractive, ledger,
-    placement, selection, spam, views,
+    phrases, placement, selection, spam, views,
 )
 from reviewmill.operators.scale import materialize, pin, shared_dir, uniform_sample
 from reviewmill.operators.silhouette import euclidean_silhouette, squared_silhouette
@@ -585,6 +585,12 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     return text_index.search_text(spark, table, index, "Then ").select(F.col("doc_id").alias("review_id"), "lang")
 
 
+def key_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of words that stand together more often than by chance, in all texts."""
+    found = phrases.phrases(Tables(spark, folder).texts, extractive.default_stop_words())
+    return found.withColumn("ratio", F.round("ratio", 3))
+
+
 def explorer_facets(spark: SparkSession, folder: str) -> DataFrame:
     tables = Tables(spark, folder)
     return views.explorer_facets(
@@ -717,7 +723,7 @@ ALL = [
     clustering_check, whole_analysis, replay, embed_text, offline_embedding, embed_usage,
     topic_prompt, issue_prompt, response_parse, issue_parse, quote_resolution, cluster_sentiment,
     cluster_keywords, negative_issues, negative_ratio,
-    explorer_filter, explorer_page, stored_page, text_search, explorer_facets, page_count, topic_ranking, issue_ranking, total_issues,
+    explorer_filter, explorer_page, stored_page, text_search, key_phrases, explorer_facets, page_count, topic_ranking, issue_ranking, total_issues,
     issue_table, ticket_rows, topic_sections, kpi_summary, report_sections,
     call_cost, cost_by_step, total_cost,
 ]
