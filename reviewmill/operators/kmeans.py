@@ -54,6 +54,13 @@ def nearest_centers(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.
     return labels, np.maximum(squares[np.arange(len(x)), labels], 0.0)
 
 
+def sums_by_label(x: np.ndarray, labels: np.ndarray, k: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Weighted sums of the rows of each label, as a matrix product."""
+    member = np.zeros((len(x), k))
+    member[np.arange(len(x)), labels] = 1.0 if weights is None else weights
+    return member.T @ x
+
+
 def dealt(reduced: DataFrame) -> DataFrame:
     """review_id, reduced in an order that depends on the data alone: rows are dealt by a hash of the id to a number of
     partitions that follows from their number, and sorted there. Sums over them are repeatable under any input
@@ -148,8 +155,7 @@ def weighted_kmeans(
     for _ in range(max_iter):
         labels, gap = nearest_centers(points, centers)
         size = np.bincount(labels, weights, k)
-        sums = np.zeros_like(centers)
-        np.add.at(sums, labels, points * weights[:, None])
+        sums = sums_by_label(points, labels, k, weights)
         moved = np.where(size[:, None] > 0, sums / np.maximum(size, 1e-300)[:, None], centers)
         for empty in np.flatnonzero(size == 0):  # goes to the point that costs most
             worst = int(np.argmax(weights * gap))
@@ -201,7 +207,7 @@ def refine(rows: DataFrame, starts: list[np.ndarray], max_iter: int, tolerance:
             for own in current:
                 labels, gap = nearest_centers(x, own)
                 total = np.zeros((len(own), x.shape[1] + 2))
-                np.add.at(total[:, :-2], labels, x)
+                total[:, :-2] = sums_by_label(x, labels, len(own))
                 total[:, -2], total[:, -1] = np.bincount(labels, minlength=len(own)), np.bincount(labels, gap, len(own))
                 out.append(total)
             return np.concatenate(out)

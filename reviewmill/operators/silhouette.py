@@ -117,7 +117,10 @@ def _groups(rows: DataFrame, labels, counts: list[int]) -> list[_Groups]:
         out = []
         for own, count in zip(labels(batch, x), counts):
             total = np.zeros((count, x.shape[1] + 1))
-            np.add.at(total[:, :-1], own, x)
+            order = np.argsort(own, kind="stable")  # clusters may be many, so no row a cluster for each row
+            first = np.flatnonzero(np.diff(own[order], prepend=-1))
+            if len(first):
+                total[own[order][first], :-1] = np.add.reduceat(x[order], first, axis=0)
             total[:, -1] = np.bincount(own, minlength=count)
             out.append(total)
         return np.concatenate(out)
