@@ -153,7 +153,8 @@ class Encoder:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array<int>) of every whole text; null and empty texts have no ids. Repeated rows are encoded each.
+    """(key, ids array<int>) of every whole text, however long; null and empty texts have no ids. Repeated rows are encoded
+    each, and an empty table gives no rows.
 
     The vocabulary, of fixed size, goes to every task; words once encoded are remembered up to a bound.
     """

@@ -82,7 +82,8 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """(tree, leaf, branch, turns, formatted, loss): each chosen path as one conversation.
 
     Every turn is START role newline text END newline, with role and text escaped and newlines of the role preceded by a
-    backslash; null role and text are empty. `loss` has (start, length) in code points of each assistant text.
+    backslash; null role and text are empty. `loss` has (start, length) in code points of each assistant text. Texts are
+    taken whole, however long; without paths there are no rows.
     """
     same = F.col("c.tree").eqNullSafe(F.col("p.tree")) & (F.col("c.id") == F.col("p.id"))
     turns = paths.alias("c").join(messages.select("tree", "id", "role", "text").alias("p"), same).select(
@@ -124,7 +125,8 @@ def loss_text(formatted: Column, loss: Column) -> Column:
 
 
 def as_trees(conversations: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """Linear conversations as reply trees: each row answers the one before it by turn, role and text, nulls first."""
+    """Linear conversations as reply trees: each row answers the one before it by turn, role and text, nulls first.
+    Repeated rows are messages each; an empty table gives no messages."""
     place = F.row_number().over(Window.partitionBy(key).orderBy(turn, "role", "text"))
     rows = conversations.select(F.col(key).alias("tree"), place.cast("long").alias("id"), "role", "text")
     parent = F.when(F.col("id") > 1, F.col("id") - 1)
