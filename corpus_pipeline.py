@@ -56,7 +56,8 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the words that the mix takes of them, repeats included; one row a document, none if nothing is taken."""
+    """Documents with the words that the mix takes of them, repeats included; one row a document. A document of
+    which nothing is taken goes: one without words, and one that the draws of its source leave out."""
     prepare(spark)
     return _counted(mixing.mixed_texts(docs, mixing.mix(docs)))
 
