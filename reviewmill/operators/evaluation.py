@@ -29,6 +29,23 @@ def paraphrase_agreement(probes: DataFrame, centroids: DataFrame) -> DataFrame:
     )
 
 
+def variants(reviews: DataFrame, phrases: list[str]) -> DataFrame:
+    """probe_group, variant, text: four ways to say what each review says. As it stands; with its encoding damaged and
+    repaired; with one of the phrases behind it, by id; with its words in reverse order, each as often as before."""
+    phrase = F.element_at(
+        F.array(*[F.lit(p) for p in phrases]), (F.pmod("review_id", F.lit(len(phrases))) + 1).cast("int"))
+    damaged = X.corrupt(X.as_text(F.col("text")))
+    again = X.redecoded(damaged)
+    said = [
+        ("plain", F.col("text")),
+        ("repaired", F.when(X.is_better(again, damaged), again).otherwise(damaged)),
+        ("longer", F.concat_ws(" ", X.as_text(F.col("text")), phrase)),
+        ("reversed", F.array_join(F.reverse(F.split(X.as_text(F.col("text")), r"\s+")), " ")),
+    ]
+    told = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), t.alias("text")) for n, t in said])).alias("v")
+    return reviews.select(F.col("review_id").alias("probe_group"), told).select("probe_group", "v.variant", "v.text")
+
+
 def append_rows(rows: DataFrame, injected: DataFrame) -> DataFrame:
     return rows.unionByName(injected)
 

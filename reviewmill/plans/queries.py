@@ -263,6 +263,17 @@ def paraphrase_agreement(spark: SparkSession, folder: str) -> DataFrame:
     return evaluation.paraphrase_agreement(probes, selection.cluster_centroids(vectors))
 
 
+def variant_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Four variants of every text: do their offline vectors lie nearest to the same cluster? Clusters are the given ones."""
+    tables = Tables(spark, folder)
+    texts = tables.texts.select("review_id", "text")
+    model = embedding.fit_offline_embedder(texts)
+    known = embedding.embed_offline(model, texts).drop("text").join(
+        tables.vectors.select("review_id", "cluster_id"), "review_id")
+    probes = embedding.embed_offline(model, evaluation.variants(texts, SPAM_PHRASES))
+    return evaluation.paraphrase_agreement(probes, pin(selection.cluster_centroids(known)))
+
+
 # --- clustering (no SQL counterpart) -----------------------------------------------------
 
 
@@ -719,7 +730,7 @@ ALL = [
     cluster_centroids, nearest_centroid, nearest_per_cluster, mmr_per_cluster, representatives,
     negative_sample, tiny_cluster_merge, cluster_sizes, silhouette_exact, silhouette_euclidean, uniform_sample_ids,
     paraphrase_agreement,
-    pca_projection, pca_distance, kmeans_assign, kmeans_check, select_k, k_check, clustering_job,
+    variant_agreement, pca_projection, pca_distance, kmeans_assign, kmeans_check, select_k, k_check, clustering_job,
     clustering_check, whole_analysis, replay, embed_text, offline_embedding, embed_usage,
     topic_prompt, issue_prompt, response_parse, issue_parse, quote_resolution, cluster_sentiment,
     cluster_keywords, negative_issues, negative_ratio,

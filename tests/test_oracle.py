@@ -6,7 +6,8 @@ from checks.compare import differences, duck
 from checks.oracle import ORACLE
 from reviewmill.plans.queries import QUERIES
 
-ROWS_ONLY = {"pca_projection", "kmeans_assign", "select_k", "clustering_job", "whole_analysis", "replay"}
+ROWS_ONLY = {"pca_projection", "kmeans_assign", "select_k", "clustering_job", "whole_analysis", "replay",
+             "variant_agreement"}  # hashed words: see test_variants.py
 
 
 @pytest.fixture(scope="module")
