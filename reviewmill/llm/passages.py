@@ -30,10 +30,14 @@ _REACH = (1 << 16) - 1
 #: Passages are aligned if their offsets fall into one band of this many shingles.
 _BAND_BITS = 6
 _NEED_BLOCK = 4096
-#: Windows of a signature that are linked all with all; the passages of larger groups are split by their words.
+#: Windows of a signature that are linked all with all; the passages of larger groups are compared by their words.
 GROUP = 16
 #: In place of a hash function: the words of a whole passage are the same.
 _WHOLE = (1 << _FUNCTION_BITS) - 1
+#: Of a passage's blank: the part of it that is looked at in the next step; signs for passages of either length, the shorter ones
+#: beginning where the others do or one word after.
+_NARROWED, _EITHER, _AFTER = 5, 2, 3
+_BASE = 0x9E3779B97F4A7C15
 #: A matching shingle this far from the others' offset belongs to another passage.
 _STRAY = 32
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,7 +176,7 @@ class _Linked:
 
     In a group of up to `most` windows all pairs of different documents are linked. In a larger one each window is linked
     with the first document and with the one before its own, n-th window with n-th, or last; it is a hot group, and its
-    windows under the first functions are told as rows without `of`, for `whole_passages` to split. Of an unfinished signature the next
+    windows under the first `told` functions are told as rows without `of`, for `whole_passages` to split. Of an unfinished signature the next
     batch is given all windows up to `most`, then the windows of its first and its last two documents.
     """
 
@@ -235,47 +239,119 @@ class _Linked:
             )
 
 
+_LINKS = "doc long, of long, place long, shift long"
+_FIRSTS = f"{_LINKS}, right long"
+_BLANKS = "signature long, doc long, begin long, blank long"
+_FIRSTS_NAMES, _BLANK_NAMES = ([c.split()[0] for c in kind.split(", ")] for kind in (_FIRSTS, _BLANKS))
+
+
+class _Stretches:
+    """Hashes of any stretch of the words of a text: sums over powers of an odd number, brought to where the stretch begins."""
+
+    _powers = _inverse = np.ones(1, np.uint64)
+
+    def __init__(self, words: np.ndarray):
+        if len(self._powers) <= len(words):
+            n = max(len(words) + 1, 1 << 12, 2 * len(self._powers))
+            _Stretches._powers, _Stretches._inverse = (
+                np.cumprod(np.array([1] + [base] * (n - 1), np.uint64)) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * self._powers[: len(words)])))
+
+    def __call__(self, begin: np.ndarray, size: int) -> np.ndarray:
+        return (self.sums[begin + size] - self.sums[begin]) * self._inverse[begin]
+
+    def blanked(self, begin: np.ndarray, words: int, low: int, high: int, less: int) -> np.ndarray:
+        """Of passages of `words` words without those from `low` to `high`; less: of passages that are shorter by this inside."""
+        total = self(begin, low) + self(begin + (high - less), words - high) * self._powers[high]
+        total = (total ^ np.uint64(low * _BASE & (1 << 64) - 1)) * _MULTIPLIERS[1]
+        return total ^ total >> np.uint64(31)
+
+
 def whole_passages(docs: DataFrame, hot: DataFrame, key: str, text: str, words: int = PASSAGE_WORDS, shingle: int = SHINGLE) -> DataFrame:
-    """(signature, doc, place): a row a passage of exactly `words` words in the windows `hot` (doc, place) that holds their centre.
+    """(left, right, doc, place): a row a passage of exactly `words` words in the windows `hot` (doc, place) that holds their
+    centre, and for the passage that begins one word before those of a window; before a text's first word it has a left of its own.
 
-    Its signature is a hash of all its words, so all who share it repeat one another, and a link with the first is enough.
+    left and right are hashes of its halves, so all who share both repeat one another, and a link with the first is enough.
     """
-    width = words - shingle + 1
-    # shingles that together hold each word of a passage
-    steps = [*range(0, width - 1, shingle), width - 1]
+    width, half = words - shingle + 1, words // 2
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, value, places in zip(*(batch.column(i) for i in range(3)), strict=True):
-                hashed = shingle_hashes(value.as_py(), shingle)
+                hashed = _word_hashes(value.as_py())
                 place = places.values.to_numpy(zero_copy_only=False)
                 centre = place >> 32
                 low = np.maximum(centre - np.minimum(place >> 16 & _REACH, width - 1), 0)
-                high = np.minimum(centre, np.minimum(centre + (place & _REACH), len(hashed) - 1) - width + 1)
-                edges = np.zeros(len(hashed) + 2, np.int64)
+                high = np.minimum(centre, np.minimum(centre + (place & _REACH), len(hashed) - shingle) - width + 1)
+                edges = np.zeros(len(hashed) + 3, np.int64)
                 some = low <= high
                 np.add.at(edges, low[some], 1)
-                np.add.at(edges, high[some] + 1, -1)
-                begins = np.flatnonzero(np.cumsum(edges) > 0)
+                np.add.at(edges, high[some] + 2, -1)
+                begins = np.flatnonzero(np.cumsum(edges) > 0) - 1
+                stretch = _Stretches(hashed)
                 for at in range(0, len(begins), PIECE):
                     begin = begins[at: at + PIECE]
-                    total = np.zeros(len(begin), np.uint64)
-                    with np.errstate(over="ignore"):
-                        for i, step in enumerate(steps):
-                            total = (total ^ hashed[begin + step]) * _MULTIPLIERS[i % len(_MULTIPLIERS)]
-                            total ^= total >> np.uint64(31)
-                    signature = total << np.uint64(_FUNCTION_BITS) | np.uint64(_WHOLE)
+                    left, right = stretch(np.maximum(begin, 0), half).view(np.int64), stretch(begin + half, words - half).view(np.int64)
+                    left[begin < 0] = hash(("before", doc.as_py()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signature.view(np.int64)), pa.array(np.full(len(begin), doc.as_py(), np.int64)),
-                         pa.array(begin << 32 | (width - 1))], ["signature", "doc", "place"],
+                        [pa.array(left), pa.array(right), pa.array(np.full(len(begin), doc.as_py(), np.int64)),
+                         pa.array(begin << 32 | (width - 1))], ["left", "right", "doc", "place"],
                     )
 
     bundles = hot.groupBy("doc").agg(F.collect_list("place").alias("places"))
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
-    return own.join(bundles, "doc").select("doc", "text", "places").mapInArrow(rows, "signature long, doc long, place long")
+    return own.join(bundles, "doc").select("doc", "text", "places").mapInArrow(rows, "left long, right long, doc long, place long")
+
+
+class _Many:
+    """Of rows in order of signatures, those whose signature another document has too. Of an unfinished signature rows are held
+    as long as they are of one document."""
+
+    def __init__(self, columns: int):
+        self.held, self.last = [np.empty(0, np.int64) for _ in range(columns)], None
+
+    def of(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """rows: signature, doc and more."""
+        held = [np.concatenate(pair) for pair in zip(self.held, rows, strict=True)]
+        signature, doc = held[:2]
+        if not len(doc):
+            return held
+        begins = np.flatnonzero(np.concatenate(([True], signature[1:] != signature[:-1])))
+        sizes = np.diff(np.append(begins, len(doc)))
+        many = np.add.reduceat(doc != np.repeat(doc[begins], sizes), begins) > 0
+        many[0] |= self.last is not None and signature[0] == self.last
+        self.last = int(signature[-1]) if many[-1] else None
+        self.held = [h[len(doc) if many[-1] else begins[-1]:] for h in held]
+        return [h[np.repeat(many, sizes)] for h in held]
 
 
 def _first_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each whole passage, in order of its words and documents, linked with the first of the same words if that is another
+    document's. The first ones are rows without `of`, those that share their left half with another document's also without `right`."""
+    held: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(4)]
+    shared = _Many(3)
+    for batch in batches:
+        if len(batch):
+            carried = len(held[0])
+            held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            left, right, doc, place = held
+            begins = np.flatnonzero(np.concatenate(([True], (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
+            x = np.repeat(begins, np.diff(np.append(begins, len(doc))))
+            y = np.flatnonzero(doc != doc[x])
+            if len(y):
+                found = _links(np.full(len(y), _WHOLE), doc[y], place[y], doc[x[y]], place[x[y]])
+                yield pa.RecordBatch.from_arrays([*found.columns, pa.nulls(len(y), pa.int64())], _FIRSTS_NAMES)
+            new = begins[1:] if carried else begins
+            many = shared.of([left[new], doc[new], place[new]])
+            if len(new):
+                nothing = pa.nulls(len(new) + len(many[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([doc[new], many[1]])), nothing, pa.array(np.concatenate([place[new], many[2]])), nothing,
+                     pa.concat_arrays([pa.array(right[new]), pa.nulls(len(many[0]), pa.int64())])], _FIRSTS_NAMES)
+            held = [h[begins[-1]: begins[-1] + 1] for h in held]
+
+
+def _starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each passage of one signature, in order of documents, linked with the first of them if that is another document's."""
     held: list[np.ndarray] = [np.empty(0, np.int64) for _ in range(3)]
     for batch in batches:
@@ -286,10 +362,87 @@ def _first_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x = np.repeat(begins, np.diff(np.append(begins, len(doc))))
             y = np.flatnonzero(doc != doc[x])
             if len(y):
-                yield _links(signature[y], doc[y], place[y], doc[x[y]], place[x[y]])
+                yield _links(np.full(len(y), _WHOLE), doc[y], place[y], doc[x[y]], place[x[y]])
             held = [h[begins[-1]: begins[-1] + 1] for h in held]
 
 
+def _of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    many = _Many(4)
+    for batch in batches:
+        rows = many.of([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        yield pa.RecordBatch.from_arrays([pa.array(a) for a in rows], _BLANK_NAMES)
+
+
+def _blanks(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, size: int) -> DataFrame:
+    """(signature, doc, begin, blank): hashes of the wanted passages (doc, begin, blank) without each `size` words of their blank."""
+
+    def of_text(value: str, begin: np.ndarray, blank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        hashed = _word_hashes(value)
+        stretch = _Stretches(hashed)
+        for code in np.unique(blank).tolist():
+            low, high, less = code >> 34, code >> 4 & (1 << 30) - 1, code & 3
+            for shorter in (less,) if less < _EITHER else (0, 1):
+                own = begin[blank == code] + (shorter if less == _AFTER else 0)
+                own = own[(own >= 0) & (own + words <= len(hashed))]
+                for at in range(low, high, size) if len(own) else ():
+                    end = min(at + size, high)
+                    yield stretch.blanked(own, words, at, end, shorter).view(np.int64), own, _blank(at, end, shorter)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, value, begins, blanks in zip(*(batch.column(i) for i in range(4)), strict=True):
+                found = list(of_text(value.as_py(), *(a.values.to_numpy(zero_copy_only=False) for a in (begins, blanks))))
+                if found:
+                    own = np.concatenate([f[1] for f in found])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate([f[0] for f in found])), pa.array(np.full(len(own), doc.as_py(), np.int64)), pa.array(own),
+                         pa.array(np.repeat([f[2] for f in found], [len(f[1]) for f in found]))], _BLANK_NAMES)
+
+    # few texts are wanted in the usual case: Spark copies a small table of them to the tasks, so the others are not moved
+    some = stored(wanted.select("doc").distinct(), "passage-texts")
+    bundles = wanted.distinct().groupBy("doc").agg(F.collect_list(F.struct("begin", "blank")).alias("some"))
+    own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null").join(some, "doc", "left_semi")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own.repartition(parts, "doc").join(bundles, "doc").select("doc", "text", F.col("some.begin"), F.col("some.blank")).mapInArrow(rows, _BLANKS)
+
+
+def _blank(low: int, high: int, less: int) -> int:
+    return low << 34 | high << 4 | less
+
+
+def near_links(docs: DataFrame, firsts: DataFrame, key: str, text: str, words: int, shingle: int) -> DataFrame:
+    """Links of the passages `firsts` (doc, place, right), no two of which have the same words, that differ by one word: changed,
+    or in one of them only. right: a hash of the right half, null for those whose left half is known to be another document's too.
+
+    Such passages share one of their halves; of those that share it with another document's, the rest is compared but for a
+    stretch that holds the difference, and the stretch narrowed until it is one word. All who share the other words resemble one
+    another, so a link with the first is enough, however many they are; a passage has a bounded number of rows in each step.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def shared(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "signature").sortWithinPartitions("signature").mapInArrow(_of_many, _BLANKS).drop("signature")
+
+    def halves(side: DataFrame, low: int, high: int, less: int) -> DataFrame:
+        return side.select(F.col("right").alias("signature"), "doc", F.shiftright("place", 32).alias("begin"),
+                           F.lit(_blank(low, high, less)).cast("long").alias("blank"))
+
+    half = words // 2
+    wanted = halves(firsts.where("right is null"), half, words, _EITHER).drop("signature").unionByName(
+        shared(halves(firsts.where("right is not null"), 0, half, _AFTER)))
+    size = words - half
+    while True:
+        size = -(-size // _NARROWED)
+        wanted = stored(wanted, "passage-blanks")
+        rows = _blanks(docs, wanted, key, text, words, size)
+        if size == 1:
+            break
+        wanted = shared(rows)
+    place = (F.shiftleft("begin", 32) + F.lit(words - shingle)).alias("place")
+    return rows.select("signature", "doc", place).repartition(parts, "signature").sortWithinPartitions(
+        "signature", "doc", "place").mapInArrow(_starred, _LINKS)
+
+
 def _links(signature, doc, place, of, of_place) -> pa.RecordBatch:
     """Where two windows of a signature meet: they share every run of hashes within the shorter reach on each side."""
     centre, of_centre = place >> 32, of_place >> 32
@@ -373,29 +526,32 @@ class _Overlaps:
         )
 
 
-_LINKS = "doc long, of long, place long, shift long"
 _PAIRS = "doc long, begin long, end long, of long, of_begin long, of_end long"
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", hashes: int = HASHES, agreeing: int = AGREEING,
                words: int = PASSAGE_WORDS, shingle: int = SHINGLE) -> DataFrame:
-    """Pairs of passages, as runs of shingles, on which at least `agreeing` hash functions agree."""
+    """Pairs of passages, as runs of shingles, on which at least `agreeing` hash functions agree, or that lie in hot groups and
+    have the same words but for one."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a passage lies in a hot group of one of the first functions, or as many of them as have to agree link all its holders
+    # two passages meet in a hot group of some function, or as many as have to agree link them, if so many agree
     linked = stored(
         windows(docs, key, text, hashes, words, shingle).repartition(parts, "signature")
-        .sortWithinPartitions("signature", "doc", "place").mapInArrow(_Linked(GROUP, agreeing), _LINKS), "passage-links",
+        .sortWithinPartitions("signature", "doc", "place").mapInArrow(_Linked(GROUP, hashes), _LINKS), "passage-links",
     )
-    whole = (
-        whole_passages(docs, linked.where("of is null").select("doc", "place"), key, text, words, shingle).repartition(parts, "signature")
-        .sortWithinPartitions("signature", "doc", "place").mapInArrow(_first_linked, _LINKS)
+    whole = stored(
+        whole_passages(docs, linked.where("of is null").select("doc", "place"), key, text, words, shingle)
+        .repartition(parts, "left").sortWithinPartitions("left", "right", "doc", "place").mapInArrow(_first_linked, _FIRSTS),
+        "passage-wholes",
     )
+    near = near_links(docs, whole.where("of is null"), key, text, words, shingle)
     overlaps = _Overlaps(words - shingle + 1, agreeing)
-    links = linked.where("of is not null").unionByName(whole)
+    links = linked.where("of is not null").unionByName(whole.where("of is not null").select(*linked.columns)).unionByName(near)
     pairs = stored(
         links.repartition(parts, "doc", "of").sortWithinPartitions("doc", "of").mapInArrow(overlaps, _PAIRS), "passage-pairs",
     )
     discard(linked)
+    discard(whole)
     return pairs
 
 
@@ -505,8 +661,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Positions count words, ends excluded. A passage has `words` words or more, and the sets of its shingles and of the other's
     have a Jaccard similarity of `similarity` or more. Of a signature that few windows share, all pairs
     are linked. Of a hot one they are linked in a star and a chain, and each passage of `words` words in them with the first
-    document that has the very same words, so exact repeats are found whole whoever else shares their lines; near repeats
-    that hold a hot line can be missed. All texts are hashed whole; what the
+    document that has the same words, or the same but for one: changed, or in one of both only. That is all in which passages of
+    this length may differ at similarity 0.8, so whoever else shares their lines, such repeats are found; where other
+    arguments let more words differ, the star and the chain alone link those. All texts are hashed whole; what the
     hash functions propose is verified against the shingles themselves. Repeats within one document are not reported;
     rows without key or text, and texts shorter than a passage, take no part; rows that repeat a key are one document.
     """

@@ -172,3 +172,46 @@ def test_offsets_on_both_sides_of_a_band(spark):
 
     assert runs([63, 64]) == runs([60, 60]) == {(140, 260)}
     assert runs([10, 200]) == set()
+
+
+def one_changed(own, place, new):
+    """The word at `place` changed, one added before it, or it dropped, by turns."""
+    return [own[:place] + [new] + own[place + 1:], own[:place] + [new] + own[place:], own[:place] + own[place + 1:]][place % 3]
+
+
+def test_near_repeats_that_hold_a_hot_line(spark):
+    line = words(31, 35)
+    rows = [(i, " ".join(words(15000 + i, 40) + line + words(16000 + i, 40))) for i in range(100)]
+    for pair in range(60):
+        own = words(17000 + pair, 25)
+        first, second = own + line, one_changed(own, 6 + pair % 18, f"new{pair}") + line
+        if pair % 2:
+            first, second = second, first
+        rows += [(1000 + pair, " ".join(words(18000 + pair, 30) + first + words(18100 + pair, 30))),
+                 (2000 + pair, " ".join(words(18200 + pair, 50) + second + words(18300 + pair, 20)))]
+    rows += [(i, " ".join(words(15000 + i, 40) + line + words(16000 + i, 40))) for i in range(3000, 3100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r for r in passages.spans(passages.repeated_passages(frame)).collect()}
+    assert {d: list(r.of_doc_ids) for d, r in found.items()} == {2000 + pair: [1000 + pair] for pair in range(60)}
+    assert all(r.begin <= 52 and r.end >= 107 for r in found.values())
+
+
+def test_variants_of_one_hot_text(spark):
+    """One word changed in each of many copies: each passage that differs in one word from an earlier one is found."""
+    text = words(41, 60)
+    changed = [random.Random(i).randrange(60) for i in range(120)]
+    rows = [(i, " ".join(words(19000 + i, 9) + text[:c] + [f"own{i}"] + text[c + 1:] + words(19500 + i, 9))) for i, c in enumerate(changed)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id for r in passages.repeated_passages(frame).collect()}
+    want = set()
+    for i, c in enumerate(changed):
+        for low in range(0, 11):
+            for high in range(low + 50, 61):
+                own = text[:c] + ["own"] + text[c + 1:]
+                a = shingles(own[low:high])
+                for d in set(changed[:i]):
+                    b = shingles((text[:d] + ["other"] + text[d + 1:])[low:high])
+                    ends = all(not q <= x <= q + 4 for q in (c, d) for x in (low + 4, high - 1))
+                    if ends and len(a & b) / len(a | b) >= 0.8:
+                        want.add(i)
+    assert found >= want and len(want) > 60
