@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from reviewmill import constants as C
 from reviewmill.operators.scale import delete_path, materialize
 
-ROWS_A_FILE = 1_000_000
+#: Rows of a file, and bytes of their values; whichever gives more files.
+ROWS_A_FILE, BYTES_A_FILE = 1_000_000, 128 << 20
 
 
 def page_order(columns: list[str]) -> list[Column]:
@@ -15,9 +16,11 @@ def page_order(columns: list[str]) -> list[Column]:
     return [F.col("review_id").asc_nulls_last(), F.xxhash64(*[F.col(c) for c in columns]).asc(), *[F.col(c).asc() for c in columns]]
 
 
-def write_pages(df: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE, largest_page: int = C.PAGE_SIZE) -> None:
+def write_pages(df: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE, largest_page: int = C.PAGE_SIZE,
+                bytes_a_file: int = BYTES_A_FILE) -> None:
     """Store the rows in files that follow one another in the order of pages, and a sparse index: of each file its place, its
-    first id, its number of rows and the number of rows before it.
+    first id, its number of rows and the number of rows before it. A file is what a task sorts and writes, so the more bytes
+    the rows have, the more files there are.
 
     Where the order is cut is estimated from a sample, so files differ in size; should one but the last hold fewer rows than
     `largest_page`, fewer files are written, as pages of that size are to lie in two files at most.
@@ -25,7 +28,9 @@ def write_pages(df: DataFrame, path: str, rows_a_file: int = ROWS_A_FILE, larges
     spark = df.sparkSession
     source = materialize(df)
     order = page_order(df.columns)
-    files = max(1, -(-source.count() // rows_a_file))
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(0).cast("long"))
+    rows, held = source.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    files = max(1, -(-rows // rows_a_file), -(-held // bytes_a_file))
     while True:
         delete_path(spark, f"{path}/rows")
         source.repartitionByRange(files, *order).sortWithinPartitions(*order).write.parquet(f"{path}/rows")

@@ -77,3 +77,13 @@ def test_files_smaller_than_a_page_are_merged(spark, tmp_path):
     paged.write_pages(df, path, rows_a_file=10, largest_page=25)
     sizes = [r["rows"] for r in spark.read.parquet(f"{path}/index").orderBy("before").collect()]
     assert sum(sizes) == 90 and min(sizes[:-1], default=25) >= 25
+
+
+def test_long_rows_lie_in_more_files(spark, tmp_path):
+    df = spark.range(400).select(F.col("id").alias("review_id"), F.repeat(F.col("id").cast("string"), 2000).alias("text"))
+    path = str(tmp_path / "pages")
+    paged.write_pages(df, path, largest_page=20, bytes_a_file=500_000)
+    sizes = [r["rows"] for r in spark.read.parquet(f"{path}/index").collect()]
+    assert sum(sizes) == 400 and 3 <= len(sizes) <= 6 and max(sizes) < 250
+    for number in (1, 7, 20):
+        assert paged.read_page(spark, path, number, 20).collect() == views.page(df, number, 20).collect()
