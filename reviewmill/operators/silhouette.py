@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from reviewmill.operators.scale import arrow_vectors, pin, sum_over
 #: References of all clusters together, and the most clusters they are shared among.
 REFERENCES, MAX_CLUSTERS = 32_768, 1_024
 LEAST = 32  # references of a cluster, however many clusters there are
-ROWS_AT_ONCE = 512
+#: Distances that a task holds at once, whatever the number of references.
+DISTANCES_AT_ONCE = 1 << 20
 
 
 def squared_silhouette(labelled: DataFrame, vector: str = "embedding") -> float:
@@ -56,6 +58,11 @@ class _Groups:
     weights: np.ndarray | None = None
     first: np.ndarray | None = None
 
+    @cached_property
+    def lengths(self) -> np.ndarray:
+        """Squared lengths of the references."""
+        return (self.points * self.points).sum(axis=1)
+
 
 def euclidean_silhouette(
     labelled: DataFrame, vector: str = "embedding", references: int = REFERENCES, seed: int = C.SEED
@@ -96,8 +103,9 @@ def _silhouettes(rows: DataFrame, labels, counts: list[int], references: int, se
         x = arrow_vectors(batch.column("reduced"))
         total = np.zeros((len(groups), 2))
         for i, (own, group) in enumerate(zip(labels(batch, x), groups)):
-            for begin in range(0, len(x), ROWS_AT_ONCE):
-                piece = slice(begin, begin + ROWS_AT_ONCE)
+            step = max(1, DISTANCES_AT_ONCE // max(len(group.points), 1))
+            for begin in range(0, len(x), step):
+                piece = slice(begin, begin + step)
                 total[i] += _scores(x[piece], own[piece], group).sum(), len(x[piece])
         return total
 
@@ -175,8 +183,12 @@ def _with_references(rows: DataFrame, labels, groups: list[_Groups], references:
 def _scores(x: np.ndarray, own: np.ndarray, g: _Groups) -> np.ndarray:
     """Silhouette of every row from its mean distances to the references of each cluster."""
     present = np.flatnonzero(g.sizes)
-    squares = (x * x).sum(axis=1)[:, None] - 2 * (x @ g.points.T) + (g.points * g.points).sum(axis=1)
-    distances = np.sqrt(np.maximum(squares, 0.0)) * g.weights
+    distances = x @ (-2 * g.points.T)  # one matrix all along
+    distances += (x * x).sum(axis=1)[:, None]
+    distances += g.lengths
+    np.maximum(distances, 0.0, out=distances)
+    np.sqrt(distances, out=distances)
+    distances *= g.weights
     weights = np.add.reduceat(g.weights, g.first[present])
     means = np.full((len(x), len(g.sizes)), np.inf)
     means[:, present] = np.add.reduceat(distances, g.first[present], axis=1) / weights

@@ -199,3 +199,30 @@ def test_merge_keeps_every_row(members):
     merged = clustering.merge_tiny(members.select("review_id", "cluster_id"), 13)
     sizes = {r["cluster_id"]: r["size"] for r in clustering.cluster_sizes(merged).collect()}
     assert sizes == {0: 40, -1: 15}
+
+
+def test_distances_held_at_once_are_bounded(rng, monkeypatch):
+    """The references are many, so the rows whose distances to them are held at once are few."""
+    import tracemalloc
+
+    points = rng.normal(size=(32_768, 8))
+    sizes = np.full(64, 512.0)
+    group = silhouette._Groups(sizes, np.zeros((64, 8)), points, np.ones(len(points)), np.arange(64) * 512)
+    x = rng.normal(size=(600, 8))
+    monkeypatch.setattr(silhouette, "_groups", lambda *a: [group])
+    monkeypatch.setattr(silhouette, "_with_references", lambda *a: [group])
+    peaks = []
+
+    def summed(rows, part):
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64()))], names=["reduced"])
+        tracemalloc.start()
+        total = part(batch)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return total
+
+    monkeypatch.setattr(silhouette, "sum_over", summed)
+    silhouette._silhouettes(None, lambda b, x: [np.arange(len(x)) % 64], [64], 32_768, 1)
+    assert peaks[0] < 64 << 20
