@@ -35,6 +35,9 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, block: int = CENT
     """
     blocks = _blocks(centroids, block)
     middles = blocks.select("block", "middle", "widest").orderBy("block").toArrow().to_pydict()
+    kind = centroids.schema["cluster_id"].dataType
+    if len(middles["block"]) == 1:
+        return _nearest_of(vectors, blocks.select("ids", "matrix").first(), kind)
     numbered = materialize(vectors.withColumn("_row", F.monotonically_increasing_id()))
     rows = numbered.where("embedding IS NOT NULL").select("_row", "embedding")
     pieces = rows.mapInArrow(_needed(middles), "block string, rows binary, vectors binary")
@@ -43,12 +46,33 @@ def nearest_centroid(vectors: DataFrame, centroids: DataFrame, block: int = CENT
         .mapInArrow(_best_of_block, "_row bigint, similarity double, tie bigint")
         .groupBy("_row").agg(F.max(F.struct("similarity", "tie")).alias("_best"))
     )
-    kind = centroids.schema["cluster_id"].dataType
     return numbered.join(best, "_row", "left").select(
         *vectors.columns, (-F.col("_best.tie")).cast(kind).alias("cluster_id"), F.col("_best.similarity").alias("similarity")
     )
 
 
+def _nearest_of(vectors: DataFrame, block, kind) -> DataFrame:
+    """The same where all centroids are one block, which goes to every task: each row is placed where it lies."""
+    ids, centers = np.frombuffer(block["ids"], np.int64), np.frombuffer(block["matrix"]).reshape(-1, len(block["matrix"]) // len(block["ids"]))
+
+    def place(column: pa.Array) -> pa.Array:
+        present = np.asarray(column.is_valid())
+        nearest, similarity = np.zeros(len(column), np.int64), np.zeros(len(column))
+        if present.any():
+            unit = unit_rows(arrow_vectors(column.drop_null()))
+            if unit.shape[1] != centers.shape[1]:
+                raise ValueError("vectors differ in width from the centroids")
+            cosines = unit @ centers.T
+            first = cosines.argmax(axis=1)  # ids are in order: the lowest of equal ones
+            nearest[present], similarity[present] = ids[first], cosines[np.arange(len(first)), first]
+        missing = pa.array(~present)
+        return pa.StructArray.from_arrays([pa.array(nearest), pa.array(similarity)], names=["cluster_id", "similarity"], mask=missing)
+
+    placed = F.arrow_udf(place, "struct<cluster_id: bigint, similarity: double>")(F.col("embedding"))
+    return vectors.select(*vectors.columns, placed.alias("_best")).select(
+        *vectors.columns, F.col("_best.cluster_id").cast(kind).alias("cluster_id"), F.col("_best.similarity").alias("similarity"))
+
+
 def _blocks(centroids: DataFrame, size: int) -> DataFrame:
     """A row a block: ids in order, unit vectors, their middle, and the widest angle from it."""
     known = centroids.select(F.col("cluster_id").cast("bigint").alias("cluster_id"), F.col("centroid").alias("embedding"))

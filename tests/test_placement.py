@@ -83,3 +83,10 @@ def test_ties_repeats_and_missing_vectors(spark):
     none = placement.nearest_centroid(rows, centroids.where("cluster_id > 9")).collect()
     assert len(none) == 5 and {r["cluster_id"] for r in none} == {None}
     assert placement.nearest_centroid(rows.limit(0), centroids).collect() == []
+
+
+def test_one_block_moves_no_row(spark, rng):
+    centroids = centroid_frame(spark, rng.normal(size=(30, 6)))
+    placed = placement.nearest_centroid(row_frame(spark, rng.normal(size=(100, 6))), centroids)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and placed.count() == 100
