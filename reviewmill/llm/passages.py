@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -30,6 +30,8 @@ _REACH = (1 << 16) - 1
 #: Passages are aligned if their offsets fall into one band of this many shingles.
 _BAND_BITS = 6
 _NEED_BLOCK = 4096
+#: Runs of shingles that leave a task at once.
+_RUNS = 256
 #: Windows of a signature that are linked all with all; the passages of larger groups are compared by their words.
 GROUP = 16
 #: In place of a hash function: the words of a whole passage are the same.
@@ -96,18 +98,20 @@ def compact_windows(hashes: np.ndarray, width: int, ends: np.ndarray | None = No
     centre = (least & ((np.uint64(1) << _INDEX_BITS) - np.uint64(1))).astype(np.int64)
     own = np.searchsorted(ends, centre, side="right")
     begins, last = np.concatenate(([0], ends[:-1]))[own], ends[own] - 1
-    left, right = begins.copy(), last.copy()
-    spine: list[int] = []
-    values, places, texts = least.tolist(), centre.tolist(), own.tolist()
-    now = -1
-    for i, value in enumerate(values):
-        if texts[i] != now:
-            now, spine = texts[i], []
-        while spine and values[spine[-1]] > value:
-            right[spine.pop()] = places[i] - 1
-        if spine:
-            left[i] = places[spine[-1]] + 1
+    # the nearest smaller ones on both sides, whatever their texts
+    values = least.tolist()
+    values.append(-1)
+    before, behind, spine = [], [len(centre)] * len(centre), [-1]
+    for i, value in enumerate(least.tolist()):
+        top = spine[-1]
+        while values[top] > value:
+            behind[top] = i
+            spine.pop()
+            top = spine[-1]
+        before.append(top)
         spine.append(i)
+    edges = np.concatenate((centre, [n, -1]))
+    left, right = np.maximum(edges[before] + 1, begins), np.minimum(edges[behind] - 1, last)
     return left, centre, right
 
 
@@ -175,13 +179,14 @@ class _Linked:
     """Links between the windows of one signature, which come in order of documents, and the windows of large groups.
 
     In a group of up to `most` windows all pairs of different documents are linked. In a larger one each window is linked
-    with the first document and with the one before its own, n-th window with n-th, or last; it is a hot group, and its
-    windows under the first `told` functions are told as rows without `of`, for `whole_passages` to split. Of an unfinished signature the next
-    batch is given all windows up to `most`, then the windows of its first and its last two documents.
+    with the first document and with the one before its own, n-th window with n-th, or last; if it has windows of several
+    documents it is a hot group, and those under the first `told` functions are told as rows without `of`, for `whole_passages` to
+    split. Of an unfinished signature the next batch is given all windows up to `most`, then the windows of its first and its last
+    two documents.
     """
 
     def __init__(self, most: int, told: int):
-        self.most, self.told = most, told
+        self.most, self.told, self.hot = most, told, _Many(3)
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.empty(0, np.int64) for _ in range(3)]
@@ -232,11 +237,28 @@ class _Linked:
                 x = starts[to[y]] + np.minimum(number[y], sizes[to[y]] - 1)
                 yield _links(signature[y], doc[y], place[y], doc[x], place[x])
         y = np.flatnonzero(fresh & ((signature & (1 << _FUNCTION_BITS) - 1) < self.told))
-        if len(y):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[y]), pa.nulls(len(y), pa.int64()), pa.array(place[y]), pa.nulls(len(y), pa.int64())],
-                ["doc", "of", "place", "shift"],
-            )
+        # a text that repeats a few words has many windows of a signature, but alone it has nobody to be compared with
+        doc, place = self.hot.of([signature[y], doc[y], place[y]])[1:]
+        if len(doc):
+            nothing = pa.nulls(len(doc), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(doc), nothing, pa.array(place), nothing], ["doc", "of", "place", "shift"])
+
+
+def _together(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], least: int = 1 << 14) -> Callable:
+    """The same rows in batches of at least so many, as each batch costs the workers and the JVM some time."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in rows(batches):
+            held.append(batch)
+            size += len(batch)
+            if size >= least:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    return joined
 
 
 _LINKS = "doc long, of long, place long, shift long"
@@ -260,10 +282,10 @@ class _Stretches:
     def __call__(self, begin: np.ndarray, size: int) -> np.ndarray:
         return (self.sums[begin + size] - self.sums[begin]) * self._inverse[begin]
 
-    def blanked(self, begin: np.ndarray, words: int, low: int, high: int, less: int) -> np.ndarray:
+    def blanked(self, begin: np.ndarray, words: int, low: np.ndarray, high: np.ndarray, less: np.ndarray) -> np.ndarray:
         """Of passages of `words` words without those from `low` to `high`; less: of passages that are shorter by this inside."""
         total = self(begin, low) + self(begin + (high - less), words - high) * self._powers[high]
-        total = (total ^ np.uint64(low * _BASE & (1 << 64) - 1)) * _MULTIPLIERS[1]
+        total = (total ^ low.astype(np.uint64) * np.uint64(_BASE)) * _MULTIPLIERS[1]
         return total ^ total >> np.uint64(31)
 
 
@@ -300,7 +322,7 @@ def whole_passages(docs: DataFrame, hot: DataFrame, key: str, text: str, words:
 
     bundles = hot.groupBy("doc").agg(F.collect_list("place").alias("places"))
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
-    return own.join(bundles, "doc").select("doc", "text", "places").mapInArrow(rows, "left long, right long, doc long, place long")
+    return own.join(bundles, "doc").select("doc", "text", "places").mapInArrow(_together(rows), "left long, right long, doc long, place long")
 
 
 class _Many:
@@ -376,40 +398,45 @@ def _of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _blanks(docs: DataFrame, wanted: DataFrame, key: str, text: str, words: int, size: int) -> DataFrame:
     """(signature, doc, begin, blank): hashes of the wanted passages (doc, begin, blank) without each `size` words of their blank."""
 
-    def of_text(value: str, begin: np.ndarray, blank: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        hashed = _word_hashes(value)
-        stretch = _Stretches(hashed)
-        for code in np.unique(blank).tolist():
-            low, high, less = code >> 34, code >> 4 & (1 << 30) - 1, code & 3
-            for shorter in (less,) if less < _EITHER else (0, 1):
-                own = begin[blank == code] + (shorter if less == _AFTER else 0)
-                own = own[(own >= 0) & (own + words <= len(hashed))]
-                for at in range(low, high, size) if len(own) else ():
-                    end = min(at + size, high)
-                    yield stretch.blanked(own, words, at, end, shorter).view(np.int64), own, _blank(at, end, shorter)
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, value, begins, blanks in zip(*(batch.column(i) for i in range(4)), strict=True):
-                found = list(of_text(value.as_py(), *(a.values.to_numpy(zero_copy_only=False) for a in (begins, blanks))))
-                if found:
-                    own = np.concatenate([f[1] for f in found])
+            for doc, value, begin, blank in zip(*(batch.column(i) for i in range(4)), strict=True):
+                begin, blank = (a.values.to_numpy(zero_copy_only=False) for a in (begin, blank))
+                hashed = _word_hashes(value.as_py())
+                own, low, high, less = _narrowed(begin, blank, words, size, len(hashed))
+                if len(own):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([f[0] for f in found])), pa.array(np.full(len(own), doc.as_py(), np.int64)), pa.array(own),
-                         pa.array(np.repeat([f[2] for f in found], [len(f[1]) for f in found]))], _BLANK_NAMES)
+                        [pa.array(_Stretches(hashed).blanked(own, words, low, high, less).view(np.int64)),
+                         pa.array(np.full(len(own), doc.as_py(), np.int64)), pa.array(own), pa.array(_blank(low, high, less))], _BLANK_NAMES)
 
     # few texts are wanted in the usual case: Spark copies a small table of them to the tasks, so the others are not moved
     some = stored(wanted.select("doc").distinct(), "passage-texts")
     bundles = wanted.distinct().groupBy("doc").agg(F.collect_list(F.struct("begin", "blank")).alias("some"))
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null").join(some, "doc", "left_semi")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own.repartition(parts, "doc").join(bundles, "doc").select("doc", "text", F.col("some.begin"), F.col("some.blank")).mapInArrow(rows, _BLANKS)
+    return own.repartition(parts, "doc").join(bundles, "doc").select("doc", "text", F.col("some.begin"), F.col("some.blank")).mapInArrow(_together(rows), _BLANKS)
 
 
-def _blank(low: int, high: int, less: int) -> int:
+def _blank(low, high, less):
     return low << 34 | high << 4 | less
 
 
+def _narrowed(begin: np.ndarray, blank: np.ndarray, words: int, size: int, n: int) -> tuple[np.ndarray, ...]:
+    """(begin, low, high, less): the parts of `size` words of the blanks of some passages in a text of `n` words, in one step for all."""
+    low, high, less = blank >> 34, blank >> 4 & (1 << 30) - 1, blank & 3
+    either = np.where(less < _EITHER, 1, 2)
+    second = np.arange(either.sum()) - np.repeat(np.cumsum(either) - either, either)
+    begin, low, high, less = (np.repeat(a, either) for a in (begin, low, high, less))
+    begin, less = begin + np.where(less == _AFTER, second, 0), np.where(less < _EITHER, less, second)
+    inside = np.flatnonzero((begin >= 0) & (begin + words <= n))
+    begin, low, high, less = (a[inside] for a in (begin, low, high, less))
+    parts = -((low - high) // size)
+    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin, low, high, less = (np.repeat(a, parts) for a in (begin, low, high, less))
+    low = low + number * size
+    return begin, low, np.minimum(low + size, high), less
+
+
 def near_links(docs: DataFrame, firsts: DataFrame, key: str, text: str, words: int, shingle: int) -> DataFrame:
     """Links of the passages `firsts` (doc, place, right), no two of which have the same words, that differ by one word: changed,
     or in one of them only. right: a hash of the right half, null for those whose left half is known to be another document's too.
@@ -456,7 +483,10 @@ def _links(signature, doc, place, of, of_place) -> pa.RecordBatch:
 
 
 class _Overlaps:
-    """Runs of a document that the links of enough hash functions cover, for each pair of documents and band of offsets."""
+    """Runs of a document that the links of enough hash functions cover, for each pair of documents and band of offsets.
+
+    Links come in order of their documents; those of one document, whose number its text bounds, are held at once.
+    """
 
     def __init__(self, width: int, agreeing: int):
         self.width, self.agreeing = width, agreeing
@@ -466,7 +496,7 @@ class _Overlaps:
         for batch in batches:
             held = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
             if len(held[0]):
-                change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
+                change = np.flatnonzero(held[0][1:] != held[0][:-1])
                 cut = int(change[-1]) + 1 if len(change) else 0
                 if cut:
                     yield from self._runs(*(h[:cut] for h in held))
@@ -548,7 +578,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", hashes:
     overlaps = _Overlaps(words - shingle + 1, agreeing)
     links = linked.where("of is not null").unionByName(whole.where("of is not null").select(*linked.columns)).unionByName(near)
     pairs = stored(
-        links.repartition(parts, "doc", "of").sortWithinPartitions("doc", "of").mapInArrow(overlaps, _PAIRS), "passage-pairs",
+        links.repartition(parts, "doc", "of").sortWithinPartitions("doc").mapInArrow(overlaps, _PAIRS), "passage-pairs",
     )
     discard(linked)
     discard(whole)
@@ -577,7 +607,7 @@ def slices(docs: DataFrame, needs: DataFrame, key: str, text: str, shingle: int
     )
     own = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")).where("text is not null")
     return own.join(bundles, "doc").select("doc", "text", "runs").mapInArrow(
-        rows, "doc long, begin long, end long, hashes binary"
+        _together(rows, _RUNS), "doc long, begin long, end long, hashes binary"
     )
 
 
@@ -608,17 +638,20 @@ def similar_runs(own: np.ndarray, other: np.ndarray, width: int, similarity: flo
     if len(own) >= width and len(own) == len(other) and (own == other).all():
         return [(0, len(own) - 1, 0, len(own) - 1, 1.0)]
     # the occurrence in `other` that lies nearest to the same place, as both runs begin where they are aligned
-    keys = np.sort(other.astype(np.uint64) << np.uint64(32) | np.arange(len(other), dtype=np.uint64))
-    wanted = own.astype(np.uint64) << np.uint64(32) | np.arange(len(own), dtype=np.uint64)
-    after = np.searchsorted(keys, wanted)
-    place = np.full((2, len(own)), -1, np.int64)
-    for row, at in enumerate((after - 1, after)):
-        hit = np.flatnonzero((at >= 0) & (at < len(keys)))
-        same = hit[keys[at[hit]] >> np.uint64(32) == own[hit]]
-        place[row, same] = (keys[at[same]] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    distance = np.where(place >= 0, np.abs(place - np.arange(len(own))), np.iinfo(np.int64).max)
-    where = place[distance.argmin(0), np.arange(len(own))]
-    found = where >= 0
+    keys = np.empty(len(other) + 2, np.uint64)  # one more at either end, which is no occurrence
+    keys[1:-1] = other
+    keys[1:-1] <<= np.uint64(32)
+    keys[1:-1] |= np.arange(len(other), dtype=np.uint64)
+    keys[1:-1].sort()
+    keys[0], keys[-1] = keys[1], keys[-2]
+    here = np.arange(len(own), dtype=np.uint64)
+    after = np.searchsorted(keys[1:-1], own.astype(np.uint64) << np.uint64(32) | here)
+    before, behind = keys[after], keys[after + 1]
+    is_before = (before >> np.uint64(32) == own) & (after > 0)
+    is_behind = (behind >> np.uint64(32) == own) & (after < len(other))
+    before, behind, here = ((a & np.uint64(0xFFFFFFFF)).view(np.int64) for a in (before, behind, here))
+    found = is_before | is_behind
+    where = np.where(is_before & (~is_behind | (here - before <= behind - here)), before, behind)
     edges = np.flatnonzero(np.diff(np.concatenate(([0], found.view(np.int8), [0]))))
     stretches = list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist(), strict=True))
     out = []
@@ -632,8 +665,9 @@ def similar_runs(own: np.ndarray, other: np.ndarray, width: int, similarity: flo
             usual = np.sort(shift)[len(shift) // 2]
             near = where[inside][np.abs(shift - usual) <= _STRAY + (end - begin) // 8]
             low, high = int(near.min()), int(near.max())
-            a, b = np.unique(own[begin: end + 1]), np.unique(other[low: high + 1])
-            both = np.intersect1d(a, b, assume_unique=True).size
+            a, b = _distinct(own[begin: end + 1]), _distinct(other[low: high + 1])
+            together = np.sort(np.concatenate((a, b)))
+            both = int(np.count_nonzero(together[1:] == together[:-1]))
             jaccard = both / (a.size + b.size - both)
             if jaccard >= similarity:
                 out.append((begin, end, low, high, jaccard))
@@ -643,6 +677,11 @@ def similar_runs(own: np.ndarray, other: np.ndarray, width: int, similarity: flo
     return out
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    hashes = np.sort(hashes)
+    return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))]
+
+
 def _joined(stretches: list[tuple[int, int]], share: float) -> list[tuple[int, int]]:
     stack: list[list[int]] = []  # begin, end, matches
     for begin, end in stretches:

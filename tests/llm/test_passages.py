@@ -122,6 +122,39 @@ def test_links_do_not_depend_on_batches():
     assert got >= {(y, x) for y in range(400) for x in range(y) if signature[x] == signature[y] in small and doc[x] < doc[y]}
 
 
+def test_windows_of_one_document_alone_are_not_told():
+    # a text that says one word over and over, one that two such texts share, in portions of any size
+    signature = np.repeat([8, 16, 24], [50, 60, 40])
+    doc = np.concatenate([np.full(50, 1), np.repeat([2, 3], 30), np.full(40, 4)])
+    place = np.arange(150) << 32
+    table = pa.table({"signature": signature, "doc": doc, "place": place})
+    for size in (150, 1, 7, 33):
+        rows = [r for b in passages._Linked(16, 5)(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        assert sorted(r["place"] >> 32 for r in rows if r["of"] is None) == list(range(50, 110))
+        assert {(r["doc"], r["of"]) for r in rows if r["of"] is not None} == {(3, 2)}
+
+
+def test_blanks_are_narrowed_in_one_step():
+    draw = np.random.default_rng(5)
+    for size in (1, 2, 5, 7):
+        begin, low = draw.integers(-1, 60, 300), draw.choice([0, 25, 27], 300)
+        high, less = low + draw.choice([1, 5, 25], 300), draw.integers(0, 4, 300)
+        expected = []
+        for b, lo, hi, how in zip(*(a.tolist() for a in (begin, low, high, less)), strict=True):
+            for shorter in (how,) if how < 2 else (0, 1):
+                at = b + (shorter if how == 3 else 0)
+                if 0 <= at <= 50:
+                    expected += [(at, x, min(x + size, hi), shorter) for x in range(lo, hi, size)]
+        got = passages._narrowed(begin, passages._blank(low, high, less), 50, size, 100)
+        assert sorted(zip(*(a.tolist() for a in got), strict=True)) == sorted(expected)
+
+
+def test_small_batches_are_joined():
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3])], ["a"])
+    joined = list(passages._together(lambda batches: batches, 7)(iter([batch] * 8)))
+    assert [len(b) for b in joined] == [9, 9, 6] and not list(passages._together(lambda batches: batches)(iter([])))
+
+
 def test_hard_rows(hard, nothing):
     rows = passages.spans(passages.repeated_passages(hard)).collect()
     assert [(r.doc_id, r.begin, r.end, r.of_doc_ids) for r in rows] == [(7, 0, 120_000, [6])]
