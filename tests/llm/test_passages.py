@@ -155,6 +155,13 @@ def test_small_batches_are_joined():
     assert [len(b) for b in joined] == [9, 9, 6] and not list(passages._together(lambda batches: batches)(iter([])))
 
 
+def test_rows_are_handed_over_in_sorted_runs():
+    batches = [pa.RecordBatch.from_arrays([pa.array([9 - i, -i]), pa.array([i, i])], ["a", "b"]) for i in range(6)]
+    (run,) = passages._in_runs(lambda rows: rows)(iter(batches))
+    assert run.to_pylist() == sorted((row for b in batches for row in b.to_pylist()), key=lambda row: row["a"])
+    assert list(passages._in_runs(lambda rows: rows)(iter([]))) == []
+
+
 def test_hard_rows(hard, nothing):
     rows = passages.spans(passages.repeated_passages(hard)).collect()
     assert [(r.doc_id, r.begin, r.end, r.of_doc_ids) for r in rows] == [(7, 0, 120_000, [6])]
