@@ -1,10 +1,11 @@
-"""Silhouettes over all rows without pairs.
-
-Euclidean: a row's mean distance to a cluster is taken over a reference set of the cluster, drawn with a chance that is half the
-same for all its members and half follows their distance from the centroid, and weighed by its inverse. A member x at
-distance d(x, y) enters with at most 6 times the true mean, so m references give the mean with a relative standard error of
-at most sqrt(5 / m), whatever the shape of the cluster; clusters with no more members than references are exact. With squared
-distances a cluster's count, sum and sum of squared lengths give the exact mean.
+"""Silhouettes over all rows.
+
+Euclidean: the distances of a row to all others are summed by cluster, block by block; no pair is kept. Several clusterings are
+compared by reference sets instead: a row's mean distance to a cluster is taken over references of the cluster, drawn with a
+chance that is half the same for all its members and half follows their distance from the centroid, and weighed by its inverse.
+A member x at distance d(x, y) enters with at most 6 times the true mean, so m references give the mean with a relative standard
+error of at most sqrt(5 / m), whatever the shape of the cluster; clusters with no more members than references are exact. With
+squared distances a cluster's count, sum and sum of squared lengths give the exact mean.
 """
 
 from __future__ import annotations
@@ -15,19 +16,25 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
 from reviewmill import constants as C
+from reviewmill.llm.scratch import located
 from reviewmill.operators.kmeans import Centers, nearest_centers
-from reviewmill.operators.scale import arrow_vectors, pin, sum_over
+from reviewmill.operators.scale import arrow_vectors, materialize, pin, sum_over
 
-#: References of all clusters together, and the most clusters they are shared among.
-REFERENCES, MAX_CLUSTERS = 32_768, 1_024
+#: The most clusters whose sums a task holds for its rows.
+MAX_CLUSTERS = 1_024
 LEAST = 32  # references of a cluster, however many clusters there are
 #: Distances that a task holds at once, whatever the number of references.
 DISTANCES_AT_ONCE = 1 << 20
+#: Rows that a task compares with all others, less where their vectors take more bytes, and rows of a block of the others.
+TASK_ROWS, TASK_BYTES, BLOCK_ROWS = 8_192, 1 << 25, 2_048
+#: Squared distances below this share of a row's squared length are taken from the differences, where a product would cancel.
+NEAR = 1e-8
 
 
 def squared_silhouette(labelled: DataFrame, vector: str = "embedding") -> float:
@@ -65,10 +72,12 @@ class _Groups:
 
 
 def euclidean_silhouette(
-    labelled: DataFrame, vector: str = "embedding", references: int = REFERENCES, seed: int = C.SEED
+    labelled: DataFrame, vector: str = "embedding", references: int | None = None, seed: int = C.SEED
 ) -> Silhouette:
     """Mean silhouette of all rows of (review_id, cluster_id, vector) with Euclidean distance; -1 with fewer than two
-    clusters. A row alone in its cluster has 0. Rows without a vector take no part. At most MAX_CLUSTERS clusters."""
+    clusters. A row alone in its cluster has 0. Rows without a vector take no part. At most MAX_CLUSTERS clusters.
+
+    All distances are computed, so the work grows with the square of the rows; a number of `references` asks for an estimate."""
     rows = labelled.where(F.col(vector).isNotNull()).select(
         "review_id", F.col("cluster_id").alias("cluster_id"), F.col(vector).cast("array<double>").alias("reduced"))
     names = [r[0] for r in pin(rows.select("cluster_id").distinct()).orderBy("cluster_id").limit(MAX_CLUSTERS + 1).collect()]
@@ -82,6 +91,8 @@ def euclidean_silhouette(
     def labels(batch: pa.RecordBatch, x: np.ndarray) -> list[np.ndarray]:
         return [batch.column("label").to_numpy(zero_copy_only=False)]
 
+    if references is None:
+        return Silhouette(_exact(numbered, _groups(numbered, labels, [len(names)])[0]), 0.0)
     return _silhouettes(numbered, labels, [len(names)], references, seed)[0]
 
 
@@ -95,6 +106,77 @@ def silhouettes(rows: DataFrame, fits: list[Centers], references: int, seed: int
     return _silhouettes(rows, labels, [len(c) for c in centers], references, seed)
 
 
+def _exact(rows: DataFrame, group: _Groups) -> float:
+    """Mean silhouette of all rows of (reduced, label) from all their distances.
+
+    The rows are written once as matrix blocks, a file a task. A task streams through all files and holds the sums of its
+    own rows' distances to each cluster.
+    """
+    n, width = int(group.sizes.sum()), group.centroids.shape[1]
+    centre = group.sizes @ group.centroids / n  # distances from it are no larger than they need be
+    centre = np.where(np.isfinite(centre), centre, 0.0)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, own = arrow_vectors(batch.column("reduced")) - centre, batch.column("label").to_numpy()
+            for begin in range(0, len(x), BLOCK_ROWS):
+                order = begin + np.argsort(own[begin: begin + BLOCK_ROWS], kind="stable")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[order].tobytes()], pa.binary()), pa.array([own[order].astype(np.int32).tobytes()], pa.binary())],
+                    names=["vectors", "labels"])
+
+    spark = rows.sparkSession
+    task_rows = min(TASK_ROWS, max(1, TASK_BYTES // (8 * width)))
+    parts, cores = -(-n // task_rows), spark.sparkContext.defaultParallelism
+    parts = max(parts, min(-(-parts // cores) * cores, -(-n // BLOCK_ROWS)))
+    packed = materialize(rows.select("reduced", "label").repartition(parts).mapInArrow(pack, "vectors binary, labels binary"))
+    files = sorted(packed.inputFiles())
+
+    def blocks(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        store, path = located(uri)
+        with store.open_input_file(path) as file:
+            for batch in pq.ParquetFile(file).iter_batches(1):
+                for row in batch.to_pylist():
+                    yield np.frombuffer(row["vectors"]).reshape(-1, width), np.frombuffer(row["labels"], np.int32)
+
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        total = np.zeros(1)
+        for number in batch.column("id").to_pylist():
+            own = [*blocks(files[number])]
+            if own:
+                x, label = np.concatenate([x for x, _ in own]), np.concatenate([label for _, label in own])
+                del own
+                sums = _distance_sums(x, (block for uri in files for block in blocks(uri)), len(group.sizes))
+                total += _from_means(sums / np.maximum(group.sizes, 1), label, group.sizes).sum()
+        return total
+
+    return float(sum_over(spark.range(0, len(files), 1, len(files)), part)[0] / n)
+
+
+def _distance_sums(x: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], count: int) -> np.ndarray:
+    """The sum of every row's distances to each cluster, over blocks of rows in the order of their clusters."""
+    lengths = (x * x).sum(axis=1)
+    left = np.column_stack([x, lengths, np.ones(len(x))])
+    near = NEAR * lengths
+    sums = np.zeros((len(x), count))
+    for y, label in blocks:
+        right = np.vstack([-2 * y.T, np.ones(len(y)), (y * y).sum(axis=1)])
+        first = np.flatnonzero(np.diff(label, prepend=-1))
+        step = max(1, DISTANCES_AT_ONCE // len(y))
+        for begin in range(0, len(x), step):
+            distances = left[begin: begin + step] @ right
+            close = np.flatnonzero(distances.min(axis=1) < near[begin: begin + step])
+            if len(close):
+                row, column = np.nonzero(distances[close] < near[begin + close][:, None])
+                row = close[row]
+                for at in range(0, len(row), len(x)):
+                    i, j = row[at: at + len(x)], column[at: at + len(x)]
+                    distances[i, j] = ((x[begin + i] - y[j]) ** 2).sum(axis=1)
+            np.sqrt(distances, out=distances)
+            sums[begin: begin + step, label[first]] += np.add.reduceat(distances, first, axis=1)
+    return sums
+
+
 def _silhouettes(rows: DataFrame, labels, counts: list[int], references: int, seed: int) -> list[Silhouette]:
     groups = _groups(rows, labels, counts)
     groups = _with_references(rows, labels, groups, references, seed)
@@ -192,8 +274,13 @@ def _scores(x: np.ndarray, own: np.ndarray, g: _Groups) -> np.ndarray:
     weights = np.add.reduceat(g.weights, g.first[present])
     means = np.full((len(x), len(g.sizes)), np.inf)
     means[:, present] = np.add.reduceat(distances, g.first[present], axis=1) / weights
-    row = np.arange(len(x))
-    size = g.sizes[own]
+    return _from_means(means, own, g.sizes)
+
+
+def _from_means(means: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Silhouette of every row from its mean distances to each cluster, itself among the members of its own."""
+    row = np.arange(len(means))
+    size = sizes[own]
     inside = means[row, own] * size / np.maximum(size - 1, 1)  # the row itself is no neighbour of its own
     means[row, own] = np.inf
     outside = means.min(axis=1)

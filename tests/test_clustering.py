@@ -77,6 +77,36 @@ def test_sampled_references_stay_within_the_stated_error(spark, rng, shape, allo
     assert again.value == pytest.approx(found.value, abs=1e-9)
 
 
+def test_silhouette_takes_all_pairs_of_large_clusters(spark, rng):
+    """More clusters share the references than a sample of the largest could be exact with: nothing is sampled."""
+    labels = np.concatenate([np.zeros(300, int), np.repeat(np.arange(1, 512), 2)])
+    x = rng.normal(size=(len(labels), 4)) * (1 + labels[:, None] % 7)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    sizes = np.bincount(labels)
+    sums = d @ np.eye(512)[labels]
+    row = np.arange(len(x))
+    a = sums[row, labels] / (sizes[labels] - 1)
+    sums[row, labels] = np.inf
+    b = (sums / sizes).min(1)
+    found = silhouette.euclidean_silhouette(frame_of(spark, x, labels))
+    assert found.error == 0.0
+    assert found.value == pytest.approx(float(((b - a) / np.maximum(a, b)).mean()), abs=1e-9)
+
+
+def test_distances_of_rows_close_together_do_not_cancel(rng, monkeypatch):
+    x = rng.normal(size=(40, 3))
+    x[10:20] = x[0]
+    x[20:30] = x[1] * (1 + 1e-9)
+    labels = np.sort(np.arange(40, dtype=np.int32) % 3)
+    monkeypatch.setattr(silhouette, "DISTANCES_AT_ONCE", 100)
+    blocks = [(x[i: i + 7], labels[i: i + 7]) for i in range(0, 40, 7)]
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    expected = d @ np.eye(3)[labels]
+    assert np.allclose(silhouette._distance_sums(x, iter(blocks), 3), expected, rtol=1e-12, atol=0)
+    same = np.tile(rng.normal(size=3), (9, 1))
+    assert not silhouette._distance_sums(same, iter([(same, np.zeros(9, np.int32))]), 1).any()
+
+
 def test_too_many_clusters_for_references(spark):
     rows = spark.range(1100).selectExpr("id AS review_id", "CAST(id AS INT) AS cluster_id", "array(0D, 1D) AS embedding")
     with pytest.raises(ValueError):
