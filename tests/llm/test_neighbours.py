@@ -66,6 +66,51 @@ def test_bounds_hold_and_prune():
     assert near <= set(zip(query.tolist(), other.tolist(), strict=True))
 
 
+def test_queries_are_neither_copied_nor_joined(spark):
+    """A copy of the queries for each group of vectors, which Spark took for small, was sent to the driver."""
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(300)], "vec_id long, embedding array<double>")
+    plan = neighbours.nearest(frame, F.col("vec_id") % 100 == 0, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan
+
+
+def test_single_precision_loses_no_pair():
+    rng = np.random.default_rng(11)
+    for width, scale in ((3, 1.0), (64, 1e-3), (64, 1e6), (1500, 1.0)):
+        x, y = rng.normal(size=(30, width)) * scale, rng.normal(size=(400, width)) * scale * rng.choice([1, 1e-4, 30], (400, 1))
+        y[:60] = x.repeat(2, 0) * (1 + 1e-6)
+        distances = np.sqrt(((x[:, None] - y) ** 2).sum(2))
+        tile = neighbours._Tile(5)
+        asked = tile._side(neighbours._packed(width, 0, np.arange(30), x).to_pylist()[0], "")
+        among = tile._side(neighbours._packed(width, 0, np.arange(100, 500), y).to_pylist()[0], "")
+        right = neighbours._Right(among, float(np.median(among[3])))
+        for limit in (distances.min(1), np.sort(distances, 1)[:, 4], distances.max(1)):
+            left = tile._left(asked, limit, float(np.median(among[3])))
+            found = set(zip(*(a.tolist() for a in tile._reached(asked, left, right)), strict=True))
+            assert set(zip(*(a.tolist() for a in np.nonzero(distances <= limit[:, None])), strict=True)) <= found
+        some = tile._reached(asked, tile._left(asked, np.sort(distances, 1)[:, 4], float(np.median(among[3]))), right)
+        assert len(some[0]) < distances.size / 2
+    assert tile._left(asked, np.full(30, np.inf), 1.0) is None
+
+
+def test_a_task_that_holds_few_vectors_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    rows = [(i, rng.normal(size=6 if i % 7 else 4).round(1).tolist()) for i in range(900)]
+    rows += [(1000 + i, rows[20][1]) for i in range(50)] + [(20, rows[20][1]), (60, [1e200] * 6), (61, [1e-200] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    asked = frame.where("vec_id % 20 = 0").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    files = neighbours.stored(neighbours.blocks_of(asked.repartition(5, "vec_id"), "vec_id", "embedding", 16), "queries").inputFiles()
+    batches = frame.toArrow().to_batches(100)
+    expected = plain([r for r in rows if r[0] != 60 or len(r[1]) != 6], lambda q: q % 20 == 0 and q != 60, 4)
+    for held, scored in ((1 << 25, 1 << 24), (4000, 500)):
+        monkeypatch.setattr(neighbours, "HELD_BYTES", held)
+        monkeypatch.setattr(neighbours, "SCORED_BYTES", scored)
+        found = [r for b in neighbours._Nearest(files, 4, 16, 32)(iter(batches)) for r in b.to_pylist() if r["query_id"] != 60]
+        ranked = {}
+        for r in found:
+            ranked.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+        assert {(q, i, v) for q, best in ranked.items() for i, (_, v) in enumerate(sorted(best), 1)} == expected
+
+
 def test_square_is_added_with_one_rounding():
     rng = np.random.default_rng(9)
     total, x = rng.random(1000), rng.normal(size=1000)
